@@ -25,4 +25,5 @@ def load_all() -> None:
         conversations,
         corpus,
         ner_eval,
+        tokenized,
     )
