@@ -76,3 +76,42 @@ ents AS (
   SELECT doc_id, 'pred' AS side, pos, {ptype} AS e_type,
          CASE WHEN pos % 5 = 0 THEN substring(name, 1, n_letters - 1) ELSE name END AS e_name
   FROM words WHERE pos % 4 <> 0)"""
+
+
+def gp_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GP as per-document arrays (doc_id, seq, gold, pred), computed on each row
+    with array functions (no shuffle).  Each entity is struct<e_type, e_name>;
+    order is word position.  Same rules as ``gp_entities``."""
+    docs = table(spark, sf_dir, "documents")
+    raw = F.split("text", r"\s+")
+    d = docs.select("doc_id", F.col("text").alias("seq"), raw.alias("_w"))
+    z = F.arrays_zip(F.sequence(F.lit(0), F.size("_w") - 1).alias("pos"), F.col("_w").alias("raw"))
+    clean = F.transform(z, lambda x: F.struct(x["pos"].alias("pos"),
+                                              F.lower(F.regexp_replace(x["raw"], r"[^\p{L}]", "")).alias("name")))
+    kept = F.filter(clean, lambda x: F.length(x["name"]) >= 6)
+    d = d.select("doc_id", "seq", kept.alias("_k"))
+    types = F.array(*[F.lit(t) for t in ENTITY_TYPES])
+
+    def etype(x):
+        return F.element_at(types, (F.length(x["name"]) % 5 + 1).cast("int"))
+
+    gold = F.transform(F.filter("_k", lambda x: x["pos"] % 3 != 0),
+                       lambda x: F.struct(etype(x).alias("e_type"), x["name"].alias("e_name")))
+    pred = F.transform(F.filter("_k", lambda x: x["pos"] % 4 != 0),
+                       lambda x: F.struct(etype(x).alias("e_type"),
+                                          F.when(x["pos"] % 5 == 0, F.substring(x["name"], F.lit(1), F.length(x["name"]) - 1))
+                                          .otherwise(x["name"]).alias("e_name")))
+    return d.select("doc_id", "seq", gold.alias("gold"), pred.alias("pred"))
+
+
+def gp_arrays_sql() -> str:
+    """DuckDB: CTE ``ga`` (doc_id, seq, gold, pred) on top of ``gp_sql()``."""
+    empty = "[]::STRUCT(e_type VARCHAR, e_name VARCHAR)[]"
+    return gp_sql() + f""",
+ga AS (
+  SELECT d.doc_id, d.text AS seq, coalesce(a.gold, {empty}) AS gold, coalesce(a.pred, {empty}) AS pred
+  FROM documents d LEFT JOIN (
+    SELECT doc_id,
+           list(struct_pack(e_type := e_type, e_name := e_name) ORDER BY pos) FILTER (WHERE side = 'gold') AS gold,
+           list(struct_pack(e_type := e_type, e_name := e_name) ORDER BY pos) FILTER (WHERE side = 'pred') AS pred
+    FROM ents GROUP BY doc_id) a ON a.doc_id = d.doc_id)"""

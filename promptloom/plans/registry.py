@@ -24,6 +24,7 @@ def load_all() -> None:
     from promptloom.plans import (  # noqa: F401
         conversations,
         corpus,
+        designs,
         ner_corpus,
         ner_eval,
         tokenized,
