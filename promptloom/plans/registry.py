@@ -22,6 +22,8 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     # importing the plan modules fills the registry
     from promptloom.plans import (  # noqa: F401
+        absa,
+        brackets,
         conversations,
         corpus,
         designs,
