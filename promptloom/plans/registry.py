@@ -27,6 +27,7 @@ def load_all() -> None:
         conversations,
         corpus,
         designs,
+        events_eval,
         ner_corpus,
         ner_eval,
         tokenized,
