@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 IGNORE = -100
@@ -71,7 +72,7 @@ def encode_with(df: DataFrame, text_col: str, out_col: str, make_encoder: Callab
                 batch_rows: int | None = None) -> DataFrame:
     """T1 plug-in: ``make_encoder()`` is called once per task (load the tokenizer
     there) and returns a batch function texts -> id lists."""
-    schema = df.schema.add(out_col, "array<int>")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         enc = make_encoder()

@@ -30,5 +30,6 @@ def load_all() -> None:
         events_eval,
         ner_corpus,
         ner_eval,
+        scoring,
         tokenized,
     )
