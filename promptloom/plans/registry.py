@@ -31,5 +31,6 @@ def load_all() -> None:
         ner_corpus,
         ner_eval,
         scoring,
+        softmatch,
         tokenized,
     )
