@@ -32,5 +32,6 @@ def load_all() -> None:
         ner_eval,
         scoring,
         softmatch,
+        streams,
         tokenized,
     )
