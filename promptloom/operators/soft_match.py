@@ -24,16 +24,20 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.similarity import ratio_udf
 from promptloom.operators.joins import join_small
+from promptloom.session import checkpoint_dir
 
 THRESHOLD = 0.5
-AUTOJUNK_LEN = 200  # difflib's popularity heuristic applies from this length on
+AUTOJUNK_LEN = 200
+EPS = 1e-9  # difflib's popularity heuristic applies from this length on
 
 
-def proper_substrings(s: Column) -> Column:
+def proper_substrings(s: Column, min_len: Column | None = None) -> Column:
+    """Proper substrings of s with length >= min_len (default 1)."""
     n = F.length(s)
-    return F.when(n > 1, F.flatten(F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.transform(F.sequence(i + 1, F.least(i + n - 1, n)),
+    lo = F.lit(1) if min_len is None else F.greatest(min_len, F.lit(1))
+    return F.when(n > lo, F.flatten(F.transform(
+        F.sequence(F.lit(0), n - lo),
+        lambda i: F.transform(F.sequence(i + lo, F.least(i + n - 1, n)),
                               lambda j: F.substring(s, i + 1, j - i))))).otherwise(F.array().cast("array<string>"))
 
 
@@ -46,41 +50,56 @@ def char_tokens(s: Column) -> Column:
 
 
 def _prefix(names: DataFrame, keys: list[str], name: str, thr: Column, ranks: DataFrame) -> DataFrame:
+    """Prefix-filter tokens of each name for a Dice threshold ``thr``."""
     t = names.select(*keys, name, thr.alias("_t"), F.explode(char_tokens(F.col(name))).alias("tok"),
                      F.length(name).alias("_len"))
     t = join_small(t, ranks, ["tok"])
     w = Window.partitionBy(*keys, name).orderBy("rank")
-    keep = F.col("_len") - F.ceil(F.col("_t") * F.col("_len") / (2 - F.col("_t"))) + 1
-    return t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).select(*keys, name, "tok")
+    # EPS keeps every bound conservative under floating-point rounding (ties matter)
+    keep = F.col("_len") - F.ceil(F.col("_t") * F.col("_len") / (2 - F.col("_t")) - EPS) + 1
+    return t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).select(*keys, name, "tok", "_len")
 
 
 def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
     """(doc, name, soft_name) for every distinct predicted name of a sample.
 
     ``gold``: (doc, gidx, name) with gidx the position in the sample's gold
-    list; ``pred``: (doc, name)."""
+    list; ``pred``: (doc, name).  Small intermediate tables that feed several
+    later steps are checkpointed (reliable checkpoint in the shared folder)."""
+    checkpoint_dir(pred.sparkSession)
     pn = pred.select(doc, "name").distinct()
     gn = gold.groupBy(doc, "name").agg(F.min("gidx").alias("gidx")).withColumnRenamed("name", "gname")
     rest = pn.join(gn.withColumnRenamed("gname", "name"), [doc, "name"], "left_anti")
 
-    c1 = (rest.select(doc, "name", F.explode(proper_substrings(F.col("name"))).alias("gname")).distinct()
-          .join(gn, [doc, "gname"]))
-    c2 = (gn.select(doc, "gname", "gidx", F.explode(proper_substrings(F.col("gname"))).alias("name")).distinct()
-          .join(rest, [doc, "name"]))
+    # containment pairs; a contained string shorter than a third of the other
+    # cannot reach ratio 0.5, so shorter substrings are not generated
+    third = lambda c: F.floor(F.length(c) / 3) + 1
+    c1 = (rest.select(doc, "name", F.explode(proper_substrings(F.col("name"), third("name"))).alias("gname"))
+          .distinct().join(gn, [doc, "gname"]))
+    c2 = (gn.select(doc, "gname", "gidx", F.explode(proper_substrings(F.col("gname"), third("gname"))).alias("name"))
+          .distinct().join(rest, [doc, "name"]))
     lp, lg = F.length("name"), F.length("gname")
     closed = 2.0 * F.least(lp, lg) / (lp + lg)
     cont = c1.unionByName(c2).distinct().withColumn(
         "rc", F.when(F.greatest(lp, lg) >= AUTOJUNK_LEN, ratio_udf(F.col("name"), F.col("gname"))).otherwise(closed))
     best = cont.groupBy(doc, "name").agg(F.max("rc").alias("rstar")).filter(F.col("rstar") > THRESHOLD)
+    best = best.checkpoint()
 
     # exact verification against every gold name that could tie or beat r*
     tokens = (best.select(F.explode(char_tokens(F.col("name"))).alias("tok"))
               .unionByName(gn.select(F.explode(char_tokens(F.col("gname"))).alias("tok"))))
-    ranks = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("freq")).select(
-        "tok", F.row_number().over(Window.orderBy("freq", "tok")).alias("rank"))
-    pp = _prefix(best, [doc], "name", F.col("rstar"), ranks)
-    gp = _prefix(gn, [doc], "gname", F.lit(THRESHOLD), ranks)
-    cand = pp.join(gp, [doc, "tok"]).select(doc, "name", "gname").distinct()
+    ranks = (tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
+             .select("tok", F.row_number().over(Window.orderBy("freq", "tok")).alias("rank"))).checkpoint()
+    pp = _prefix(best, [doc], "name", F.col("rstar"), ranks).join(best.select(doc, "name", "rstar"), [doc, "name"])
+    gp = _prefix(gn, [doc], "gname", F.lit(THRESHOLD), ranks).withColumnRenamed("_len", "_glen")
+    # length filter: Dice >= t needs t/(2-t) <= |g|/|p| <= (2-t)/t
+    t = F.col("rstar") - EPS
+    cand = (pp.join(gp, [doc, "tok"])
+            .filter((F.col("_glen") * (2 - t) >= t * F.col("_len")) & (t * F.col("_glen") <= (2 - t) * F.col("_len")))
+            .select(doc, "name", "gname", "rstar").distinct())
+    # quick-ratio filter on the exact character multisets, then the exact ratio
+    ov = F.size(F.array_intersect(char_tokens(F.col("name")), char_tokens(F.col("gname"))))
+    cand = cand.filter(2.0 * ov / (lp + lg) >= F.col("rstar") - EPS).select(doc, "name", "gname")
     cand = cand.join(gn, [doc, "gname"]).unionByName(
         cont.join(best.select(doc, "name"), [doc, "name"]).select(doc, "name", "gname", "gidx")).distinct()
     scored = cand.withColumn("r", ratio_udf(F.col("name"), F.col("gname")))
