@@ -239,3 +239,16 @@ def accuracy(pairs: DataFrame, group_cols: list[str], sample_cols: list[str]) ->
     return out.select(*group_cols, "aspect", F.col("correct").cast("long").alias("correct"),
                       (F.col("total") - F.col("correct")).cast("long").alias("incorrect"),
                       F.round(F.col("correct") / F.col("total"), 4).alias("acc"))
+
+
+def format_check(entries: DataFrame, samples: DataFrame, keys: list[str], domain: str) -> DataFrame:
+    """M10 (hard mode): a prediction passes when its key set equals the
+    domain's aspects and every value is a legal class; otherwise its dict is
+    emptied and its error becomes check_error.  Returns keys + (passed bool)."""
+    aspects = ASPECTS[domain]
+    per = entries.groupBy(*keys).agg(
+        F.count_if(F.col("key").isin(*aspects)).alias("_known"),
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(~F.col("value").isin(*SENTIMENTS)).alias("_bad"))
+    ok = (F.col("_known") == len(aspects)) & (F.col("_n") == len(aspects)) & (F.col("_bad") == 0)
+    return samples.select(*keys).join(per, keys, "left").select(*keys, F.coalesce(ok, F.lit(False)).alias("passed"))

@@ -28,6 +28,7 @@ def load_all() -> None:
         corpus,
         designs,
         events_eval,
+        extras,
         ner_corpus,
         ner_eval,
         scoring,
