@@ -76,12 +76,16 @@ def _kv_units(units: Column, numeric: bool, skip_empty: bool) -> Column:
 
 
 def _json_units(lines: Column) -> Column:
-    """One dict per line; on failure the '"k": "v"' fallback scan."""
+    """One dict per line; on failure the '"k": "v"' fallback scan.
+    Each line is JSON-parsed once (first transform), then interpreted."""
     n = F.size(lines)
     z = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("i"), lines.alias("u"))
+    first = F.transform(z, lambda x: F.struct(
+        x["i"].alias("i"), x["u"].alias("u"),
+        F.from_json(x["u"], "`方面` string, `情感` string", {"allowSingleQuotes": "false"}).alias("j")))
 
     def one(x):
-        j = F.from_json(x["u"], "`方面` string, `情感` string", {"allowSingleQuotes": "false"})
+        j = x["j"]
         strict = x["u"].rlike(r"^\s*\{[^{}]*\}\s*$") & j["方面"].isNotNull() & j["情感"].isNotNull()
         kv = F.transform(F.split(_strip_chars(x["u"], '"{}'), '", "'), lambda p: F.split(p, '": "'))
         asp = F.try_element_at(F.filter(kv, lambda p: F.get(p, 0) == "方面"), F.lit(-1))
@@ -93,7 +97,7 @@ def _json_units(lines: Column) -> Column:
                         F.when(strict, F.lit("")).when(fb_ok, F.lit("eval_error"))
                         .otherwise(F.lit("split_error")).alias("err"))
 
-    return F.transform(z, one)
+    return F.transform(first, one)
 
 
 def parse_units(text: Column, mode: str, punc_replace: bool = True) -> Column:

@@ -49,14 +49,15 @@ def _literal_list(line: Column) -> Column:
 
 
 def parse_heuristic(text: Column, strip_items: bool = True) -> Column:
-    """One literal list per line; an unparsable or empty line is ignored."""
-    def one(line):
-        arr = _literal_list(line)
+    """One literal list per line; an unparsable or empty line is ignored.
+    Each line is parsed once (first transform), then reshaped (second)."""
+    empty = F.array().cast("array<struct<e_type:string,trigger:string>>")
+
+    def one(arr):
         items = F.transform(arr, lambda x: _norm(x) if strip_items else F.lower(x))
-        return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0,
-                      F.array(_pair(F.get(items, 0), F.get(items, 1))))\
-            .otherwise(F.array().cast("array<struct<e_type:string,trigger:string>>"))
-    return F.flatten(F.transform(_units(text, "\n"), one))
+        return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, F.array(_pair(F.get(items, 0), F.get(items, 1)))) \
+            .otherwise(empty)
+    return F.flatten(F.transform(F.transform(_units(text, "\n"), _literal_list), one))
 
 
 def parse_numerical(text: Column) -> tuple[Column, Column]:
@@ -94,18 +95,24 @@ _JSON_EV = "struct<event_type:string,`trigger word`:string>"
 def parse_json(text: Column) -> tuple[Column, Column]:
     """X13 one {"event_type", "trigger word"} object per line; a string trigger
     is split on ','; [] adds nothing; a line that is not such an object is a
-    format error."""
-    def one(line):
+    format error.  Each line is parsed once (first transform)."""
+    empty = F.array().cast("array<struct<e_type:string,trigger:string>>")
+
+    def parse_line(line):
         s = py_strip(line)
-        j = F.from_json(s, _JSON_EV, {"allowSingleQuotes": "true"})
-        ok = s.rlike(r"^\{[^{}]*\}$") & j["event_type"].isNotNull() & j["trigger word"].isNotNull()
+        return F.struct(s.rlike(r"^\{[^{}]*\}$").alias("flat"),
+                        F.from_json(s, _JSON_EV, {"allowSingleQuotes": "true"}).alias("j"))
+
+    def one(x):
+        j = x["j"]
+        ok = x["flat"] & j["event_type"].isNotNull() & j["trigger word"].isNotNull()
         raw = j["trigger word"]
-        as_list = F.from_json(raw, "array<string>", {"allowSingleQuotes": "true"})
-        trig = F.when(raw.startswith("["), as_list).otherwise(F.split(py_strip(raw), ","))
-        items = F.transform(trig, lambda g: _pair(_norm(j["event_type"]), _norm(g)))
-        return F.struct(ok.alias("ok"), F.when(ok, items)
-                        .otherwise(F.array().cast("array<struct<e_type:string,trigger:string>>")).alias("items"))
-    rows = F.transform(_units(text, "\n"), one)
+        trig = F.when(raw.startswith("["), F.from_json(raw, "array<string>", {"allowSingleQuotes": "true"})) \
+            .otherwise(F.split(py_strip(raw), ","))
+        t = _norm(j["event_type"])
+        return F.struct(ok.alias("ok"), F.when(ok, F.transform(trig, lambda g: _pair(t, _norm(g))))
+                        .otherwise(empty).alias("items"))
+    rows = F.transform(F.transform(_units(text, "\n"), parse_line), one)
     return F.flatten(F.transform(rows, lambda r: r["items"])), F.exists(rows, lambda r: ~r["ok"])
 
 

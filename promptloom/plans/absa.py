@@ -18,6 +18,7 @@ from promptloom.operators.absa import (
     ASPECTS, SENTIMENTS, SOFT_ASPECTS, accuracy, class_scores, confusion, parse_table, relax)
 from promptloom.operators.prep import append_instruction
 from promptloom.plans.registry import register
+from promptloom.session import materialize
 from promptloom.plans.sqlutil import lit
 from promptloom.sources.tables import table
 
@@ -191,7 +192,7 @@ def parsed(spark, sf_dir):
     raw = r.filter(F.col("mode") == "cot").select("doc_id", "lang", "mode", F.lit("raw").alias("side"),
                                                   F.col("prediction").alias("text"))
     _, raw_err = parse_table(raw, keys, "text", "mode", EVAL_MODES, punc_replace=False)
-    return entries, errors.unionByName(raw_err)
+    return materialize(entries), materialize(errors.unionByName(raw_err))
 
 
 def q28(spark, sf_dir):
@@ -221,7 +222,7 @@ def pairs(spark, sf_dir):
     rel = relax(pred_e, samples, keys, spark, DOMAIN)
     lab = entries.filter(F.col("side") == "label").select(*keys, F.col("key").alias("aspect"),
                                                           F.col("value").alias("label"))
-    return lab.join(rel, keys + ["aspect"]).select(*keys, "aspect", "label", "pred")
+    return materialize(lab.join(rel, keys + ["aspect"]).select(*keys, "aspect", "label", "pred"))
 
 
 def q29(spark, sf_dir):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from promptloom.operators.parse_events import EVENT_TYPES, FORMATS, event_outcomes, parse_events, parse_heuristic
 from promptloom.plans.registry import register
+from promptloom.session import materialize
 from promptloom.plans.sqlutil import lit
 from promptloom.sources.tables import table
 
@@ -56,22 +57,18 @@ def _render(arr, fmt):
 
 
 def parsed_events(spark, sf_dir):
-    """(format, event_id, output, prediction, parsed struct) for all designs."""
+    """(format, event_id, gold, parsed struct) for all designs.  Each design is
+    rendered and parsed in its own branch (small generated code per branch)."""
     t = _tuples(spark, sf_dir)
-    fm = spark.createDataFrame([(f,) for f in FORMATS], "format string")
-    x = t.crossJoin(F.broadcast(fm))
-    pred_text = None
-    parsed = None
+    out = None
     for f in FORMATS:
-        c = F.col("format") == f
-        pred_text = F.when(c, _render(F.col("pred_t"), f)) if pred_text is None else pred_text.when(c, _render(F.col("pred_t"), f))
-    x = x.select("format", "event_id", _render(F.col("gold_t"), "heuristic").alias("output"), pred_text.alias("prediction"))
-    for f in FORMATS:
-        c = F.col("format") == f
-        p = parse_events(F.col("prediction"), f)
-        parsed = F.when(c, p) if parsed is None else parsed.when(c, p)
-    return x.select("format", "event_id", parse_heuristic(F.col("output"), strip_items=False).alias("gold"),
-                    parsed.alias("p"))
+        x = t.select(F.lit(f).alias("format"), "event_id",
+                     _render(F.col("gold_t"), "heuristic").alias("output"),
+                     _render(F.col("pred_t"), f).alias("prediction"))
+        x = x.select("format", "event_id", parse_heuristic(F.col("output"), strip_items=False).alias("gold"),
+                     parse_events(F.col("prediction"), f).alias("p"))
+        out = x if out is None else out.unionByName(x)
+    return materialize(out)
 
 
 def q34(spark, sf_dir):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from promptloom.operators.ner import corpus_stats, lookup_types, nested_spans, sentence_summary, span_text
 from promptloom.plans.derive import ENTITY_TYPES
 from promptloom.plans.registry import register
+from promptloom.session import materialize
 from promptloom.sources.tables import table
 
 NUM_TYPE = len(ENTITY_TYPES)
@@ -55,7 +56,7 @@ def _entity_rows(spark, sf_dir):
     e = e.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("ent.start").alias("start"),
                  F.col("ent.end").alias("end"), F.col("ent.type").alias("e_type"),
                  span_text(F.col("tokens"), F.col("ent.start"), F.col("ent.end")).alias("e_name"))
-    e = lookup_types(e, _types_df(spark))
+    e = materialize(lookup_types(e, _types_df(spark)))
     flags = nested_spans(e, "doc_id")
     return c, e.join(flags, ["doc_id", "start", "end"])
 

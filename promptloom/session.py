@@ -46,3 +46,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage of an intermediate that several later steps read: a
+    reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives the
+    loss of executors, unlike cached or locally checkpointed blocks)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
