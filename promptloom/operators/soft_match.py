@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.similarity import ratio_udf
 from promptloom.operators.joins import join_small
-from promptloom.session import checkpoint_dir
+from promptloom.session import materialize
 
 THRESHOLD = 0.5
 AUTOJUNK_LEN = 200
@@ -57,7 +57,7 @@ def _prefix(names: DataFrame, keys: list[str], name: str, thr: Column, ranks: Da
     w = Window.partitionBy(*keys, name).orderBy("rank")
     # EPS keeps every bound conservative under floating-point rounding (ties matter)
     keep = F.col("_len") - F.ceil(F.col("_t") * F.col("_len") / (2 - F.col("_t")) - EPS) + 1
-    return t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).select(*keys, name, "tok", "_len")
+    return t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).select(*keys, name, "tok", "_len", "_r")
 
 
 def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
@@ -66,10 +66,9 @@ def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
     ``gold``: (doc, gidx, name) with gidx the position in the sample's gold
     list; ``pred``: (doc, name).  Small intermediate tables that feed several
     later steps are checkpointed (reliable checkpoint in the shared folder)."""
-    checkpoint_dir(pred.sparkSession)
     pn = pred.select(doc, "name").distinct()
-    gn = gold.groupBy(doc, "name").agg(F.min("gidx").alias("gidx")).withColumnRenamed("name", "gname")
-    rest = pn.join(gn.withColumnRenamed("gname", "name"), [doc, "name"], "left_anti")
+    gn = materialize(gold.groupBy(doc, "name").agg(F.min("gidx").alias("gidx")).withColumnRenamed("name", "gname"))
+    rest = materialize(pn.join(gn.withColumnRenamed("gname", "name"), [doc, "name"], "left_anti"))
 
     # containment pairs; a contained string shorter than a third of the other
     # cannot reach ratio 0.5, so shorter substrings are not generated
@@ -83,19 +82,25 @@ def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
     cont = c1.unionByName(c2).distinct().withColumn(
         "rc", F.when(F.greatest(lp, lg) >= AUTOJUNK_LEN, ratio_udf(F.col("name"), F.col("gname"))).otherwise(closed))
     best = cont.groupBy(doc, "name").agg(F.max("rc").alias("rstar")).filter(F.col("rstar") > THRESHOLD)
-    best = best.checkpoint()
+    best = materialize(best)
 
     # exact verification against every gold name that could tie or beat r*
     tokens = (best.select(F.explode(char_tokens(F.col("name"))).alias("tok"))
               .unionByName(gn.select(F.explode(char_tokens(F.col("gname"))).alias("tok"))))
     ranks = (tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
-             .select("tok", F.row_number().over(Window.orderBy("freq", "tok")).alias("rank"))).checkpoint()
-    pp = _prefix(best, [doc], "name", F.col("rstar"), ranks).join(best.select(doc, "name", "rstar"), [doc, "name"])
+             .select("tok", F.row_number().over(Window.orderBy("freq", "tok")).alias("rank")))
+    ranks = materialize(ranks)
+    pp = (_prefix(best, [doc], "name", F.col("rstar"), ranks).drop("_r")
+          .join(best.select(doc, "name", "rstar"), [doc, "name"]))
     gp = _prefix(gn, [doc], "gname", F.lit(THRESHOLD), ranks).withColumnRenamed("_len", "_glen")
     # length filter: Dice >= t needs t/(2-t) <= |g|/|p| <= (2-t)/t
     t = F.col("rstar") - EPS
+    # the gold side's prefix for this pair's own threshold is its first
+    # |g| - ceil(t|g|/(2-t)) + 1 tokens (the 0.5 prefix above is the longest)
+    g_keep = F.col("_glen") - F.ceil(t * F.col("_glen") / (2 - t) - EPS) + 1
     cand = (pp.join(gp, [doc, "tok"])
-            .filter((F.col("_glen") * (2 - t) >= t * F.col("_len")) & (t * F.col("_glen") <= (2 - t) * F.col("_len")))
+            .filter((F.col("_r") <= g_keep)
+                    & (F.col("_glen") * (2 - t) >= t * F.col("_len")) & (t * F.col("_glen") <= (2 - t) * F.col("_len")))
             .select(doc, "name", "gname", "rstar").distinct())
     # quick-ratio filter on the exact character multisets, then the exact ratio
     ov = F.size(F.array_intersect(char_tokens(F.col("name")), char_tokens(F.col("gname"))))

@@ -14,10 +14,11 @@ from promptloom.plans.derive import gp_entities
 from promptloom.plans.events_eval import parsed_events
 from promptloom.plans.ner_eval import STRICT_BOUNDARIES
 from promptloom.plans.registry import register
+from promptloom.session import materialize
 
 
 def soft_ner_entities(spark, sf_dir):
-    ents = casefold(gp_entities(spark, sf_dir))
+    ents = materialize(casefold(gp_entities(spark, sf_dir)))
     gold = ents.filter(F.col("side") == "gold").select("doc_id", F.col("pos").alias("gidx"), F.col("e_name").alias("name"))
     pred = ents.filter(F.col("side") == "pred").select("doc_id", F.col("e_name").alias("name"))
     mapping = soft_names(gold, pred, "doc_id")
