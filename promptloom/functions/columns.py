@@ -44,3 +44,8 @@ def pick(values: list[str], index: Column) -> Column:
 def md5_rank_key(id_col: Column, seed: int | str) -> Column:
     """Deterministic, engine-independent shuffle key: md5(id || '-' || seed)."""
     return F.md5(F.concat(id_col.cast("string"), F.lit(f"-{seed}")))
+
+
+def ints_to_long(df, cols):
+    """Widen the named int columns to bigint (array sizes are int in Spark)."""
+    return df.select(*[F.col(c).cast("long").alias(c) if c in cols else F.col(c) for c in df.columns])

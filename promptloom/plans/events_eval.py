@@ -76,7 +76,7 @@ def q34(spark, sf_dir):
     p = parsed_events(spark, sf_dir)
     return p.select("format", "event_id",
                     F.array_join(F.transform("p.items", lambda x: F.concat(x["e_type"], F.lit("|"), x["trigger"])), ";")
-                    .alias("parsed"), F.size("p.items").alias("n_items"),
+                    .alias("parsed"), F.size("p.items").cast("long").alias("n_items"),
                     F.col("p.format_error").alias("format_error"), F.col("p.empty").alias("empty"))
 
 

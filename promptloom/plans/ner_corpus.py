@@ -65,7 +65,8 @@ def q18(spark, sf_dir):
     """Entity rows with span text, verbose type and nested flag
     (entity order = start, then original position)."""
     _, e = _entity_rows(spark, sf_dir)
-    return e.select("doc_id", "idx", "start", "end", "e_type", "e_type_verbose", "e_name", "nested")
+    return e.select("doc_id", "idx", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+                    "e_type", "e_type_verbose", "e_name", "nested")
 
 
 _CORPUS_SQL = r"""

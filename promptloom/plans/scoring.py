@@ -40,7 +40,7 @@ def q38(spark, sf_dir):
     out = batch_predict(docs, "prompt", make_stub_model, PREDICT_BATCH)
     retry = retry_set(docs.select("doc_id"), out, "doc_id").withColumn("retry", F.lit(True))
     j = out.join(retry, "doc_id", "left")
-    return j.select("doc_id", "target", F.length("prediction").alias("pred_chars"),
+    return j.select("doc_id", "target", F.length("prediction").cast("long").alias("pred_chars"),
                     F.md5("prediction").alias("pred_md5"), (F.col("prediction") == "").alias("empty"),
                     "error", F.coalesce("retry", F.lit(False)).alias("retry"))
 

@@ -14,6 +14,7 @@ from promptloom.operators.order import batch_ids
 from promptloom.operators.tokens import (
     attention_mask, build_vocab, causal_lm_features, encode_fields, ids_md5, last_non_pad, left_pad,
     plain_labels, prompt_masked_labels, right_pad, words)
+from promptloom.functions.columns import ints_to_long
 from promptloom.plans.registry import register
 from promptloom.plans.sqlutil import NL
 from promptloom.sources.tables import table
@@ -54,8 +55,9 @@ def tokenized_pairs(spark, sf_dir, skip_overlength: bool = False):
 def q14(spark, sf_dir):
     """Encode q/a pairs, causal-LM concat, overlength handling."""
     t = tokenized_pairs(spark, sf_dir)
-    return t.select("conv_id", "turn", F.size("input_ids").alias("n_ids"), "seq_len", "overlength",
-                    ids_md5(F.col("input_ids")).alias("ids_md5"), "n_prompt_words")
+    return ints_to_long(t.select("conv_id", "turn", F.size("input_ids").alias("n_ids"), "seq_len", "overlength",
+                                 ids_md5(F.col("input_ids")).alias("ids_md5"), "n_prompt_words"),
+                        ["n_ids", "seq_len", "n_prompt_words"])
 
 
 _WORDS = r"list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')"
@@ -102,11 +104,12 @@ def q15(spark, sf_dir):
     t = t.withColumn("longest", F.max(F.size("input_ids")).over(w))
     t = t.withColumn("slot", F.row_number().over(w.orderBy(F.desc(F.size("input_ids")), "idx")))
     labels = prompt_masked_labels(F.col("input_ids"), F.col("seq_len"), F.col("longest"))
-    return t.select("batch_id", F.col("slot").cast("int").alias("slot"), "conv_id", "turn", "longest",
+    return ints_to_long(t.select("batch_id", F.col("slot").cast("int").alias("slot"), "conv_id", "turn", "longest",
                     F.size(F.filter(labels, lambda x: x == -100)).alias("n_ignored"),
                     ids_md5(right_pad(F.col("input_ids"), F.col("longest"))).alias("ids_md5"),
                     ids_md5(labels).alias("labels_md5"),
-                    ids_md5(plain_labels(F.col("input_ids"), F.col("longest"))).alias("plain_labels_md5"))
+                    ids_md5(plain_labels(F.col("input_ids"), F.col("longest"))).alias("plain_labels_md5")),
+                        ["longest", "n_ignored"])
 
 
 register("q15_masked_padded_batch", oracle=f"""WITH {TOKENIZED_SQL},
@@ -135,9 +138,10 @@ def q16(spark, sf_dir):
     padded = left_pad(F.col("p"), F.col("plen"))
     generated = F.concat(padded, F.col("target_ids"), F.array(F.lit(2)))
     cont = F.slice(generated, F.col("plen") + 1, F.size(generated))
-    return t.select("batch_id", "conv_id", "turn", "plen", (F.col("plen") - F.size("p")).alias("n_pad"),
+    return ints_to_long(t.select("batch_id", "conv_id", "turn", "plen", (F.col("plen") - F.size("p")).alias("n_pad"),
                     ids_md5(padded).alias("padded_md5"), ids_md5(cont).alias("continuation_md5"),
-                    last_non_pad(right_pad(F.col("input_ids"), F.col("longest"))).alias("last_non_pad"))
+                    last_non_pad(right_pad(F.col("input_ids"), F.col("longest"))).alias("last_non_pad")),
+                        ["plen", "n_pad", "last_non_pad"])
 
 
 register("q16_left_pad", oracle=f"""WITH {TOKENIZED_SQL},
@@ -175,11 +179,12 @@ def q17(spark, sf_dir):
     b = batch_ids(kept, ["conv_id"], PAIR_BATCH)
     w = Window.partitionBy("batch_id")
     b = b.withColumn("max_j", F.max(F.size("ids_j")).over(w)).withColumn("max_k", F.max(F.size("ids_k")).over(w))
-    return b.select("conv_id", "batch_id", F.size("ids_j").alias("len_j"), F.size("ids_k").alias("len_k"),
+    return ints_to_long(b.select("conv_id", "batch_id", F.size("ids_j").alias("len_j"), F.size("ids_k").alias("len_k"),
                     F.size("query").alias("q_len"),
                     ids_md5(right_pad(F.col("ids_j"), F.col("max_j"))).alias("ids_j_md5"),
                     ids_md5(right_pad(F.col("ids_k"), F.col("max_k"))).alias("ids_k_md5"),
-                    F.aggregate(attention_mask(F.col("ids_j")), F.lit(0), lambda a, x: a + x).alias("mask_j"))
+                    F.aggregate(attention_mask(F.col("ids_j")), F.lit(0), lambda a, x: a + x).alias("mask_j")),
+                        ["len_j", "len_k", "q_len", "mask_j"])
 
 
 register("q17_pair_encode_filter", oracle=f"""
