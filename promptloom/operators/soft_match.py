@@ -92,7 +92,10 @@ def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
     ranks = materialize(ranks)
     pp = (_prefix(best, [doc], "name", F.col("rstar"), ranks).drop("_r")
           .join(best.select(doc, "name", "rstar"), [doc, "name"]))
-    gp = _prefix(gn, [doc], "gname", F.lit(THRESHOLD), ranks).withColumnRenamed("_len", "_glen")
+    # gold names only in samples with a prediction to verify, each with the
+    # longest prefix any of that sample's thresholds needs (the sample minimum)
+    t_doc = best.groupBy(doc).agg(F.min("rstar").alias("_tdoc"))
+    gp = _prefix(gn.join(t_doc, doc), [doc], "gname", F.col("_tdoc"), ranks).withColumnRenamed("_len", "_glen")
     # length filter: Dice >= t needs t/(2-t) <= |g|/|p| <= (2-t)/t
     t = F.col("rstar") - EPS
     # the gold side's prefix for this pair's own threshold is its first
