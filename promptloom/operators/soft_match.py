@@ -49,10 +49,9 @@ def char_tokens(s: Column) -> Column:
         F.slice(chars, 1, x["i"]), lambda y: y == x["c"])).cast("string")))
 
 
-def _prefix(names: DataFrame, keys: list[str], name: str, thr: Column, ranks: DataFrame) -> DataFrame:
+def _prefix(names: DataFrame, keys: list[str], name: str, toks: str, thr: Column, ranks: DataFrame) -> DataFrame:
     """Prefix-filter tokens of each name for a Dice threshold ``thr``."""
-    t = names.select(*keys, name, thr.alias("_t"), F.explode(char_tokens(F.col(name))).alias("tok"),
-                     F.length(name).alias("_len"))
+    t = names.select(*keys, name, thr.alias("_t"), F.explode(toks).alias("tok"), F.length(name).alias("_len"))
     t = join_small(t, ranks, ["tok"])
     w = Window.partitionBy(*keys, name).orderBy("rank")
     # EPS keeps every bound conservative under floating-point rounding (ties matter)
@@ -64,51 +63,52 @@ def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
     """(doc, name, soft_name) for every distinct predicted name of a sample.
 
     ``gold``: (doc, gidx, name) with gidx the position in the sample's gold
-    list; ``pred``: (doc, name).  Small intermediate tables that feed several
-    later steps are checkpointed (reliable checkpoint in the shared folder)."""
+    list; ``pred``: (doc, name).  Intermediates read by several later steps
+    are materialized with reliable checkpoints in the shared folder."""
     pn = pred.select(doc, "name").distinct()
-    gn = materialize(gold.groupBy(doc, "name").agg(F.min("gidx").alias("gidx")).withColumnRenamed("name", "gname"))
-    rest = materialize(pn.join(gn.withColumnRenamed("gname", "name"), [doc, "name"], "left_anti"))
+    gn = materialize(gold.groupBy(doc, "name").agg(F.min("gidx").alias("gidx")).withColumnRenamed("name", "gname")
+                     .withColumn("gtoks", char_tokens(F.col("gname"))))
+    rest = materialize(pn.join(gn.select(doc, "gname").withColumnRenamed("gname", "name"), [doc, "name"], "left_anti"))
 
     # containment pairs; a contained string shorter than a third of the other
     # cannot reach ratio 0.5, so shorter substrings are not generated
     third = lambda c: F.floor(F.length(c) / 3) + 1
+    g_keys = gn.select(doc, "gname", "gidx")
     c1 = (rest.select(doc, "name", F.explode(proper_substrings(F.col("name"), third("name"))).alias("gname"))
-          .distinct().join(gn, [doc, "gname"]))
-    c2 = (gn.select(doc, "gname", "gidx", F.explode(proper_substrings(F.col("gname"), third("gname"))).alias("name"))
+          .distinct().join(g_keys, [doc, "gname"]))
+    c2 = (g_keys.select(doc, "gname", "gidx", F.explode(proper_substrings(F.col("gname"), third("gname"))).alias("name"))
           .distinct().join(rest, [doc, "name"]))
     lp, lg = F.length("name"), F.length("gname")
     closed = 2.0 * F.least(lp, lg) / (lp + lg)
-    cont = c1.unionByName(c2).distinct().withColumn(
-        "rc", F.when(F.greatest(lp, lg) >= AUTOJUNK_LEN, ratio_udf(F.col("name"), F.col("gname"))).otherwise(closed))
+    cont = materialize(c1.unionByName(c2).distinct().withColumn(
+        "rc", F.when(F.greatest(lp, lg) >= AUTOJUNK_LEN, ratio_udf(F.col("name"), F.col("gname"))).otherwise(closed)))
     best = cont.groupBy(doc, "name").agg(F.max("rc").alias("rstar")).filter(F.col("rstar") > THRESHOLD)
-    best = materialize(best)
+    best = materialize(best.withColumn("ptoks", char_tokens(F.col("name"))))
 
     # exact verification against every gold name that could tie or beat r*
-    tokens = (best.select(F.explode(char_tokens(F.col("name"))).alias("tok"))
-              .unionByName(gn.select(F.explode(char_tokens(F.col("gname"))).alias("tok"))))
+    tokens = best.select(F.explode("ptoks").alias("tok")).unionByName(gn.select(F.explode("gtoks").alias("tok")))
     ranks = (tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
              .select("tok", F.row_number().over(Window.orderBy("freq", "tok")).alias("rank")))
     ranks = materialize(ranks)
-    pp = (_prefix(best, [doc], "name", F.col("rstar"), ranks).drop("_r")
-          .join(best.select(doc, "name", "rstar"), [doc, "name"]))
+    pp = _prefix(best, [doc], "name", "ptoks", F.col("rstar"), ranks).drop("_r").join(
+        best.select(doc, "name", "rstar"), [doc, "name"])
     # gold names only in samples with a prediction to verify, each with the
     # longest prefix any of that sample's thresholds needs (the sample minimum)
     t_doc = best.groupBy(doc).agg(F.min("rstar").alias("_tdoc"))
-    gp = _prefix(gn.join(t_doc, doc), [doc], "gname", F.col("_tdoc"), ranks).withColumnRenamed("_len", "_glen")
-    # length filter: Dice >= t needs t/(2-t) <= |g|/|p| <= (2-t)/t
+    gp = _prefix(gn.join(t_doc, doc), [doc], "gname", "gtoks", F.col("_tdoc"), ranks).withColumnRenamed("_len", "_glen")
+    # per pair: the gold prefix for the pair's own threshold, and the length
+    # filter (Dice >= t needs t/(2-t) <= |g|/|p| <= (2-t)/t)
     t = F.col("rstar") - EPS
-    # the gold side's prefix for this pair's own threshold is its first
-    # |g| - ceil(t|g|/(2-t)) + 1 tokens (the 0.5 prefix above is the longest)
     g_keep = F.col("_glen") - F.ceil(t * F.col("_glen") / (2 - t) - EPS) + 1
     cand = (pp.join(gp, [doc, "tok"])
             .filter((F.col("_r") <= g_keep)
                     & (F.col("_glen") * (2 - t) >= t * F.col("_len")) & (t * F.col("_glen") <= (2 - t) * F.col("_len")))
             .select(doc, "name", "gname", "rstar").distinct())
     # quick-ratio filter on the exact character multisets, then the exact ratio
-    ov = F.size(F.array_intersect(char_tokens(F.col("name")), char_tokens(F.col("gname"))))
-    cand = cand.filter(2.0 * ov / (lp + lg) >= F.col("rstar") - EPS).select(doc, "name", "gname")
-    cand = cand.join(gn, [doc, "gname"]).unionByName(
+    cand = cand.join(best.select(doc, "name", "ptoks"), [doc, "name"]).join(gn, [doc, "gname"])
+    ov = F.size(F.array_intersect("ptoks", "gtoks"))
+    cand = materialize(cand.filter(2.0 * ov / (lp + lg) >= F.col("rstar") - EPS).select(doc, "name", "gname", "gidx"))
+    cand = cand.unionByName(
         cont.join(best.select(doc, "name"), [doc, "name"]).select(doc, "name", "gname", "gidx")).distinct()
     scored = cand.withColumn("r", ratio_udf(F.col("name"), F.col("gname")))
     top = scored.groupBy(doc, "name").agg(

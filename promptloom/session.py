@@ -52,5 +52,9 @@ def materialize(df):
     """Cut lineage of an intermediate that several later steps read: a
     reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives the
     loss of executors, unlike cached or locally checkpointed blocks)."""
+    from pyspark.sql import functions as F
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    ck = df.checkpoint(eager=True)
+    # fresh attribute ids: the checkpoint keeps the ids of the plan it came
+    # from, which confuses the planner when both are joined later
+    return ck.select(*[F.col(f"`{c}`").alias(c) for c in ck.columns])
