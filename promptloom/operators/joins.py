@@ -15,7 +15,7 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     The small side is counted first; at or under ``max_rows`` it is broadcast
     (no shuffle of ``big``, no hot-key task).  Above the bound it is not
     broadcast: the small side is replicated ``salts`` times and the big side is
-    spread over the salts at random, so a key that holds a large share of
+    spread over the salts by a hash of the whole row, so a key that holds a large share of
     ``big`` is split across ``salts`` tasks instead of one.
     """
     if how not in ("inner", "left"):
@@ -24,5 +24,6 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
         return big.join(F.broadcast(small), on, how)
     salted_small = small.crossJoin(
         big.sparkSession.range(salts).withColumnRenamed("id", "_salt"))
-    salted_big = big.withColumn("_salt", (F.rand() * salts).cast("long"))
+    # deterministic salt (a re-run task after an executor loss salts identically)
+    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)))
     return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
