@@ -49,3 +49,11 @@ def md5_rank_key(id_col: Column, seed: int | str) -> Column:
 def ints_to_long(df, cols):
     """Widen the named int columns to bigint (array sizes are int in Spark)."""
     return df.select(*[F.col(c).cast("long").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def expand_rows(df, rows: list[tuple], names: list[str]):
+    """Each row of ``df`` once per fixed row of ``rows`` (a literal array
+    exploded in place: no join, no shuffle; the factor is len(rows))."""
+    arr = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
+    return df.select("*", F.explode(arr).alias("_fixed")).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_fixed.`{n}`").alias(n) for n in names])

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from promptloom.functions.columns import expand_rows
+
 # Sentiment classes (matrix order), numerical codes, aspect lists of the two
 # restaurant-review domains with their relaxed aliases, sentiment synonyms (checked in this
 # order), the weighted-kappa weight table, and the punctuation repairs applied before parsing
@@ -177,7 +179,8 @@ def relax(pred_entries: DataFrame, samples: DataFrame, keys: list[str], spark: S
     aspects, aliases = aspect_dims(spark, domain)
     m = pred_entries.join(F.broadcast(aliases), F.col("key").contains(F.col("alias")))
     first = m.groupBy(*keys, "aspect").agg(F.min_by("value", "pos").alias("value"))
-    full = samples.select(*keys).crossJoin(F.broadcast(aspects)).join(first, keys + ["aspect"], "left")
+    asp_rows = list(enumerate(ASPECTS[domain]))
+    full = expand_rows(samples.select(*keys), asp_rows, ["a_pos", "aspect"]).join(first, keys + ["aspect"], "left")
     v = soft_sentiment(F.col("value"))
     pred = F.when(v.isin(*SENTIMENTS), v).otherwise(F.lit("未提及"))
     return full.select(*keys, "a_pos", "aspect", pred.alias("pred"))
@@ -192,10 +195,9 @@ def confusion(pairs: DataFrame, group_cols: list[str], spark: SparkSession, aspe
     counts = (pairs.groupingSets([g + ["aspect", "label", "pred"], g + ["label", "pred"]], *g, "aspect", "label", "pred")
               .agg(F.count(F.lit(1)).alias("n"), F.grouping("aspect").alias("_all")))
     counts = counts.withColumn("aspect", F.when(F.col("_all") == 1, F.lit("ALL")).otherwise(F.col("aspect"))).drop("_all")
-    grid = spark.createDataFrame([(a, la, p) for a in aspects + ["ALL"] for la in SENTIMENTS for p in SENTIMENTS],
-                                 "aspect string, label string, pred string")
+    grid = [(a, la, p) for a in aspects + ["ALL"] for la in SENTIMENTS for p in SENTIMENTS]
     groups = pairs.select(*group_cols).distinct()
-    dense = groups.crossJoin(F.broadcast(grid)).join(counts, group_cols + ["aspect", "label", "pred"], "left")
+    dense = expand_rows(groups, grid, ["aspect", "label", "pred"]).join(counts, group_cols + ["aspect", "label", "pred"], "left")
     return dense.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 

@@ -22,8 +22,7 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
         raise ValueError(how)
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
-    salted_small = small.crossJoin(
-        big.sparkSession.range(salts).withColumnRenamed("id", "_salt"))
+    salted_small = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("_salt"))
     # deterministic salt (a re-run task after an executor loss salts identically)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)))
     return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")

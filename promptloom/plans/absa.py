@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from promptloom.operators.absa import (
     ASPECTS, SENTIMENTS, SOFT_ASPECTS, accuracy, class_scores, confusion, parse_table, relax)
 from promptloom.operators.prep import append_instruction
+from promptloom.functions.columns import expand_rows
 from promptloom.plans.registry import register
 from promptloom.session import materialize
 from promptloom.plans.sqlutil import lit
@@ -168,8 +169,7 @@ def rendered(spark, sf_dir):
     s = eval_samples(spark, sf_dir)
     gold, pred = _units(s)
     s = s.select("doc_id", "lang", gold.alias("gold_u"), pred.alias("pred_u"))
-    modes = spark.createDataFrame([(m,) for m in EVAL_MODES], "mode string")
-    x = s.crossJoin(F.broadcast(modes))
+    x = expand_rows(s, [(m,) for m in EVAL_MODES], ["mode"])
     tgt = pr = None
     for m in EVAL_MODES:
         c = F.col("mode") == m

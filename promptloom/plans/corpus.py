@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from promptloom.functions.columns import md5_rank_key
+from promptloom.functions.columns import expand_rows
 from promptloom.operators.joins import join_small
 from promptloom.operators.order import first_last_split, with_global_index
 from promptloom.operators.prep import append_instruction, drop_empty_answers, fill_template
@@ -106,8 +107,7 @@ def q09(spark, sf_dir):
     task = bench.select(F.lit("task").alias("source"), F.col("item_id").alias("sample_id"),
                         F.lit(0).alias("variant"), F.substring_index("text", ".", 1).alias("q"),
                         F.col("text").alias("a"))
-    para = spark.createDataFrame(PARAPHRASES, "variant int, template string")
-    aug = (task.drop("variant").crossJoin(F.broadcast(para))
+    aug = (expand_rows(task.drop("variant"), PARAPHRASES, ["variant", "template"])
            .select("source", "sample_id", "variant", fill_template(F.col("template"), F.col("q")).alias("q"), "a"))
     mixed = drop_empty_answers(general.unionByName(task).unionByName(aug), "a")
     best = mixed.groupBy("q", "a").agg(F.min(F.struct("source", "sample_id", "variant")).alias("_m"))

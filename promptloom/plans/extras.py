@@ -12,7 +12,7 @@ from promptloom.plans import absa as A
 from promptloom.plans.derive import ENTITY_TYPES, document_words, gp_sql
 from promptloom.plans.ner_eval import STRICT_BOUNDARIES, _prf_sql
 from promptloom.plans.registry import ORACLES, register
-from promptloom.functions.columns import pick
+from promptloom.functions.columns import expand_rows, pick
 from promptloom.sources.tables import table
 
 SEEDS = 5
@@ -71,10 +71,10 @@ def q48(spark, sf_dir):
     etype = pick(ENTITY_TYPES, F.col("n_letters") % 5)
     gold = w.filter(F.col("pos") % 3 != 0).select(
         "doc_id", F.lit("gold").alias("side"), etype.alias("e_type"), F.col("name").alias("e_name"))
-    seeds = spark.range(SEEDS).select(F.col("id").cast("int").alias("seed"))
-    gold = gold.crossJoin(F.broadcast(seeds))
+    seeds = [(s,) for s in range(SEEDS)]
+    gold = expand_rows(gold, seeds, ["seed"])
     sp = F.col("pos") + F.col("seed")
-    pred = (w.crossJoin(F.broadcast(seeds)).filter(sp % 4 != 0)
+    pred = (expand_rows(w, seeds, ["seed"]).filter(sp % 4 != 0)
             .select("doc_id", F.lit("pred").alias("side"), etype.alias("e_type"),
                     F.when(sp % 5 == 0, F.expr("substring(name, 1, n_letters - 1)")).otherwise(F.col("name")).alias("e_name"),
                     "seed"))

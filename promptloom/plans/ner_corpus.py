@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from promptloom.operators.ner import corpus_stats, lookup_types, nested_spans, sentence_summary, span_text
 from promptloom.plans.derive import ENTITY_TYPES
+from promptloom.functions.columns import expand_rows
 from promptloom.plans.registry import register
 from promptloom.session import materialize
 from promptloom.sources.tables import table
@@ -123,8 +124,7 @@ def q20(spark, sf_dir):
     duplicate removal keeps the first sentence per context via an aggregation
     that combines duplicates map-side."""
     c = span_corpus(spark, sf_dir)
-    types = spark.createDataFrame([(i, t) for i, t in enumerate(ENTITY_TYPES)], "t int, entity_label string")
-    mrc = c.crossJoin(F.broadcast(types)).select(
+    mrc = expand_rows(c, list(enumerate(ENTITY_TYPES)), ["t", "entity_label"]).select(
         (F.col("doc_id") * NUM_TYPE + F.col("t")).alias("line"),
         F.array_join("tokens", " ").alias("context"), "entity_label",
         F.transform(F.filter("entities", lambda x: x["type"] == F.col("entity_label")),

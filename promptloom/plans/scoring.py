@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from promptloom.operators.scoring import batch_predict, pairwise_loss, retry_set, reward, reward_accuracy, run_monitor
+from promptloom.functions.columns import expand_rows
 from promptloom.plans.registry import register
 from promptloom.plans.sqlutil import lit
 from promptloom.sources.tables import table
@@ -116,7 +117,7 @@ def q41(spark, sf_dir):
     verb = spark.createDataFrame(VERBALIZER, "class int, word string")
     hits = words.join(F.broadcast(verb.select("word").distinct()), "word").groupBy("doc_id", "word").agg(
         F.count(F.lit(1)).alias("c"))
-    grid = totals.crossJoin(F.broadcast(verb))  # documents × 8 fixed label words
+    grid = expand_rows(totals, VERBALIZER, ["class", "word"])  # documents × 8 fixed label words
     p = grid.join(hits, ["doc_id", "word"], "left").withColumn("prob", F.coalesce("c", F.lit(0)) / F.col("n"))
     return p.groupBy("doc_id", "class").agg(F.round(F.avg("prob") * 100, 2).alias("score"))
 
