@@ -38,19 +38,28 @@ FROM documents GROUP BY source""")(q44)
 
 def q45(spark, sf_dir):
     """Events laid out as N_FILES files in time order and streamed through
-    a 1-day tumbling window with a 1-hour watermark."""
-    ev = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value",
-                                               "props")
-    src = scratch(spark, "events")
-    # files arrive in event-time order: one append per time slice, written in sequence
-    lo, hi = ev.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    step = (hi - lo) // N_FILES + 1
-    for i in range(N_FILES):
-        us = F.unix_micros("ts")
-        ev.filter((us >= lo + i * step) & (us < lo + (i + 1) * step)).coalesce(1).write.mode("append").parquet(src)
-    res = windowed_monitor(spark, src, "ts timestamp, event_type string, value double, props string",
-                           "ts", "event_type", "value", "props")
-    return res.select(F.col("window_start").cast("string").alias("window_start"), "event_type",
+    a 1-day tumbling window with a 1-hour watermark.  Event times are
+    wall-clock (timestamp_ntz) values read as UTC; window starts are rendered
+    as UTC wall-clock strings inside the job, so the result does not depend on
+    the caller's session time zone."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        ev = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value",
+                                                   "props")
+        src = scratch(spark, "events")
+        # files arrive in event-time order: one append per time slice, written in sequence
+        micros = F.unix_micros("ts")
+        lo, hi = ev.agg(F.min(micros), F.max(micros)).first()
+        step = (hi - lo) // N_FILES + 1
+        for i in range(N_FILES):
+            ev.filter((micros >= lo + i * step) & (micros < lo + (i + 1) * step)).coalesce(1) \
+                .write.mode("append").parquet(src)
+        res = windowed_monitor(spark, src, "ts timestamp, event_type string, value double, props string",
+                               "ts", "event_type", "value", "props")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+    return res.select("window_start", "event_type",
                       F.col("n").cast("long").alias("n"), F.round("mean_value", 6).alias("mean_value"),
                       F.round("mean_len", 6).alias("mean_len"))
 

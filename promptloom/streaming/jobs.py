@@ -62,7 +62,8 @@ def windowed_monitor(spark: SparkSession, source_dir: str, schema: str, ts: str,
            .groupBy(F.window(ts, window).alias("w"), group)
            .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"),
                 F.avg(F.length(response)).alias("mean_len")))
-    agg = agg.select(F.col("w.start").alias("window_start"), group, "n", "mean_value", "mean_len")
+    agg = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), group, "n",
+                     "mean_value", "mean_len")
     q = (agg.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
          .foreachBatch(_append_batches(agg, f"{base}/out")).trigger(availableNow=True).start())
     q.awaitTermination()
