@@ -31,6 +31,16 @@ def lookup_types(ents: DataFrame, types: DataFrame, code_col: str = "e_type") ->
         F.col("_verbose"), F.raise_error(F.concat(F.lit("unknown entity type: "), F.col(code_col))))).drop("_verbose")
 
 
+def sort_entities(entities: Column) -> Column:
+    """Entities ordered by start, ties kept in list order (stable); each
+    element gains ``idx``, its position in the original list."""
+    n = F.size(entities)
+    z = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("idx"), entities.alias("e"))
+    keyed = F.transform(z, lambda x: F.struct(x["e"]["start"].alias("start"), x["idx"].alias("idx"), x["e"].alias("e")))
+    return F.when(n > 0, F.array_sort(keyed)).otherwise(F.array().cast(
+        "array<struct<start:int,idx:int,e:struct<start:int,end:int,type:string>>>"))
+
+
 def nested_spans(ents: DataFrame, doc: str, start: str = "start", end: str = "end",
                  width: int = BUCKET_WIDTH) -> DataFrame:
     """(doc, start, end, nested) per distinct span.  A span is nested when

@@ -60,3 +60,10 @@ def batch_ids(df: DataFrame, order_cols: list[str], batch_size: int,
     idx = with_global_index(df, order_cols, index_col)
     return (idx.withColumn("batch_id", F.floor(F.col(index_col) / batch_size).cast("long"))
             .withColumn("slot", (F.col(index_col) % batch_size).cast("int")))
+
+
+def first_n(df: DataFrame, order_cols: list[str], n: int, index_col: str = "idx") -> DataFrame:
+    """The first ``n`` rows in order; ``n < 0`` keeps every row."""
+    if n < 0:
+        return df
+    return with_global_index(df, order_cols, index_col).filter(F.col(index_col) < n).drop(index_col)

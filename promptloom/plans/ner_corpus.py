@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promptloom.operators.ner import corpus_stats, lookup_types, nested_spans, sentence_summary, span_text
+from promptloom.operators.ner import (
+    corpus_stats, lookup_types, nested_spans, sentence_summary, sort_entities, span_text)
 from promptloom.plans.derive import ENTITY_TYPES
 from promptloom.functions.columns import expand_rows
 from promptloom.plans.registry import register
@@ -53,8 +54,10 @@ def span_corpus(spark, sf_dir):
 
 def _entity_rows(spark, sf_dir):
     c = span_corpus(spark, sf_dir)
-    e = c.select("doc_id", "tokens", F.posexplode("entities").alias("idx", "ent"))
-    e = e.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("ent.start").alias("start"),
+    e = c.select("doc_id", "tokens", F.posexplode(sort_entities(F.col("entities"))).alias("rank", "s"))
+    e = e.select("doc_id", F.col("s.idx").cast("long").alias("idx"), F.col("rank").cast("long").alias("rank"),
+                 F.col("s.e").alias("ent"), "tokens")
+    e = e.select("doc_id", "idx", "rank", F.col("ent.start").alias("start"),
                  F.col("ent.end").alias("end"), F.col("ent.type").alias("e_type"),
                  span_text(F.col("tokens"), F.col("ent.start"), F.col("ent.end")).alias("e_name"))
     e = materialize(lookup_types(e, _types_df(spark)))
@@ -63,10 +66,11 @@ def _entity_rows(spark, sf_dir):
 
 
 def q18(spark, sf_dir):
-    """Entity rows with span text, verbose type and nested flag
-    (entity order = start, then original position)."""
+    """Entity rows with span text, verbose type, nested flag and
+    rank = position after the stable sort by start (computed on the row's own
+    entity array, no window)."""
     _, e = _entity_rows(spark, sf_dir)
-    return e.select("doc_id", "idx", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+    return e.select("doc_id", "idx", "rank", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
                     "e_type", "e_type_verbose", "e_name", "nested")
 
 
@@ -90,7 +94,8 @@ nst AS (
 en AS (SELECT e.*, (n.doc_id IS NOT NULL) AS nested FROM e LEFT JOIN nst n USING (doc_id, start, "end"))"""
 
 register("q18_span_text_stats", oracle=f"""WITH {_CORPUS_SQL}
-SELECT doc_id, idx, start, "end", e_type, e_type_verbose, e_name, nested FROM en""")(q18)
+SELECT doc_id, idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, idx) - 1 AS BIGINT) AS rank,
+       start, "end", e_type, e_type_verbose, e_name, nested FROM en""")(q18)
 
 
 def q19(spark, sf_dir):

@@ -23,3 +23,10 @@ def test_first_last_overlap_and_batches(spark):
     assert [d for sp, d in got if sp == "test"] == list(range(5, 10))
     b = {r.doc: (r.batch_id, r.slot) for r in batch_ids(df, ["doc"], 4).collect()}
     assert b[0] == (0, 0) and b[5] == (1, 1) and b[9] == (2, 1)
+
+
+def test_first_n(spark):
+    from promptloom.operators.order import first_n
+    df = spark.range(10).withColumnRenamed("id", "doc")
+    assert sorted(r.doc for r in first_n(df, ["doc"], 3).collect()) == [0, 1, 2]
+    assert first_n(df, ["doc"], -1).count() == 10
