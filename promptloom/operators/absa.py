@@ -247,14 +247,20 @@ def accuracy(pairs: DataFrame, group_cols: list[str], sample_cols: list[str]) ->
                       F.round(F.col("correct") / F.col("total"), 4).alias("acc"))
 
 
-def format_check(entries: DataFrame, samples: DataFrame, keys: list[str], domain: str) -> DataFrame:
+def format_check(entries: DataFrame, samples: DataFrame, keys: list[str], domain: str,
+                 mode_col: str = "mode") -> DataFrame:
     """M10 (hard mode): a prediction passes when its key set equals the
     domain's aspects and every value is a legal class; otherwise its dict is
-    emptied and its error becomes check_error.  Returns keys + (passed bool)."""
+    emptied and its error becomes check_error.  In the omit-unmentioned designs
+    missing aspects are first filled with 未提及 (the design's intent), so only
+    unknown keys or illegal values fail.  Returns keys + (passed bool)."""
     aspects = ASPECTS[domain]
     per = entries.groupBy(*keys).agg(
         F.count_if(F.col("key").isin(*aspects)).alias("_known"),
         F.count(F.lit(1)).alias("_n"),
         F.count_if(~F.col("value").isin(*SENTIMENTS)).alias("_bad"))
-    ok = (F.col("_known") == len(aspects)) & (F.col("_n") == len(aspects)) & (F.col("_bad") == 0)
-    return samples.select(*keys).join(per, keys, "left").select(*keys, F.coalesce(ok, F.lit(False)).alias("passed"))
+    full = (F.col("_known") == len(aspects)) & (F.col("_n") == len(aspects)) & (F.col("_bad") == 0)
+    filled = (F.col("_known") == F.col("_n")) & (F.col("_bad") == 0)
+    omit = F.col(mode_col).isin(*OMIT_MODES)
+    ok = F.when(omit, F.coalesce(filled, F.lit(True))).otherwise(F.coalesce(full, F.lit(False)))
+    return samples.select(*keys).join(per, keys, "left").select(*keys, ok.alias("passed"))
