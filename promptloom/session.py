@@ -58,3 +58,16 @@ def materialize(df):
     # fresh attribute ids: the checkpoint keeps the ids of the plan it came
     # from, which confuses the planner when both are joined later
     return ck.select(*[F.col(f"`{c}`").alias(c) for c in ck.columns])
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 << 20,
+                  expansion: float = 4.0) -> int:
+    """Set shuffle parallelism from the input size: exploded text and tokens
+    grow the shuffled volume by ``expansion`` over the compressed parquet
+    input; each partition aims at ``target_bytes``.  AQE then coalesces small
+    partitions and splits skewed ones at run time."""
+    cores = spark.sparkContext.defaultParallelism
+    n = max(2 * cores, int(input_bytes * expansion // target_bytes) + 1)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(target_bytes, 128 << 20)))
+    return n
