@@ -17,7 +17,7 @@ _ROW_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partiti
 
 
 def with_global_index(df: DataFrame, order_cols: list[str | Column], index_col: str = "idx",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, total_col: str | None = None) -> DataFrame:
     """Add a 0-based dense position of every row in the order ``order_cols``.
 
     The order must be total (end it with a unique column) for a deterministic
@@ -30,10 +30,13 @@ def with_global_index(df: DataFrame, order_cols: list[str | Column], index_col:
     tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(index_col, (F.col("_off") + F.col("_row")).cast("long"))
-            .drop("_pid", "_row", "_off"))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"),
+                            F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    out = (tagged.join(F.broadcast(offsets), "_pid")
+           .withColumn(index_col, (F.col("_off") + F.col("_row")).cast("long")))
+    if total_col:
+        out = out.withColumn(total_col, F.col("_all").cast("long"))
+    return out.drop("_pid", "_row", "_off", "_all")
 
 
 def first_last_split(df: DataFrame, order_cols: list[str], n_first: Column | int, n_last: Column | int,
@@ -44,9 +47,7 @@ def first_last_split(df: DataFrame, order_cols: list[str], n_first: Column | int
     in both is emitted once per split.  ``n_first``/``n_last`` may be columns
     (e.g. derived from the row count) or ints.
     """
-    idx = with_global_index(df, order_cols, index_col)
-    total = idx.agg(F.count(F.lit(1)).alias("_total"))
-    j = idx.crossJoin(F.broadcast(total))  # one-row frame
+    j = with_global_index(df, order_cols, index_col, total_col="_total")  # total from the partition counts
     nf = n_first if isinstance(n_first, Column) else F.lit(n_first)
     nl = n_last if isinstance(n_last, Column) else F.lit(n_last)
     first = j.filter(F.col(index_col) < nf).withColumn("split", F.lit("train"))

@@ -60,9 +60,8 @@ def q07(spark, sf_dir):
     moves to test (test ∪ train[k:], train = train[:k])."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     test = docs.filter(F.col("lang") == "es").select("doc_id", F.lit("test").alias("split"))
-    train = with_global_index(docs.filter(F.col("lang") != "es").select("doc_id"), ["doc_id"])
-    k = train.agg(F.floor(F.count(F.lit(1)) * KEEP_TRAIN_FRACTION).alias("_k"))
-    train = train.crossJoin(F.broadcast(k))  # one-row frame
+    train = with_global_index(docs.filter(F.col("lang") != "es").select("doc_id"), ["doc_id"], total_col="_n")
+    train = train.withColumn("_k", F.floor(F.col("_n") * KEEP_TRAIN_FRACTION))
     moved = train.filter(F.col("idx") >= F.col("_k")).select("doc_id", F.lit("test").alias("split"))
     kept = train.filter(F.col("idx") < F.col("_k")).select("doc_id", F.lit("train").alias("split"))
     return test.unionByName(moved).unionByName(kept)
