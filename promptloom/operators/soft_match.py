@@ -71,12 +71,19 @@ def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
     rest = materialize(pn.join(gn.select(doc, "gname").withColumnRenamed("gname", "name"), [doc, "name"], "left_anti"))
 
     # containment pairs; a contained string shorter than a third of the other
-    # cannot reach ratio 0.5, so shorter substrings are not generated
+    # cannot reach ratio 0.5, and a substring shorter than every name of the
+    # other side in the same sample cannot match, so neither is generated
     third = lambda c: F.floor(F.length(c) / 3) + 1
     g_keys = gn.select(doc, "gname", "gidx")
-    c1 = (rest.select(doc, "name", F.explode(proper_substrings(F.col("name"), third("name"))).alias("gname"))
+    g_min = gn.groupBy(doc).agg(F.min(F.length("gname")).alias("_gmin"))
+    p_min = rest.groupBy(doc).agg(F.min(F.length("name")).alias("_pmin"))
+    c1 = (rest.join(g_min, doc)
+          .select(doc, "name", F.explode(proper_substrings(F.col("name"), F.greatest(third("name"), F.col("_gmin"))))
+                  .alias("gname"))
           .distinct().join(g_keys, [doc, "gname"]))
-    c2 = (g_keys.select(doc, "gname", "gidx", F.explode(proper_substrings(F.col("gname"), third("gname"))).alias("name"))
+    c2 = (g_keys.join(p_min, doc)
+          .select(doc, "gname", "gidx", F.explode(proper_substrings(F.col("gname"), F.greatest(third("gname"), F.col("_pmin"))))
+                  .alias("name"))
           .distinct().join(rest, [doc, "name"]))
     lp, lg = F.length("name"), F.length("gname")
     closed = 2.0 * F.least(lp, lg) / (lp + lg)
