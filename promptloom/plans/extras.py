@@ -71,16 +71,13 @@ def q48(spark, sf_dir):
     deviation of F1 over seeds (one aggregation keyed by seed)."""
     w = document_words(table(spark, sf_dir, "documents"))
     etype = pick(ENTITY_TYPES, F.col("n_letters") % 5)
-    gold = w.filter(F.col("pos") % 3 != 0).select(
-        "doc_id", F.lit("gold").alias("side"), etype.alias("e_type"), F.col("name").alias("e_name"))
-    seeds = [(s,) for s in range(SEEDS)]
-    gold = expand_rows(gold, seeds, ["seed"])
+    # one scan of the words: each word is tagged once per (side, seed)
+    x = expand_rows(w, [(side, s) for side in ("gold", "pred") for s in range(SEEDS)], ["side", "seed"])
     sp = F.col("pos") + F.col("seed")
-    pred = (expand_rows(w, seeds, ["seed"]).filter(sp % 4 != 0)
-            .select("doc_id", F.lit("pred").alias("side"), etype.alias("e_type"),
-                    F.when(sp % 5 == 0, F.expr("substring(name, 1, n_letters - 1)")).otherwise(F.col("name")).alias("e_name"),
-                    "seed"))
-    ents = casefold(gold.unionByName(pred))
+    keep = F.when(F.col("side") == "gold", F.col("pos") % 3 != 0).otherwise(sp % 4 != 0)
+    name = (F.when((F.col("side") == "pred") & (sp % 5 == 0), F.expr("substring(name, 1, n_letters - 1)"))
+            .otherwise(F.col("name")))
+    ents = casefold(x.filter(keep).select("doc_id", "side", etype.alias("e_type"), name.alias("e_name"), "seed"))
     keys = {k: ["seed"] + v for k, v in STRICT_BOUNDARIES.items()}
     per_seed = micro_prf(multiset_outcome(key_counts(ents, "doc_id", keys)), ["match", "seed"])
     return per_seed.groupBy("match").agg(F.count(F.lit(1)).alias("n_seeds"),
