@@ -36,10 +36,12 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
         .drop("_last", "batch_id").dropDuplicates(keys)
 
 
-def format_error_counts(spark: SparkSession, source_dir: str, max_files: int = 1) -> DataFrame:
+def format_error_counts(spark: SparkSession, source_dir: str, max_files: int = 1,
+                        base: str | None = None) -> DataFrame:
     """R1 + R2: running counts of rows, empty outputs and failed calls per
-    target over prediction files as they arrive."""
-    base = scratch(spark, "fmt-stream")
+    target over prediction files as they arrive.  Re-running with the same
+    ``base`` resumes from its checkpoint and only reads files not seen yet."""
+    base = base or scratch(spark, "fmt-stream")
     stream = (spark.readStream.schema(PREDICTION_SCHEMA).option("maxFilesPerTrigger", max_files).json(source_dir))
     agg = stream.groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.count_if(F.col("prediction") == "").alias("n_empty"),
