@@ -4,6 +4,7 @@ and small array codecs for packed exchange between tasks."""
 from __future__ import annotations
 
 import uuid
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -77,3 +78,39 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class WordIndex:
+    """Numbers for the words (runs without ``[\\x20\\x09-\\x0D]``) a task has met.
+
+    Holds ``limit`` words at most and then starts anew (``on_reset``), which
+    bounds a task's memory; what is looked up stays the same."""
+
+    def __init__(self, limit: int, on_new, on_reset):
+        self.limit, self.on_new, self.on_reset = limit, on_new, on_reset
+        self.at: dict[bytes, int] = {}
+
+    def look(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words in each text, and the numbers of all words, one text after the other."""
+        split = [t.split() for t in texts]  # bytes split exactly at these six characters
+        n_words = np.fromiter(map(len, split), np.int64, len(split))
+        flat = list(chain.from_iterable(split))
+        found = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([flat[i] for i in missing]))
+            if self.at and len(self.at) + len(new) > self.limit:
+                self.at = {}
+                self.on_reset()
+                return self.look(texts)
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.on_new(new)
+            found[missing] = np.fromiter((self.at[flat[i]] for i in missing), np.int64, len(missing))
+        return n_words, found
+
+
+def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum of each run of ``lengths`` consecutive values."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]

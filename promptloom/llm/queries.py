@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import exact_dedup, mixing, sharding
+from promptloom.llm import exact_dedup, mixing, sharding, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,11 +25,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op1_token_counts")
+def op1(spark, sf_dir):
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @_query("op2_exact_dedup", exact_dedup.ORACLE)
 def op2(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_query("op3_token_files")
+def op3(spark, sf_dir):
+    return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @_query("op4_mix_sources")
 def op4(spark, sf_dir):
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
