@@ -41,6 +41,7 @@ def text_or_empty(col: str = "text"):
 
 def slices(sizes, limit: int):
     """(start, end) row ranges of at most ``limit`` bytes each, one row at least."""
+    sizes = list(sizes)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

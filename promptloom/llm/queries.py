@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import exact_dedup, mixing, sharding, token_counts, token_files
+from promptloom.llm import decontaminate, exact_dedup, language_id, mixing, sharding, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @_query("op1_token_counts")
 def op1(spark, sf_dir):
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -54,3 +59,16 @@ def op4(spark, sf_dir):
 @_query("op5_shard")
 def op5(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query("op6_decontaminate")
+def op6(spark, sf_dir):
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op7_language_id")
+def op7(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(language_id.training_rows(docs), pieces_path())
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
