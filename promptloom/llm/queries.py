@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import decontaminate, exact_dedup, language_id, mixing, sharding, token_counts, token_files
+from promptloom.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, sharding, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op7(spark, sf_dir):
     model = language_id.train(language_id.training_rows(docs), pieces_path())
     return language_id.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query("op8_ngram_join")
+def op8(spark, sf_dir):
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
