@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import WordIndex, pack, slices, text_or_empty, unpack
@@ -22,11 +22,11 @@ from promptloom.llm.common import WordIndex, pack, slices, text_or_empty, unpack
 CHUNK_DOCS = 1 << 12
 CHUNK_BYTES = 8 << 20
 CACHE_WORDS = 1_000_000
-SCHEMA = "chunk long, doc_ids array<long>, n_words long, lengths binary, lexicon binary, words binary, info binary"
+SCHEMA = "chunk long, doc_ids array<long>, marks binary, n_words long, lengths binary, lexicon binary, words binary, info binary"
 
 
-def token_chunks(docs: DataFrame, hook: Callable | None = None) -> DataFrame:
-    """Chunks of ``docs`` (doc_id, text).  ``hook()`` makes, per task, an object
+def token_chunks(docs: DataFrame, hook: Callable | None = None, mark: Column | None = None) -> DataFrame:
+    """Chunks of ``docs`` (doc_id, text); ``mark``, a boolean, is kept for each document.  ``hook()`` makes, per task, an object
     with ``info(lengths, hashes) -> bytes`` (kept beside each chunk; ``hashes`` has
     every word) and ``finish() -> bytes`` (kept in one last row, chunk < 0)."""
 
@@ -49,14 +49,14 @@ def token_chunks(docs: DataFrame, hook: Callable | None = None) -> DataFrame:
         index = WordIndex(CACHE_WORDS, learn, forget)
         extra = hook() if hook else None
 
-        def row(chunk, doc_ids, n_words, lengths, lexicon, words, info):
+        def row(chunk, doc_ids, marks, n_words, lengths, lexicon, words, info):
             return pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_words], pa.int64()),
-                 pa.array([lengths], pa.binary()), pa.array([lexicon], pa.binary()), pa.array([words], pa.binary()),
+                [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([marks], pa.binary()),
+                 pa.array([n_words], pa.int64()), pa.array([lengths], pa.binary()), pa.array([lexicon], pa.binary()), pa.array([words], pa.binary()),
                  pa.array([info], pa.binary())],
-                names=["chunk", "doc_ids", "n_words", "lengths", "lexicon", "words", "info"])
+                names=["chunk", "doc_ids", "marks", "n_words", "lengths", "lexicon", "words", "info"])
 
-        def chunk_row(doc_ids, texts):
+        def chunk_row(doc_ids, marks, texts):
             nonlocal seq
             lengths, words = index.look([t.lower() for t in texts])
             every = hashes[words]
@@ -65,31 +65,34 @@ def token_chunks(docs: DataFrame, hook: Callable | None = None) -> DataFrame:
             place = np.zeros(len(hashes), np.uint32)
             place[used[order]] = np.arange(len(used), dtype=np.uint32)
             info = extra.info(lengths, every) if extra else b""
-            out = row((part << 24) | seq, doc_ids, len(words), pack(lengths), hashes[used[order]].tobytes(),
+            out = row((part << 24) | seq, doc_ids, bytes(marks), len(words), pack(lengths), hashes[used[order]].tobytes(),
                       pack(place[words]), info)
             seq += 1
             return out
 
         held_ids: list = []
+        held_marks: list = []
         held: list = []
         size = 0
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            ids, marks, texts = (b.column(c).to_pylist() for c in ("doc_id", "mark", "text"))
             for i, j in slices(map(len, texts), CHUNK_BYTES):
                 for k in range(i, j, CHUNK_DOCS):
                     more = texts[k:min(j, k + CHUNK_DOCS)]
                     if held and (size + sum(map(len, more)) > CHUNK_BYTES or len(held) + len(more) > CHUNK_DOCS):
-                        yield chunk_row(held_ids, held)
-                        held_ids, held, size = [], [], 0
+                        yield chunk_row(held_ids, held_marks, held)
+                        held_ids, held_marks, held, size = [], [], [], 0
                     held_ids += ids[k:k + len(more)]
+                    held_marks += marks[k:k + len(more)]
                     held += more
                     size += sum(map(len, more))
         if held:
-            yield chunk_row(held_ids, held)
+            yield chunk_row(held_ids, held_marks, held)
         if extra:
-            yield row(-1 - part, [], 0, b"", b"", b"", extra.finish())
+            yield row(-1 - part, [], b"", 0, b"", b"", b"", extra.finish())
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    mark = F.lit(False) if mark is None else mark
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(mark, F.lit(False)).alias("mark"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 
 

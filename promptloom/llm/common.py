@@ -4,7 +4,7 @@ and small array codecs for packed exchange between tasks."""
 from __future__ import annotations
 
 import uuid
-from itertools import chain, repeat
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +30,15 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """:func:`stored`, in buckets of ``key``: joins on it need no exchange of this table."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    (df.write.format("parquet").option("compression", "none").option("path", shared_path(spark, name))
+     .bucketBy(parallelism(spark), key).saveAsTable(table))
+    return spark.table(table)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks of a shuffle, as the session is configured for its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -81,32 +90,36 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class _Numbers(dict):
+    """Numbers keys in the order of their first lookup."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class WordIndex:
     """Numbers for the words (runs without ``[\\x20\\x09-\\x0D]``) a task has met.
 
-    Holds ``limit`` words at most and then starts anew (``on_reset``), which
-    bounds a task's memory; what is looked up stays the same."""
+    Holds about ``limit`` words (and those of one batch) at most and then starts
+    anew (``on_reset``), which bounds a task's memory; what is looked up stays the
+    same.  ``on_new`` gets the words numbered since the last call, in order."""
 
     def __init__(self, limit: int, on_new, on_reset):
         self.limit, self.on_new, self.on_reset = limit, on_new, on_reset
-        self.at: dict[bytes, int] = {}
+        self.at = _Numbers()
 
     def look(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words in each text, and the numbers of all words, one text after the other."""
+        if len(self.at) > self.limit:
+            self.at = _Numbers()
+            self.on_reset()
         split = [t.split() for t in texts]  # bytes split exactly at these six characters
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        flat = list(chain.from_iterable(split))
-        found = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(found < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys([flat[i] for i in missing]))
-            if self.at and len(self.at) + len(new) > self.limit:
-                self.at = {}
-                self.on_reset()
-                return self.look(texts)
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.on_new(new)
-            found[missing] = np.fromiter((self.at[flat[i]] for i in missing), np.int64, len(missing))
+        known = len(self.at)
+        found = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        if len(self.at) > known:
+            self.on_new(list(islice(self.at, known, None)))
         return n_words, found
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.chunks import CHUNK_DOCS, chunk_words, mix, token_chunks
-from promptloom.llm.common import pack, stored, unpack
+from promptloom.llm.common import pack, parallelism, stored, stored_by, unpack
 from promptloom.llm.components import components
 
 SKETCH = 1 << 20  # cells of the n-gram count sketch
@@ -52,6 +52,8 @@ BUCKET_ROWS = 500_000
 BLOCK = 256
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                   0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+#: Expected list length of a segment by its uncommon n-grams, and a part for all of them.
+BY_LOAD, BY_SIZE = 4.0 ** -np.arange(21), 1e-3 * 2.0 ** -np.arange(21)
 INDEX, PROBE, DELETED = 1 << 12, 1 << 13, 1 << 14  # flags above the 12 bits of a document's place
 
 
@@ -84,6 +86,7 @@ class Bands:
     def __init__(self, num: int = 75):
         self.num = num
         self.tops: list[int] = []
+        self.salts: dict[tuple[int, int], tuple] = {}
 
     def _reach(self, size: int) -> None:
         while not self.tops or self.tops[-1] < size:
@@ -101,6 +104,13 @@ class Bands:
         """Most elements in which a set of this size and a set of the band, no larger, may differ."""
         return (size + min(size, self.tops[band])) * (100 - self.num) // (100 + self.num)
 
+    def salt(self, band: int, family: int, m: int) -> tuple[np.uint64, np.ndarray]:
+        """Salts of a partition and of its segments."""
+        if (band, family) not in self.salts:
+            own = np.uint64((band * 8 + family + 1) * int(STEPS[5]) % 2**64)
+            self.salts[band, family] = own, mix(np.arange(m, dtype=np.uint64) + own)
+        return self.salts[band, family]
+
     def segments(self, band: int) -> tuple[int, int, int]:
         """Segments, how many of them have one-deletion neighbourhoods, partitions."""
         top = self.tops[band]
@@ -122,24 +132,21 @@ def signatures(s: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndar
         need = bands.differ(len(s), band) + 1
         served = False
         for family in range(families):
-            salt = np.uint64((band * 8 + family + 1) * int(STEPS[5]) % 2**64)
+            salt, seg_salt = bands.salt(band, family, m)
             seg = ((mix(s ^ salt) >> np.uint64(24)) % np.uint64(m)).astype(np.int64)
             size = np.bincount(seg, minlength=m)
             load = np.bincount(seg, weights=~common, minlength=m)
             total = np.zeros(m, np.uint64)
             np.add.at(total, seg, s)
-            seg_salt = mix(np.arange(m, dtype=np.uint64) + salt)
             exact = mix(total ^ seg_salt)
             used = np.flatnonzero(size)
             picked = np.zeros(m, np.int64)
             if not served:
                 # units in rising cost: a list shortens with each uncommon n-gram of the segment
-                cost = [4.0 ** -np.minimum(load[used], 20) + 1e-3 * 2.0 ** -np.minimum(size[used], 20)]
-                unit = [used]
-                near = used[used < q]
-                cost.append(4.0 * size[near] * (4.0 ** -np.minimum(load[near], 20) + 1e-3 * 2.0 ** -np.minimum(size[near], 20)))
-                unit.append(near)
-                units = np.concatenate(unit)[np.argsort(np.concatenate(cost), kind="stable")[:need]]
+                cost = BY_LOAD[np.minimum(load[used], 20).astype(np.int64)] + BY_SIZE[np.minimum(size[used], 20)]
+                n_near = int(np.searchsorted(used, q))
+                cost = np.concatenate([cost, 4 * size[used[:n_near]] * cost[:n_near]])
+                units = np.concatenate([used, used[:n_near]])[np.argsort(cost, kind="stable")[:need]]
                 if len(units) == need:
                     np.add.at(picked, units, 1)
                     served = True
@@ -394,23 +401,23 @@ def _verify(members: DataFrame, num: int) -> DataFrame:
     return members.groupBy("c", "block").applyInArrow(run, "a long, b long, met boolean")
 
 
-def _star_links(chunks: DataFrame, stars: DataFrame, n: int, num: int) -> list[DataFrame]:
+def _star_links(chunks: DataFrame, stars: DataFrame, n: int, num: int, block: int) -> list[DataFrame]:
     sizes = stars.groupBy("c").agg(F.count("*").alias("k"))
-    blocks = sizes.select("c", F.when(F.col("k") <= BLOCK, 0).otherwise(F.ceil(F.col("k") / BLOCK)).cast("long").alias("n_blocks"))
+    blocks = sizes.select("c", F.when(F.col("k") <= block, 0).otherwise(F.ceil(F.col("k") / block)).cast("long").alias("n_blocks"))
     own = F.when(F.col("n_blocks") == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("x"), F.greatest("n_blocks", F.lit(1)))).cast("long")
     centre_blocks = F.when(F.col("n_blocks") == 0, F.array(F.lit(-1).cast("long"))).otherwise(
         F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
     in_blocks = stars.join(blocks, "c").select("x", "c", own.alias("block"), F.lit(MEMBER).alias("role"))
     centres = blocks.select(F.col("c").alias("x"), "c", F.explode(centre_blocks).alias("block"), F.lit(CENTRE).alias("role"))
-    first = stored(_verify(_sets_of(chunks, in_blocks.unionAll(centres), n), num), "star-links")
+    first = stored(_verify(_sets_of(chunks, in_blocks.unionByName(centres), n), num), "star-links")
     links = [first.filter("met").select("a", "b")]
     rest = first.filter("not met").select(F.col("a").alias("x"), F.col("b").alias("c"))
     if not rest.isEmpty():
         # what did not link with the centre meets every block of it
         open_c = rest.select("c").distinct().join(blocks, "c")
-        again = in_blocks.join(open_c.select("c"), "c", "left_semi").unionAll(centres.join(open_c.select("c"), "c", "left_semi"))
+        again = in_blocks.unionByName(centres).join(open_c.select("c"), "c", "left_semi")
         everywhere = rest.join(open_c, "c").select("x", "c", F.explode(centre_blocks).alias("block"), F.lit(REST).alias("role"))
-        second = stored(_verify(_sets_of(chunks, again.unionAll(everywhere), n), num), "rest-links")
+        second = stored(_verify(_sets_of(chunks, again.unionByName(everywhere), n), num), "rest-links")
         links.append(second.filter("met").select("a", "b"))
     return links
 
@@ -447,10 +454,10 @@ def _broad_links(chunks: DataFrame, broad: DataFrame, n: int, num: int, block_by
     return out + ([against(block)] if block else [])
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    chunks = stored(token_chunks(docs, lambda: _Info(n)), "token-chunks", "uncompressed")
+    chunks = stored_by(token_chunks(docs, lambda: _Info(n)), "ngram_chunks", "chunk")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     if total == 0:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"),
@@ -458,9 +465,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     sketch = _sketch(chunks)
     mean = sketch.mean()
     common = spark.sparkContext.broadcast(sketch > mean + 8 * np.sqrt(mean) + 32)  # one flag a cell
-    n_buckets = max(1, total // BUCKET_ROWS)
+    n_buckets = max(parallelism(spark), total // BUCKET_ROWS)
     stars = stored(_stars(_signature_rows(chunks, n, percent, n_buckets, common), n_buckets).distinct(), "stars")
-    links = _star_links(chunks, stars.filter("c >= 0"), n, percent)
+    links = _star_links(chunks, stars.filter("c >= 0"), n, percent, block)
     broad = stars.filter("c < 0").select("x")
     if not broad.isEmpty():
         links += _broad_links(chunks, broad, n, percent)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptloom.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, sharding, token_counts, token_files
+from promptloom.llm import decontaminate, exact_dedup, katz, language_id, mixing, ngram_join, sharding, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +78,11 @@ def op7(spark, sf_dir):
 @_query("op8_ngram_join")
 def op8(spark, sf_dir):
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_katz_scores")
+def op9(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    return katz.katz_scores(docs, training).select(
+        "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
