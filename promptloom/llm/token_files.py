@@ -38,6 +38,7 @@ from promptloom.llm.common import WordIndex, pack, parallelism, ragged, shared_p
 
 CACHE_WORDS = 1_000_000
 BATCH_BYTES = 4 << 20
+JOINED = 256
 FILE_IDS = 1 << 19
 MAX_PARTS_SENT = 500_000
 BLOCK_IDS = 1 << 16
@@ -125,6 +126,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
+        self.special = [s.encode() for s in special]
+        self.divider = next(iter(special.items()), None)
         self.words = WordIndex(CACHE_WORDS, self.learn, self.reset)
         self.reset()
 
@@ -134,9 +138,20 @@ class WordEncoder:
         self.size = np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        if self.divider and not any(s in w for w in words for s in self.special):
+            # many words in one call, told apart by a special token that none of them holds
+            text, token = self.divider
+            between = f" {text} ".encode()
+            calls = [between.join(words[i:i + JOINED]).decode() for i in range(0, len(words), JOINED)]
+            ids = np.concatenate([np.array([*e.ids, token], np.uint32)
+                                  for e in self.library.encode_batch_fast(calls, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == token)
+            size = np.diff(ends, prepend=-1) - 1
+            flat = ids[ids != token]
+        else:
+            found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, flat])
