@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import decontaminate, exact_dedup, katz, language_id, mixing, ngram_join, sharding, token_counts, token_files
+from promptloom.llm import (
+    decontaminate,
+    exact_dedup,
+    katz,
+    language_id,
+    mixing,
+    ngram_join,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +97,8 @@ def op9(spark, sf_dir):
     training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     return katz.katz_scores(docs, training).select(
         "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
