@@ -167,6 +167,20 @@ def _hits(docs: DataFrame, index) -> DataFrame:
     return docs.mapInArrow(run, f"row_id long, doc_id {kind}, n_words long, hits array<struct<a:long,b:long>>, items array<string>")
 
 
+def _clean(docs: DataFrame, index) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of the index occurs."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        table = index.value
+        single = any(isinstance(s, bytes) for s in table)
+        for b in batches:
+            clean = [not find_hits(words_of(t), table, single)[0] for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _summary(found: DataFrame) -> DataFrame:
     """Ranges and items of a document as its digest columns."""
 
@@ -186,6 +200,20 @@ def _summary(found: DataFrame) -> DataFrame:
         run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def _index(docs: DataFrame, block: list[tuple], width: int):
+    """The broadcast index of a block of items, ordered by the rarity of shingles in ``docs``."""
+    send = docs.sparkSession.sparkContext.broadcast
+    used = {s for _, t in block for w in windows_of(words_of(t), width) for s in shingles_of(w)}
+    return send(build_index(block, _shingle_counts(docs, send(used)) if used else {}, width))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, unchanged, that no benchmark window occurs in; one pass per block of items."""
+    for block in _blocks(benchmark, block_bytes)[0]:
+        docs = _clean(docs, _index(docs.select("text"), block, width))
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
@@ -195,9 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
         rows = stored(rows, "decontaminate-rows")
     parts = []
     for block in blocks:
-        used = {s for _, t in block for w in windows_of(words_of(t), width) for s in shingles_of(w)}
-        counts = _shingle_counts(rows, spark.sparkContext.broadcast(used)) if used else {}
-        hits = _hits(rows, spark.sparkContext.broadcast(build_index(block, counts, width)))
+        hits = _hits(rows, _index(rows, block, width))
         parts.append(hits if n_blocks == 1 else stored(hits, "hits"))
     if n_blocks == 1:
         return _summary(parts[0])

@@ -258,3 +258,10 @@ def held_out(modulus: int = 3):
 
 def training_rows(docs: DataFrame, modulus: int = 3) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & ~held_out(modulus))
+
+
+def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told with at least ``min_score``."""
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    found = predict(docs, model).filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    return found.select(*[F.col(f"`{c}`") for c in names])

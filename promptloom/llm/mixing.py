@@ -80,24 +80,29 @@ def shard_quotas(copies: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
 def plan_mix(docs: DataFrame, n_shards: int = 16, seed: int = 11, weights=WEIGHTS, share: float = 1.5,
              max_passes: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the columns ``keep``, size, source_size, target,
+    """One row per document: ``row`` (a struct of the columns ``keep``), size, source_size, target,
     taken and ``shards`` (one entry per copy that the mix takes)."""
     src = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source"), F.lit("")))
     text = F.col("text")
-    rows = stored(docs.select(
+    rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), src.alias("src"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("h")), "mix-rows")
-    per_source = rows.groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+        F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("h"))
+    if "text" in keep:  # texts are read again rather than stored
+        stats = stored(rows.select("src", "size", "h"), "mix-rows")
+    else:
+        rows = stats = stored(rows, "mix-rows")
+    per_source = stats.groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     n_blocks = F.ceil(F.sqrt("n")).cast("long")
     targets = stored(source_targets(per_source, weights, share, max_passes)
                      .join(per_source.select("src", n_blocks.alias("n_blocks")), "src"), "mix-targets")
     passes = F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0).cast("int")
-    # sources are joined by name: a hot one is dealt on by the hash of its rows
-    placed = (rows.join(F.broadcast(targets.select("src", "n_blocks")) if _small(targets) else
-                        targets.select("src", "n_blocks"), "src")
-              .select("row", "src", "size", "h", F.pmod(F.col("h"), F.col("n_blocks")).alias("block")))
-    blocks = placed.groupBy("src", "block").agg(F.sum("size").alias("block_words"))
+    block_counts = targets.select("src", "n_blocks")
+    if _small(targets):
+        block_counts = F.broadcast(block_counts)
+    block = F.pmod(F.col("h"), F.col("n_blocks")).alias("block")
+    placed = rows.join(block_counts, "src").select("row", "src", "size", "h", block)
+    blocks = stats.join(block_counts, "src").select("src", "size", block).groupBy("src", "block").agg(F.sum("size").alias("block_words"))
     permuted = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 1), "src", "block"), "block")
     start = F.coalesce(F.sum("block_words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = (blocks.join(targets.select("src", "words", "target", passes.alias("passes")), "src")
@@ -121,8 +126,8 @@ def plan_mix(docs: DataFrame, n_shards: int = 16, seed: int = 11, weights=WEIGHT
                (F.col("left") > 0) & (F.col("reached") - F.col("size") / 2 <= F.col("left")), 1).otherwise(0)))
     taken_shards = F.when(F.col("block_shards").isNull(), F.array().cast("array<int>")).otherwise(
         F.slice("block_shards", F.lit(1), F.least(F.col("n_copies"), F.size("block_shards"))))
-    return out.select("row.*", "size", F.col("words").alias("source_size"), "target", "h",
-                      taken_shards.alias("shards")).withColumn("taken", F.col("size") * F.size("shards"))
+    return out.select("row", "size", F.col("words").alias("source_size"), "target", "h", taken_shards.alias("shards"),
+                      (F.col("size") * F.size(taken_shards)).alias("taken"))
 
 
 def _small(table: DataFrame, limit: int = 8 << 20) -> bool:
@@ -134,8 +139,8 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 11, **params) -> DataFr
     """The mixed documents themselves, one row per copy: all columns of ``docs``
     plus mix_shard, ordered by hash inside each shard (the local shuffle)."""
     cols = tuple(docs.columns)
-    plan = plan_mix(docs, n_shards, seed, keep=("doc_id",), **params) if not cols else \
-        plan_mix(docs.select(*[F.col(f"`{c}`") for c in cols]), n_shards, seed, keep=cols, **params)
-    out = plan.select(*[F.col(f"`{c}`") for c in cols], "h", F.posexplode("shards").alias("copy", "mix_shard"))
-    return (out.repartitionByRange("mix_shard", F.xxhash64(F.lit(seed + 3), "h", "copy"))
-            .sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 3), "h", "copy")).drop("h", "copy"))
+    plan = plan_mix(docs, n_shards, seed, keep=cols, **params)
+    copies = plan.select("row", "h", F.posexplode("shards").alias("copy", "shard"))
+    place = F.xxhash64(F.lit(seed + 3), "h", "copy")
+    shuffled = copies.repartitionByRange("shard", place).sortWithinPartitions("shard", place)
+    return shuffled.select(*[F.col(f"row.`{c}`").alias(c) for c in cols if c != "mix_shard"], F.col("shard").alias("mix_shard"))

@@ -497,3 +497,15 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, block: int = BLOC
     out = (rows.join(named.select("node", F.col("name.id").alias("id")), "node").join(roots, "node", "left")
            .withColumn("c", F.coalesce("root", "id")))
     return out.select("doc_id", "n_shingles", F.when(F.col("c") < no_id, F.col("c")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """One row of every component of ``docs``, with all its columns.  Rows are told
+    apart by the hash of their doc_id and text, so repeated ids do no harm."""
+    key = F.xxhash64("doc_id", "text")
+    found = ngram_join(docs.select(key.alias("doc_id"), "text"), n, percent)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("row_key")).distinct()
+    names = docs.columns
+    rows = docs.select(key.alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    return (rows.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"])
+            .select(*[F.col(f"row.`{c}`").alias(c) for c in names]))

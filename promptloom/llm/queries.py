@@ -65,7 +65,7 @@ def op3(spark, sf_dir):
 @_query("op4_mix_sources")
 def op4(spark, sf_dir):
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return plan.select("row.doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 @_query("op5_shard")
@@ -102,3 +102,9 @@ def op9(spark, sf_dir):
 @_query("op10_suffix_dedup")
 def op10(spark, sf_dir):
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
