@@ -90,6 +90,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class PerWorker:
+    """One object of each kind for the life of a Python worker, so that the tasks
+    it runs one after the other share what they have learned."""
+
+    @classmethod
+    def get(cls, kind: str, key, make):
+        held = cls.__dict__.get("held")
+        if held is None:
+            cls.held = held = {}
+        if kind not in held or held[kind][0] != key:
+            held[kind] = (key, make())
+        return held[kind][1]
+
+
 class _Numbers(dict):
     """Numbers keys in the order of their first lookup."""
 

@@ -13,8 +13,8 @@ through the vocabulary file's own normaliser and pre-tokeniser, so every text
 counts exactly as with the library.  Special strings count one token, as by the
 library's default.
 
-A task keeps the counts of the words it has met, at most ``CACHE_WORDS`` (then
-it starts anew); this bounds memory and changes no result.
+A Python worker keeps the counts of the words it has met, about ``CACHE_WORDS``
+(then it starts anew); this bounds memory and changes no result.
 
 Defined cases: null text is empty (0 bytes, 0 tokens); ids may be null or
 repeated; very long texts are whole; an empty table gives an empty result;
@@ -30,9 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import WordIndex, slices, sums, text_or_empty
+from promptloom.llm.common import PerWorker, WordIndex, slices, sums, text_or_empty
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 BATCH_BYTES = 4 << 20
 NO_RANK = np.int64(1) << 40
 #: Characters that need no library normalisation: printable ASCII, precomposed
@@ -165,7 +165,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048) -
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        counter = WordCounter(tokenizer_path)
+        counter = PerWorker.get("counts", tokenizer_path, lambda: WordCounter(tokenizer_path))
         for b in batches:
             texts = b.column("text").to_pylist()
             counts: list[int] = []

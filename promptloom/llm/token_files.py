@@ -15,8 +15,8 @@ written, and any store that Spark can reach will do.  Reading decodes files
 independently; the global position of a file is the ids of the parts before its
 own (one row per writing task) plus those before it in its part, which the writer notes.
 
-Words that a task has met are kept with their ids (at most ``CACHE_WORDS``, then
-it starts anew): no token spans a space, so a text's ids are its words' ids.
+Words that a Python worker has met are kept with their ids (about ``CACHE_WORDS``,
+then it starts anew): no token spans a space, so a text's ids are its words' ids.
 
 Defined cases: null text is empty and has the end id only; documents are in
 ascending doc_id order, null ids first, equal ids by the hash of their text;
@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import WordIndex, pack, parallelism, ragged, shared_path, slices, sums, text_or_empty, unpack
+from promptloom.llm.common import PerWorker, WordIndex, pack, parallelism, ragged, shared_path, slices, sums, text_or_empty, unpack
 
 CACHE_WORDS = 1_000_000
 BATCH_BYTES = 4 << 20
@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         import pyarrow as pa
         from pyspark import TaskContext
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(tokenizer_path)
+        encoder = PerWorker.get("ids", tokenizer_path, lambda: WordEncoder(tokenizer_path))
         ids: list = []
         lengths: list = []
         doc_ids: list = []
