@@ -11,7 +11,8 @@ Training is expectation maximisation on word counts of a bounded, hash-chosen
 sample of labelled rows (about ``fit_docs`` a language): the forward-backward
 pass over a task's words gives expected piece counts, which Spark adds up; what
 reaches the driver are languages x pieces numbers.  Prediction covers every
-whole text.  Words are scored once per task (at most ``CACHE_WORDS`` are kept).
+whole text.  A Python worker scores a word once (it keeps about
+``CACHE_WORDS``, then starts anew).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 characters outside the vocabulary are one unknown piece each; with no labelled
@@ -22,6 +23,7 @@ carried along (``lang_pred`` and ``score`` of the input are replaced).
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +32,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import WordIndex, slices, stored, sums
+from promptloom.llm.common import PerWorker, WordIndex, slices, stored, sums
 
 MARK = "▁"
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 CACHE_WORDS = 800_000
-BATCH_BYTES = 4 << 20
+LATTICE_WORDS = 20_000
+BATCH_BYTES = 2 << 20
 UND = "und"
 
 
@@ -184,7 +187,7 @@ def train(docs: DataFrame, pieces_path: str, fit_docs: int = 3000, iterations: i
 
 
 class Scorer:
-    """Log likelihoods of texts; words are scored once."""
+    """Log likelihoods of texts; a letter word is scored once."""
 
     def __init__(self, model: Model):
         import regex
@@ -195,24 +198,26 @@ class Scorer:
         self.reset()
 
     def reset(self):
+        self.inner: dict[str, int] = {}
+        self.inner_logs = np.zeros((0, len(self.model.languages)))
         self.logs = np.zeros((0, len(self.model.languages)))
         self.n_letters = np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        inner: dict[str, int] = {}
-        owner, which = [], []
-        for i, w in enumerate(words):
-            for x in letter_words(w.decode(), self.pattern):
-                owner.append(i)
-                which.append(inner.setdefault(x, len(inner)))
-        logs = np.zeros((len(words), len(self.model.languages)))
-        if inner:
-            lattice = Lattice(list(inner), self.at, self.longest, len(self.model.pieces) - 1)
+        found = [letter_words(w.decode(), self.pattern) for w in words]
+        new = list(dict.fromkeys(x for xs in found for x in xs if x not in self.inner))
+        for i in range(0, len(new), LATTICE_WORDS):
+            part = new[i:i + LATTICE_WORDS]
+            lattice = Lattice(part, self.at, self.longest, len(self.model.pieces) - 1)
             scores = lattice.forward(self.model.logs[lattice.piece])[lattice.last]
-            np.add.at(logs, owner, scores[which])
+            self.inner.update(zip(part, range(len(self.inner), len(self.inner) + len(part)), strict=True))
+            self.inner_logs = np.concatenate([self.inner_logs, scores])
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        which = np.fromiter((self.inner[x] for xs in found for x in xs), np.int64, int(n.sum()))
+        logs = np.stack([sums(self.inner_logs[which, k], n) for k in range(len(self.model.languages))], axis=1) \
+            if self.model.languages else np.zeros((len(words), 0))
         self.logs = np.concatenate([self.logs, logs])
-        self.n_letters = np.concatenate([self.n_letters, np.bincount(owner, minlength=len(words))]) if owner else \
-            np.concatenate([self.n_letters, np.zeros(len(words), np.int64)])
+        self.n_letters = np.concatenate([self.n_letters, n])
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         n_words, words = self.words.look(texts)
@@ -230,10 +235,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` plus lang_pred and score, from its text alone."""
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages numbers
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        scorer = Scorer(sent.value)
+        scorer = PerWorker.get("languages", name, lambda: Scorer(sent.value))
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
             langs: list[str] = []
