@@ -23,19 +23,29 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _soften(pred: list[str], gold: list[str], threshold: float) -> list[str]:
-    if not gold:
-        return list(pred)
-    out = []
-    for p in pred:
-        scores = [ratio(p, g) for g in gold]
-        m = max(scores)
-        out.append(gold[scores.index(m)].lower().strip() if m > threshold else p)
-    return out
+def soften(pred: list[str], gold: list[str], threshold: float = 0.5) -> list[str]:
+    """For each predicted string the gold string of highest ratio, lower-cased and
+    stripped, where that ratio is above ``threshold``; the first of equals.
+
+    A prediction that stands among the gold strings is its own best match.  For
+    the others the matcher indexes each gold string once, and the exact ratio is
+    computed only where both upper bounds (lengths, character counts) can still
+    beat the best so far."""
+    hits = set(gold)
+    best: dict[str, tuple[float, str | None]] = {p: (1.0, p) if p in hits else (threshold, None) for p in pred}
+    matcher = SequenceMatcher()
+    for g in gold:
+        matcher.set_seq2(g)
+        for p, (reached, _) in best.items():
+            if 2 * min(len(p), len(g)) <= reached * (len(p) + len(g)):
+                continue
+            matcher.set_seq1(p)
+            if matcher.quick_ratio() > reached and (r := matcher.ratio()) > reached:
+                best[p] = (r, g)
+    return [p if best[p][1] is None else best[p][1].lower().strip() for p in pred]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def soften_triggers_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    """M5 on one sample's own arrays: each predicted trigger is replaced by the
-    gold trigger of highest ratio (first on ties) when that ratio > 0.5."""
-    return pd.Series([_soften(list(p), list(g), 0.5) for p, g in zip(pred, gold)])
+    """M5 on one sample's own arrays."""
+    return pd.Series([soften(list(p), list(g)) for p, g in zip(pred, gold)])

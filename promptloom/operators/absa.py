@@ -84,7 +84,7 @@ def _json_units(lines: Column) -> Column:
     z = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("i"), lines.alias("u"))
     first = F.transform(z, lambda x: F.struct(
         x["i"].alias("i"), x["u"].alias("u"),
-        F.from_json(x["u"], "`方面` string, `情感` string", {"allowSingleQuotes": "false"}).alias("j")))
+        F.from_json(x["u"], "`方面` string, `情感` string", {"allowSingleQuotes": "true"}).alias("j")))
 
     def one(x):
         j = x["j"]
@@ -119,14 +119,6 @@ def parse_units(text: Column, mode: str, punc_replace: bool = True) -> Column:
         "array<struct<i:int,ok:boolean,key:string,value:string,err:string>>")).otherwise(units)
 
 
-def units_by_mode(mode_col: Column, text: Column, modes: list[str], punc_replace: bool = True) -> Column:
-    expr = None
-    for m in modes:
-        p = parse_units(text, m, punc_replace)
-        expr = F.when(mode_col == m, p) if expr is None else expr.when(mode_col == m, p)
-    return expr
-
-
 def error_type(text: Column, units: Column) -> Column:
     """X8: '', empty_output, or the error of the last failing unit."""
     errs = F.filter(F.transform(units, lambda u: u["err"]), lambda e: e != "")
@@ -134,18 +126,34 @@ def error_type(text: Column, units: Column) -> Column:
 
 
 def parse_table(df: DataFrame, keys: list[str], text_col: str, mode_col: str, modes: list[str],
-                punc_replace: bool = True) -> tuple[DataFrame, DataFrame]:
+                punc_replace: bool = True, domain: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Parse a text column into (entries, errors).
 
     entries: keys + (pos, key, value) with dict semantics (a repeated key keeps
     its last value at its first position) -- an aggregation on (keys, key) with
-    map-side combining; errors: keys + error_type, computed on the row."""
-    u = df.select(*keys, F.col(text_col).alias("_text"),
-                  units_by_mode(F.col(mode_col), F.col(text_col), modes, punc_replace).alias("_u"))
+    map-side combining; errors: keys + error_type, computed on the row.  Each
+    mode is parsed in its own branch, so a row meets one parser only.
+
+    X2: with a ``domain``, the omit-unmentioned designs are completed: every
+    aspect of the domain that a non-empty text leaves out is 未提及, after the
+    text's own entries."""
+    u = None
+    for m in modes:
+        part = df.filter(F.col(mode_col) == m).select(*keys, F.col(text_col).alias("_text"),
+                                                      parse_units(F.col(text_col), m, punc_replace).alias("_u"))
+        u = part if u is None else u.unionByName(part)
     errors = u.select(*keys, error_type(F.col("_text"), F.col("_u")).alias("error_type"))
-    ex = u.select(*keys, F.explode("_u").alias("x")).filter("x.ok")
+    ok = F.transform(F.filter("_u", lambda x: x["ok"]), lambda x: F.struct(
+        x["key"].alias("key"), x["value"].alias("value"), x["i"].alias("pos"), x["i"].alias("order")))
+    if domain is not None and any(m in OMIT_MODES for m in modes):
+        aspects = F.array(*[F.lit(a) for a in ASPECTS[domain]])
+        n = F.size("_u")
+        rest = F.transform(aspects, lambda a, i: F.struct(a.alias("key"), F.lit("未提及").alias("value"),
+                                                          (n + i).alias("pos"), F.lit(-1).alias("order")))
+        ok = F.when(F.col(mode_col).isin(*OMIT_MODES) & (F.col("_text") != ""), F.concat(ok, rest)).otherwise(ok)
+    ex = u.select(*keys, F.explode(ok).alias("x"))
     entries = (ex.groupBy(*keys, F.col("x.key").alias("key"))
-               .agg(F.min("x.i").alias("pos"), F.max_by("x.value", "x.i").alias("value")))
+               .agg(F.min("x.pos").alias("pos"), F.max_by("x.value", "x.order").alias("value")))
     return entries, errors
 
 
@@ -201,8 +209,14 @@ def confusion(pairs: DataFrame, group_cols: list[str], spark: SparkSession, aspe
     return dense.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
+def _share(part: str, whole: str) -> Column:
+    """part / whole to 4 decimals, NaN for a whole of 0."""
+    return F.when(F.col(whole) == 0, F.lit(float("nan"))).otherwise(
+        F.round(F.try_divide(F.col(part).cast("double"), F.col(whole)), 4))
+
+
 def class_scores(matrix: DataFrame, group_cols: list[str]) -> DataFrame:
-    """A11 + A12 per group and aspect: per-class precision/recall (4 dp, null
+    """A11 + A12 per group and aspect: per-class precision/recall (4 dp, NaN
     on a zero denominator) and the weighted kappa (4 dp; 0 when pe = 1, null
     for an empty matrix)."""
     g = group_cols + ["aspect"]
@@ -224,22 +238,26 @@ def class_scores(matrix: DataFrame, group_cols: list[str]) -> DataFrame:
     pr = (diag.join(row.withColumnRenamed("label", "cls"), g + ["cls"])
           .join(col.withColumnRenamed("pred", "cls"), g + ["cls"]))
     pr = pr.select(*g, "cls", "pre_num", "la_num",
-                   F.round(F.try_divide(F.col("correct").cast("double"), F.col("pre_num")), 4).alias("precision"),
-                   F.round(F.try_divide(F.col("correct").cast("double"), F.col("la_num")), 4).alias("recall"))
+                   _share("correct", "pre_num").alias("precision"), _share("correct", "la_num").alias("recall"))
     return pr.join(k, g)
 
 
-def accuracy(pairs: DataFrame, group_cols: list[str], sample_cols: list[str]) -> DataFrame:
+def accuracy(pairs: DataFrame, group_cols: list[str], sample_cols: list[str],
+             samples: DataFrame | None = None) -> DataFrame:
     """A8 + A9: per group: accuracy per aspect, over all aspects ('ALL') and of
-    whole samples ('sentence'), each with correct / incorrect counts, 4 dp."""
+    whole samples ('sentence'), each with correct / incorrect counts, 4 dp.
+    ``samples`` (group and sample columns) also has the samples without a pair,
+    whose label did not parse; they are incorrect sentences."""
     ok = (F.col("label") == F.col("pred")).cast("int")
     per = (pairs.withColumn("_ok", ok)
            .rollup(*group_cols, "aspect").agg(F.sum("_ok").alias("correct"), F.count(F.lit(1)).alias("total")))
     per = per.filter(F.col(group_cols[-1]).isNotNull() if group_cols else F.lit(True))
     per = per.withColumn("aspect", F.coalesce("aspect", F.lit("ALL")))
-    sent = (pairs.withColumn("_ok", ok).groupBy(*group_cols, *sample_cols)
-            .agg(F.min("_ok").alias("_ok"))
-            .groupBy(*group_cols).agg(F.sum("_ok").alias("correct"), F.count(F.lit(1)).alias("total"))
+    sent = pairs.withColumn("_ok", ok).groupBy(*group_cols, *sample_cols).agg(F.min("_ok").alias("_ok"))
+    if samples is not None:
+        sent = (samples.select(*group_cols, *sample_cols).join(sent, [*group_cols, *sample_cols], "left")
+                .withColumn("_ok", F.coalesce("_ok", F.lit(0))))
+    sent = (sent.groupBy(*group_cols).agg(F.sum("_ok").alias("correct"), F.count(F.lit(1)).alias("total"))
             .withColumn("aspect", F.lit("sentence")))
     out = per.unionByName(sent)
     return out.select(*group_cols, "aspect", F.col("correct").cast("long").alias("correct"),

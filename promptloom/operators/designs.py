@@ -73,8 +73,9 @@ def _quoted(names: Column) -> Column:
 
 
 def json_string(s: Column) -> Column:
-    """A JSON string literal for s (quotes and backslashes escaped)."""
-    return F.concat(F.lit('"'), F.regexp_replace(s, r'(["\\])', r'\\$1'), F.lit('"'))
+    """A JSON string literal for s (quotes, backslashes and control characters escaped)."""
+    listed = F.to_json(F.array(s))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def render_default(entities: Column) -> Column:

@@ -6,6 +6,10 @@ takes an explicit order.  Positions are computed the way ``zipWithIndex`` does
 it, but on DataFrames: range-partition on the order, count rows per partition
 (one row per partition), turn the counts into offsets, and add each row's rank
 inside its partition.  No step puts all rows into one task.
+
+The range bounds come from a sample, and a second evaluation of the same plan may
+draw another one.  The tagged rows are therefore written once (a checkpoint in
+the shared folder), and counts and positions are both read from there.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptloom.session import materialize
+
 _ROW_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
 
 
@@ -29,6 +35,7 @@ def with_global_index(df: DataFrame, order_cols: list[str | Column], index_col:
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+    tagged = materialize(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"),
                             F.sum("_n").over(Window.partitionBy()).alias("_all"))

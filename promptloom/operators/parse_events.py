@@ -48,15 +48,21 @@ def _literal_list(line: Column) -> Column:
     return F.from_json(s, "array<string>", {"allowSingleQuotes": "true"})
 
 
+#: Between the items of a list that is no (type, trigger) pair; no text holds it.
+ITEM_MARK = "\x1f"
+
+
 def parse_heuristic(text: Column, strip_items: bool = True) -> Column:
     """One literal list per line; an unparsable or empty line is ignored.
-    Each line is parsed once (first transform), then reshaped (second)."""
+    A list of other than two items keeps them all (marked in the trigger), so it
+    equals no pair.  Each line is parsed once (first transform), then reshaped."""
     empty = F.array().cast("array<struct<e_type:string,trigger:string>>")
 
     def one(arr):
         items = F.transform(arr, lambda x: _norm(x) if strip_items else F.lower(x))
-        return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, F.array(_pair(F.get(items, 0), F.get(items, 1)))) \
-            .otherwise(empty)
+        rest = F.concat(F.lit(ITEM_MARK), F.array_join(F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1))), ITEM_MARK))
+        trigger = F.when(F.size(items) == 2, F.get(items, 1)).otherwise(rest)
+        return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, F.array(_pair(F.get(items, 0), trigger))).otherwise(empty)
     return F.flatten(F.transform(F.transform(_units(text, "\n"), _literal_list), one))
 
 
@@ -94,21 +100,23 @@ _JSON_EV = "struct<event_type:string,`trigger word`:string>"
 
 def parse_json(text: Column) -> tuple[Column, Column]:
     """X13 one {"event_type", "trigger word"} object per line; a string trigger
-    is split on ','; [] adds nothing; a line that is not such an object is a
-    format error.  Each line is parsed once (first transform)."""
+    is split on ','; [] adds nothing; a line that is not such an object, or has an
+    object as its trigger, is a format error.  A string that only begins like a
+    list is split on ',' like any other; items are never null.  Each line is
+    parsed once (first transform)."""
     empty = F.array().cast("array<struct<e_type:string,trigger:string>>")
 
     def parse_line(line):
         s = py_strip(line)
-        return F.struct(s.rlike(r"^\{[^{}]*\}$").alias("flat"),
+        return F.struct((s.rlike(r"(?s)^\{.*\}$") & ~s.rlike(r"""['"]trigger word['"]\s*:\s*\{""")).alias("flat"),
                         F.from_json(s, _JSON_EV, {"allowSingleQuotes": "true"}).alias("j"))
 
     def one(x):
         j = x["j"]
         ok = x["flat"] & j["event_type"].isNotNull() & j["trigger word"].isNotNull()
         raw = j["trigger word"]
-        trig = F.when(raw.startswith("["), F.from_json(raw, "array<string>", {"allowSingleQuotes": "true"})) \
-            .otherwise(F.split(py_strip(raw), ","))
+        listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>", {"allowSingleQuotes": "true"}))
+        trig = F.transform(F.coalesce(listed, F.split(py_strip(raw), ",")), lambda g: F.coalesce(g, F.lit("")))
         t = _norm(j["event_type"])
         return F.struct(ok.alias("ok"), F.when(ok, F.transform(trig, lambda g: _pair(t, _norm(g))))
                         .otherwise(empty).alias("items"))

@@ -49,11 +49,11 @@ def char_tokens(s: Column) -> Column:
         F.slice(chars, 1, x["i"]), lambda y: y == x["c"])).cast("string")))
 
 
-def _prefix(names: DataFrame, keys: list[str], name: str, toks: str, thr: Column, ranks: DataFrame) -> DataFrame:
-    """Prefix-filter tokens of each name for a Dice threshold ``thr``."""
+def _prefix(names: DataFrame, keys: list[str], name: str, toks: str, thr: Column, freqs: DataFrame) -> DataFrame:
+    """Prefix-filter tokens of each name for a Dice threshold ``thr``, rare tokens first."""
     t = names.select(*keys, name, thr.alias("_t"), F.explode(toks).alias("tok"), F.length(name).alias("_len"))
-    t = join_small(t, ranks, ["tok"])
-    w = Window.partitionBy(*keys, name).orderBy("rank")
+    t = join_small(t, freqs, ["tok"])
+    w = Window.partitionBy(*keys, name).orderBy("freq", "tok")
     # EPS keeps every bound conservative under floating-point rounding (ties matter)
     keep = F.col("_len") - F.ceil(F.col("_t") * F.col("_len") / (2 - F.col("_t")) - EPS) + 1
     return t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).select(*keys, name, "tok", "_len", "_r")
@@ -86,23 +86,23 @@ def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
                   .alias("name"))
           .distinct().join(rest, [doc, "name"]))
     lp, lg = F.length("name"), F.length("gname")
-    closed = 2.0 * F.least(lp, lg) / (lp + lg)
-    cont = materialize(c1.unionByName(c2).distinct().withColumn(
-        "rc", F.when(F.greatest(lp, lg) >= AUTOJUNK_LEN, ratio_udf(F.col("name"), F.col("gname"))).otherwise(closed)))
+    both = materialize(c1.unionByName(c2).distinct())
+    long = F.greatest(lp, lg) >= AUTOJUNK_LEN
+    # a UDF inside a conditional is evaluated for every row, so the long pairs are split off
+    cont = (both.filter(~long).withColumn("rc", 2.0 * F.least(lp, lg) / (lp + lg))
+            .unionByName(both.filter(long).withColumn("rc", ratio_udf(F.col("name"), F.col("gname")))))
     best = cont.groupBy(doc, "name").agg(F.max("rc").alias("rstar")).filter(F.col("rstar") > THRESHOLD)
     best = materialize(best.withColumn("ptoks", char_tokens(F.col("name"))))
 
     # exact verification against every gold name that could tie or beat r*
     tokens = best.select(F.explode("ptoks").alias("tok")).unionByName(gn.select(F.explode("gtoks").alias("tok")))
-    ranks = (tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
-             .select("tok", F.row_number().over(Window.orderBy("freq", "tok")).alias("rank")))
-    ranks = materialize(ranks)
-    pp = _prefix(best, [doc], "name", "ptoks", F.col("rstar"), ranks).drop("_r").join(
+    freqs = materialize(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("freq")))
+    pp = _prefix(best, [doc], "name", "ptoks", F.col("rstar"), freqs).drop("_r").join(
         best.select(doc, "name", "rstar"), [doc, "name"])
     # gold names only in samples with a prediction to verify, each with the
     # longest prefix any of that sample's thresholds needs (the sample minimum)
     t_doc = best.groupBy(doc).agg(F.min("rstar").alias("_tdoc"))
-    gp = _prefix(gn.join(t_doc, doc), [doc], "gname", "gtoks", F.col("_tdoc"), ranks).withColumnRenamed("_len", "_glen")
+    gp = _prefix(gn.join(t_doc, doc), [doc], "gname", "gtoks", F.col("_tdoc"), freqs).withColumnRenamed("_len", "_glen")
     # per pair: the gold prefix for the pair's own threshold, and the length
     # filter (Dice >= t needs t/(2-t) <= |g|/|p| <= (2-t)/t)
     t = F.col("rstar") - EPS
@@ -115,9 +115,9 @@ def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
     cand = cand.join(best.select(doc, "name", "ptoks"), [doc, "name"]).join(gn, [doc, "gname"])
     ov = F.size(F.array_intersect("ptoks", "gtoks"))
     cand = materialize(cand.filter(2.0 * ov / (lp + lg) >= F.col("rstar") - EPS).select(doc, "name", "gname", "gidx"))
-    cand = cand.unionByName(
-        cont.join(best.select(doc, "name"), [doc, "name"]).select(doc, "name", "gname", "gidx")).distinct()
-    scored = cand.withColumn("r", ratio_udf(F.col("name"), F.col("gname")))
+    known = cont.join(best.select(doc, "name"), [doc, "name"]).select(doc, "name", "gname", "gidx", F.col("rc").alias("r"))
+    open_ = cand.join(known.select(doc, "name", "gname"), [doc, "name", "gname"], "left_anti")
+    scored = known.unionByName(open_.select(doc, "name", "gname", "gidx", ratio_udf(F.col("name"), F.col("gname")).alias("r")))
     top = scored.groupBy(doc, "name").agg(
         F.max_by(F.struct("gname", "r"), F.struct(F.col("r"), -F.col("gidx"))).alias("b"))
     g = F.col("b.gname")

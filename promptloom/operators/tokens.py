@@ -1,9 +1,11 @@
 """Tokenised-feature operators.
 
 Tokenizer (T1) is pluggable.  The built-in one is a word-level tokenizer: words
-are whitespace-separated pieces; the vocabulary is the ``vocab_size`` most
-frequent words (ties by word), ids after the reserved specials; other words map
-to ``unk``.  The vocabulary has a fixed upper size, so it is always broadcast.
+are whitespace-separated pieces; the vocabulary holds every word of the training
+texts in falling frequency (ties by word), or the ``vocab_size`` most frequent
+ones where the caller gives a size; ids follow the reserved specials; words
+outside it map to ``unk``.  It grows with the texts, so its bytes decide whether
+it is broadcast (``join_small``).
 A caller-supplied tokenizer runs through ``encode_with`` (Arrow batches via
 ``mapInPandas``).  Everything after encoding (concatenation, truncation,
 masking, padding, batching) is array functions on each row.
@@ -13,10 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptloom.operators.joins import join_small
+from promptloom.operators.order import with_global_index
+
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 IGNORE = -100
 N_SPECIAL = 4
@@ -26,35 +31,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
-def build_vocab(texts: DataFrame, text_col: str, vocab_size: int) -> DataFrame:
-    """(word, id): top ``vocab_size`` words by (count desc, word); ids from N_SPECIAL.
+def build_vocab(texts: DataFrame, text_col: str, vocab_size: int | None = None) -> DataFrame:
+    """(word, id): all words by (count desc, word), ids from N_SPECIAL; with
+    ``vocab_size`` only the first so many.
 
-    Counting is a partial aggregation; the top-k is a TakeOrdered of at most
-    ``vocab_size`` rows, so the window that numbers them is bounded too.
+    Counting is a partial aggregation and the numbering range-partitioned
+    positions: no task holds the whole vocabulary.
     """
     counts = (texts.select(F.explode(words(F.col(text_col))).alias("word"))
               .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), F.asc("word")).limit(vocab_size)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("word")))
-    return top.select("word", (rank + (N_SPECIAL - 1)).cast("int").alias("id"))
+    ranked = with_global_index(counts.withColumn("_neg", -F.col("n")), ["_neg", "word"], "_rank")
+    if vocab_size is not None:
+        ranked = ranked.filter(F.col("_rank") < vocab_size)
+    return ranked.select("word", (F.col("_rank") + N_SPECIAL).cast("int").alias("id"))
 
 
 def encode_fields(df: DataFrame, key_cols: list[str], fields: dict[str, Column], vocab: DataFrame,
                   bos: dict[str, bool] | None = None) -> DataFrame:
-    """T1 (built-in tokenizer): one ``array<int>`` column per entry of ``fields``.
+    """T1 (built-in tokenizer): one ``array<int>`` column per entry of ``fields``
+    (word arrays, already cut to the length that is wanted).
 
-    All fields are encoded by one explode -> broadcast vocabulary join -> one
-    aggregation on the key, so any number of fields costs one shuffle.  A text
-    without words encodes to [] (or [bos]).
+    All fields are encoded by one explode -> vocabulary join -> one aggregation
+    on the key, so any number of fields costs one shuffle.  A field without
+    words encodes to [] (or [bos]).
     """
     bos = bos or {}
     names = list(fields)
     exploded = None
     for name in names:
         e = df.select(*key_cols, F.lit(name).alias("_f"),
-                      F.posexplode_outer(words(fields[name])).alias("_pos", "word"))
+                      F.posexplode_outer(fields[name]).alias("_pos", "word"))
         exploded = e if exploded is None else exploded.unionByName(e)
-    j = exploded.join(F.broadcast(vocab), "word", "left").withColumn(
+    j = join_small(exploded, vocab, ["word"], "left").withColumn(
         "id", F.when(F.col("word").isNull(), None).otherwise(F.coalesce(F.col("id"), F.lit(UNK))))
     aggs = [F.sort_array(F.collect_list(F.when((F.col("_f") == n) & F.col("id").isNotNull(),
                                                F.struct("_pos", "id")))).alias(f"_{n}") for n in names]
@@ -77,11 +85,11 @@ def encode_with(df: DataFrame, text_col: str, out_col: str, make_encoder: Callab
     def run(batches):
         enc = make_encoder()
         for pdf in batches:
-            pdf[out_col] = enc(pdf[text_col].tolist())
+            texts = pdf[text_col].tolist()
+            step = batch_rows or max(1, len(texts))
+            pdf[out_col] = [ids for i in range(0, len(texts), step) for ids in enc(texts[i:i + step])]
             yield pdf
 
-    if batch_rows:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return df.mapInPandas(run, schema)
 
 

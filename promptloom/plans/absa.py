@@ -6,7 +6,8 @@ review with a gold sentiment for each of the six domain-1 aspects, and a
 model prediction derived from it with deterministic perturbations (shifted
 sentiments, alias aspect names, sentiment synonyms) and injected format errors
 (doc_id % 7: 1 missing separator, 2 empty output, 3 repeated aspect, 4 missing
-aspect, 5 unknown numerical code).  Gold and prediction are rendered in seven
+aspect, 5 unknown numerical code, 6 single-quoted dicts; doc_id % 11 = 10: a
+label with a missing separator, which counts as no label).  Gold and prediction are rendered in seven
 output designs, parsed back, relaxed and scored.
 """
 
@@ -35,7 +36,9 @@ NEW_INSTRUCTION = ("\n---\n请对上面这段文字，进行细粒度方面情
 
 EVAL_MODES = ["instruction-last", "no-instruction", "numerical-label", "lines-output", "json-output",
               "omit-unmentioned", "cot"]
+DICT_MODES = ("json-output", "cot")
 DOMAIN = "1"
+DEFAULT_PAIR = "D11"  # of any other language, or none
 LANG_PAIRS = [("en", "D11"), ("fr", "D22"), ("de", "D12"), ("es", "D21")]
 CODES = {"正面": "1", "中性": "0", "负面": "-1", "未提及": "-2"}
 
@@ -118,7 +121,7 @@ def _units(s):
 
     ks = F.sequence(F.lit(0), F.lit(len(ASPECTS[DOMAIN]) - 1))
     gold = F.transform(ks, lambda k: unit(k, at(aspects, k), at(senti, gidx(k)), at(senti, gidx(k)),
-                                          F.lit(False), F.lit(False)))
+                                          (doc % 11 == 10) & (k == 0), F.lit(False)))
 
     def pred_unit(k):
         canon = at(senti, pidx(k))
@@ -175,26 +178,35 @@ def rendered(spark, sf_dir):
         c = F.col("mode") == m
         tgt = F.when(c, _render(F.col("gold_u"), m)) if tgt is None else tgt.when(c, _render(F.col("gold_u"), m))
         pr = F.when(c, _render(F.col("pred_u"), m)) if pr is None else pr.when(c, _render(F.col("pred_u"), m))
-    empty = (F.col("doc_id") % 7) == 2
-    return x.select("doc_id", "lang", "mode", tgt.alias("target"),
-                    F.when(empty, F.lit("")).otherwise(pr).alias("prediction"))
+    kind = F.col("doc_id") % 7
+    pr = F.when((kind == 6) & F.col("mode").isin(*DICT_MODES), F.translate(pr, '"', "'")).otherwise(pr)
+    return materialize(x.select("doc_id", "lang", "mode", tgt.alias("target"),
+                                F.when(kind == 2, F.lit("")).otherwise(pr).alias("prediction")))
 
 
-def parsed(spark, sf_dir):
+def parsed(spark, sf_dir, r=None):
     """(entries, errors) of labels and predictions; side 'raw' is the
     prediction parsed without punctuation repair (used for cot error counts)."""
-    r = rendered(spark, sf_dir)
+    r = rendered(spark, sf_dir) if r is None else r
     keys = ["doc_id", "lang", "mode", "side"]
     texts = (r.select("doc_id", "lang", "mode", F.lit("label").alias("side"), F.col("target").alias("text"))
              .unionByName(r.select("doc_id", "lang", "mode", F.lit("pred").alias("side"),
                                    F.col("prediction").alias("text"))))
-    entries, errors = parse_table(texts, keys, "text", "mode", EVAL_MODES)
+    entries, errors = parse_table(texts, keys, "text", "mode", EVAL_MODES, domain=DOMAIN)
     raw = r.filter(F.col("mode") == "cot").select("doc_id", "lang", "mode", F.lit("raw").alias("side"),
                                                   F.col("prediction").alias("text"))
-    _, raw_err = parse_table(raw, keys, "text", "mode", EVAL_MODES, punc_replace=False)
+    _, raw_err = parse_table(raw, keys, "text", "mode", ["cot"], punc_replace=False)
     return materialize(entries), materialize(errors.unionByName(raw_err))
 
 
+def pick_by(key, table_, default):
+    """The value of a small fixed (key, value) table, or the default."""
+    out = F.lit(default)
+    for k, v in reversed(table_):
+        out = F.when(key == k, F.lit(v)).otherwise(out)
+    return out
+
+
 def q28(spark, sf_dir):
     """Parsed prediction and label dicts (pos:key=value in output order),
     the prediction's error type, and its error type without punctuation repair."""
@@ -213,16 +225,27 @@ def q28(spark, sf_dir):
                     F.coalesce(F.col("raw"), F.col("pred")).alias("error_norepair"))
 
 
+SAMPLE = ["doc_id", "lang", "mode"]
+
+
+def evaluated(spark, sf_dir):
+    """(pairs, errors, samples), each built once: M7-M10 pairs (doc_id, lang,
+    mode, aspect, label, pred) after soft relaxation, the parse errors, and the
+    keys of all samples.  A label that does not parse without error counts as no
+    label: its sample has no pairs."""
+    r = rendered(spark, sf_dir)
+    entries, errors = parsed(spark, sf_dir, r)
+    pred_e = entries.filter(F.col("side") == "pred").select(*SAMPLE, "pos", "key", "value")
+    rel = relax(pred_e, r.select(*SAMPLE), SAMPLE, spark, DOMAIN)
+    told = errors.filter((F.col("side") == "label") & (F.col("error_type") == "")).select(*SAMPLE)
+    lab = (entries.filter(F.col("side") == "label").select(*SAMPLE, F.col("key").alias("aspect"), F.col("value").alias("label"))
+           .join(told, SAMPLE, "left_semi"))
+    out = materialize(lab.join(rel, SAMPLE + ["aspect"]).select(*SAMPLE, "aspect", "label", "pred"))
+    return out, errors, r.select(*SAMPLE)
+
+
 def pairs(spark, sf_dir):
-    """(doc_id, lang, mode, aspect, label, pred) after soft relaxation."""
-    entries, _ = parsed(spark, sf_dir)
-    keys = ["doc_id", "lang", "mode"]
-    pred_e = entries.filter(F.col("side") == "pred").select(*keys, "pos", "key", "value")
-    samples = rendered(spark, sf_dir).select(*keys)
-    rel = relax(pred_e, samples, keys, spark, DOMAIN)
-    lab = entries.filter(F.col("side") == "label").select(*keys, F.col("key").alias("aspect"),
-                                                          F.col("value").alias("label"))
-    return materialize(lab.join(rel, keys + ["aspect"]).select(*keys, "aspect", "label", "pred"))
+    return evaluated(spark, sf_dir)[0]
 
 
 def q29(spark, sf_dir):
@@ -241,23 +264,23 @@ def q31(spark, sf_dir):
 
 def q32(spark, sf_dir):
     """Sentence and aspect accuracy per design."""
-    return accuracy(pairs(spark, sf_dir), ["mode"], ["doc_id"])
+    pr, _, samples = evaluated(spark, sf_dir)
+    return accuracy(pr, ["mode"], ["doc_id"], samples)
 
 
 def q33(spark, sf_dir):
     """Result grid, design rows × domain-pair columns of kappa (ALL),
     wrong-format count and accuracy (ALL).  Domain pairs are languages; the
     no-instruction design has no out-of-domain cells (null)."""
-    pr = pairs(spark, sf_dir)
-    dp = spark.createDataFrame(LANG_PAIRS, "lang string, dpair string")
-    pr = pr.join(F.broadcast(dp), "lang")
+    pr, errors, _ = evaluated(spark, sf_dir)
+    dpair = pick_by(F.col("lang"), LANG_PAIRS, DEFAULT_PAIR)
+    pr = pr.withColumn("dpair", dpair)
     k = class_scores(confusion(pr, ["mode", "dpair"], spark, ASPECTS[DOMAIN]), ["mode", "dpair"])
     k = k.filter(F.col("aspect") == "ALL").select("mode", "dpair", "kappa").distinct()
     a = accuracy(pr, ["mode", "dpair"], ["doc_id"]).filter(F.col("aspect") == "ALL").select("mode", "dpair", "acc")
-    _, errors = parsed(spark, sf_dir)
     e = errors.filter(((F.col("mode") == "cot") & (F.col("side") == "raw"))
                       | ((F.col("mode") != "cot") & (F.col("side") == "pred")))
-    wf = (e.join(F.broadcast(dp), "lang").groupBy("mode", "dpair")
+    wf = (e.withColumn("dpair", dpair).groupBy("mode", "dpair")
           .agg(F.count_if(F.col("error_type") != "").cast("long").alias("wf")))
     cells = k.join(a, ["mode", "dpair"]).join(wf, ["mode", "dpair"])
     skip = (F.col("mode") == "no-instruction") & F.col("dpair").isin("D12", "D21")
@@ -305,7 +328,7 @@ u AS (SELECT s.*, k, (quality + 2 * toxic + k + doc_id) % 4 AS gidx FROM s, rang
 u2 AS (SELECT *, (gidx + CASE WHEN (doc_id + k) % 5 = 0 THEN 1 ELSE 0 END) % 4 AS pidx FROM u),
 units AS (
   SELECT doc_id, lang, 'label' AS side, k, {_ASP}[k + 1] AS key, {_SEN}[gidx + 1] AS val, {_SEN}[gidx + 1] AS canon,
-         false AS nosep, false AS badcode FROM u2
+         doc_id % 11 = 10 AND k = 0 AS nosep, false AS badcode FROM u2
   UNION ALL
   SELECT doc_id, lang, 'pred', k, CASE WHEN (doc_id + k) % 6 = 0 THEN {_ALI}[k + 1] ELSE {_ASP}[k + 1] END,
          CASE WHEN (doc_id + k) % 9 = 0 AND {_SEN}[pidx + 1] = '正面' THEN '积极'
@@ -324,15 +347,18 @@ ut AS (
     WHEN mode = 'cot' THEN '{{"方面": "' || key || '", "描述": "d' || k || '", "情感": "' || val || '"' || CASE WHEN nosep THEN '' ELSE '}}' END
     ELSE key || CASE WHEN nosep THEN '' ELSE '：' END || val END AS ut
   FROM mu WHERE NOT (mode = 'omit-unmentioned' AND canon = '未提及')),
+smp AS (SELECT s.doc_id, m.mode FROM s CROSS JOIN (VALUES {_MODES_SQL}) m(mode)),
 texts AS (
-  SELECT s.doc_id, s.lang, m.mode, sd.side,
+  SELECT doc_id, lang, mode, side,
+         CASE WHEN side = 'pred' AND doc_id % 7 = 6 AND mode IN ('json-output', 'cot') THEN replace(text, '"', '\'\'') ELSE text END AS text
+  FROM (SELECT s.doc_id, s.lang, m.mode, sd.side,
     CASE WHEN sd.side = 'pred' AND s.doc_id % 7 = 2 THEN ''
          WHEN m.mode IN ('lines-output', 'json-output') THEN coalesce(string_agg(ut.ut, chr(10) ORDER BY ut.k), '')
          WHEN m.mode = 'cot' THEN coalesce(string_agg(ut.ut, ', ' ORDER BY ut.k), '')
          ELSE coalesce(string_agg(ut.ut, '，' ORDER BY ut.k), '') || '。' END AS text
   FROM s CROSS JOIN (VALUES {_MODES_SQL}) m(mode) CROSS JOIN (VALUES ('label'), ('pred')) sd(side)
   LEFT JOIN ut ON ut.doc_id = s.doc_id AND ut.mode = m.mode AND ut.side = sd.side
-  GROUP BY s.doc_id, s.lang, m.mode, sd.side),
+  GROUP BY s.doc_id, s.lang, m.mode, sd.side)),
 t2 AS (
   SELECT doc_id, lang, mode, side, text, text AS ptext FROM texts
   UNION ALL
@@ -344,18 +370,19 @@ t3 AS (
          ELSE string_split(trim(text, '。'), '，') END AS us
   FROM t2),
 pu AS (
-  SELECT doc_id, lang, mode, side, text, generate_subscripts(us, 1) - 1 AS i, unnest(us) AS u FROM t3 WHERE text <> ''),
+  SELECT doc_id, lang, mode, side, text, i, u, CASE WHEN mode IN ('json-output', 'cot') AND strpos(u, '"') = 0 THEN replace(u, '\'\'', '"') ELSE u END AS uq
+  FROM (SELECT doc_id, lang, mode, side, text, generate_subscripts(us, 1) - 1 AS i, unnest(us) AS u FROM t3 WHERE text <> '')),
 pk AS (
   SELECT *, string_split(u, '：') AS parts,
          list_transform(string_split(regexp_replace(u, '^["{{}}]+|["{{}}]+$', '', 'g'), '", "'), lambda p: string_split(p, '": "')) AS kv,
-         regexp_matches(u, '^\\s*\\{{[^{{}}]*\\}}\\s*$') AND json_valid(u) AND (CASE WHEN json_valid(u) THEN json_extract_string(u, '$."方面"') END) IS NOT NULL
-           AND (CASE WHEN json_valid(u) THEN json_extract_string(u, '$."情感"') END) IS NOT NULL AS strict
+         regexp_matches(uq, '^\\s*\\{{[^{{}}]*\\}}\\s*$') AND json_valid(uq) AND (CASE WHEN json_valid(uq) THEN json_extract_string(uq, '$."方面"') END) IS NOT NULL
+           AND (CASE WHEN json_valid(uq) THEN json_extract_string(uq, '$."情感"') END) IS NOT NULL AS strict
   FROM pu WHERE NOT (mode = 'omit-unmentioned' AND u = '')),
 pv AS (
   SELECT doc_id, lang, mode, side, i,
-    CASE WHEN mode IN ('json-output', 'cot') THEN CASE WHEN strict THEN (CASE WHEN json_valid(u) THEN json_extract_string(u, '$."方面"') END) ELSE list_filter(kv, lambda p: p[1] = '方面')[-1][2] END
+    CASE WHEN mode IN ('json-output', 'cot') THEN CASE WHEN strict THEN (CASE WHEN json_valid(uq) THEN json_extract_string(uq, '$."方面"') END) ELSE list_filter(kv, lambda p: p[1] = '方面')[-1][2] END
          ELSE parts[1] END AS key,
-    CASE WHEN mode IN ('json-output', 'cot') THEN CASE WHEN strict THEN (CASE WHEN json_valid(u) THEN json_extract_string(u, '$."情感"') END) ELSE list_filter(kv, lambda p: p[1] = '情感')[-1][2] END
+    CASE WHEN mode IN ('json-output', 'cot') THEN CASE WHEN strict THEN (CASE WHEN json_valid(uq) THEN json_extract_string(uq, '$."情感"') END) ELSE list_filter(kv, lambda p: p[1] = '情感')[-1][2] END
          WHEN mode = 'numerical-label' THEN {_UNCODE}
          ELSE parts[2] END AS value,
     CASE WHEN mode IN ('json-output', 'cot') THEN CASE WHEN strict THEN ''
@@ -368,14 +395,18 @@ errs AS (
   SELECT t.doc_id, t.lang, t.mode, t.side,
          CASE WHEN t.text = '' THEN 'empty_output' ELSE coalesce(arg_max(pv.err, pv.i) FILTER (WHERE pv.err <> ''), '') END AS error_type
   FROM t2 t LEFT JOIN pv USING (doc_id, lang, mode, side) GROUP BY t.doc_id, t.lang, t.mode, t.side, t.text),
-ent AS (
-  SELECT doc_id, lang, mode, side, key, min(i) AS pos, arg_max(value, i) AS value
-  FROM pv WHERE err = '' OR (err = 'eval_error') GROUP BY doc_id, lang, mode, side, key),
 ali AS ({_ALIASES_SQL}),
+asp AS (SELECT DISTINCT a_pos, aspect FROM ali),
+ent AS (
+  SELECT doc_id, lang, mode, side, key, min(i) AS pos, arg_max(value, ord) AS value FROM (
+    SELECT doc_id, lang, mode, side, key, i, value, i AS ord FROM pv WHERE err = '' OR (err = 'eval_error')
+    UNION ALL  -- the omit-unmentioned design says 未提及 by leaving an aspect out, in labels as in predictions
+    SELECT t3.doc_id, t3.lang, t3.mode, t3.side, asp.aspect, len(list_filter(t3.us, lambda x: x <> '')) + asp.a_pos, '未提及', -1
+    FROM t3, asp WHERE t3.mode = 'omit-unmentioned' AND t3.text <> '')
+  GROUP BY doc_id, lang, mode, side, key),
 rel0 AS (
   SELECT e.doc_id, e.lang, e.mode, a.aspect, arg_min(e.value, e.pos) AS value
   FROM ent e JOIN ali a ON contains(e.key, a.alias) WHERE e.side = 'pred' GROUP BY e.doc_id, e.lang, e.mode, a.aspect),
-asp AS (SELECT DISTINCT a_pos, aspect FROM ali),
 rel AS (
   SELECT s.doc_id, s.lang, m.mode, asp.aspect,
          CASE WHEN ({_SOFT_SQL.replace('value', 'r.value')}) IN ('正面', '中性', '负面', '未提及') THEN ({_SOFT_SQL.replace('value', 'r.value')}) ELSE '未提及' END AS pred
@@ -383,7 +414,9 @@ rel AS (
   LEFT JOIN rel0 r ON r.doc_id = s.doc_id AND r.mode = m.mode AND r.aspect = asp.aspect),
 pairs AS (
   SELECT l.doc_id, l.lang, l.mode, l.key AS aspect, l.value AS label, rel.pred
-  FROM ent l JOIN rel ON rel.doc_id = l.doc_id AND rel.mode = l.mode AND rel.aspect = l.key WHERE l.side = 'label')"""
+  FROM ent l JOIN rel ON rel.doc_id = l.doc_id AND rel.mode = l.mode AND rel.aspect = l.key
+  JOIN errs el ON el.doc_id = l.doc_id AND el.mode = l.mode AND el.side = 'label' AND el.error_type = ''
+  WHERE l.side = 'label')"""
 
 _Q28 = f"""WITH {ABSA_SQL},
 tx AS (SELECT doc_id, mode, side, string_agg(pos || ':' || key || '=' || value, ';' ORDER BY pos) AS t FROM ent GROUP BY doc_id, mode, side)
@@ -421,8 +454,8 @@ kp AS (SELECT tot.mode, tot.aspect,
                     ELSE (po_num / nn - pe_num / (nn * nn)) / (1 - pe_num / (nn * nn)) END, 4) AS kappa
        FROM tot JOIN pe USING (mode, aspect)),
 sc AS (SELECT d.mode, d.aspect, d.label AS cls, CAST(cs.pre_num AS BIGINT) AS pre_num, CAST(rs.la_num AS BIGINT) AS la_num,
-              CASE WHEN cs.pre_num = 0 THEN NULL ELSE round(d.n / cs.pre_num, 4) END AS precision,
-              CASE WHEN rs.la_num = 0 THEN NULL ELSE round(d.n / rs.la_num, 4) END AS recall, kp.kappa
+              CASE WHEN cs.pre_num = 0 THEN 'NaN'::DOUBLE ELSE round(d.n / cs.pre_num, 4) END AS precision,
+              CASE WHEN rs.la_num = 0 THEN 'NaN'::DOUBLE ELSE round(d.n / rs.la_num, 4) END AS recall, kp.kappa
        FROM mat d JOIN rs ON rs.mode = d.mode AND rs.aspect = d.aspect AND rs.label = d.label
        JOIN cs ON cs.mode = d.mode AND cs.aspect = d.aspect AND cs.pred = d.label
        JOIN kp ON kp.mode = d.mode AND kp.aspect = d.aspect WHERE d.label = d.pred)"""
@@ -438,7 +471,9 @@ acc AS (
          CAST(sum(CASE WHEN label = pred THEN 0 ELSE 1 END) AS BIGINT) FROM pairs GROUP BY mode
   UNION ALL
   SELECT mode, 'sentence', CAST(sum(ok) AS BIGINT), CAST(count(*) - sum(ok) AS BIGINT)
-  FROM (SELECT mode, doc_id, min(CASE WHEN label = pred THEN 1 ELSE 0 END) AS ok FROM pairs GROUP BY mode, doc_id) GROUP BY mode)"""
+  FROM (SELECT a.mode, a.doc_id, coalesce(b.ok, 0) AS ok FROM smp a LEFT JOIN (
+          SELECT mode, doc_id, min(CASE WHEN label = pred THEN 1 ELSE 0 END) AS ok FROM pairs GROUP BY mode, doc_id) b
+        ON a.mode = b.mode AND a.doc_id = b.doc_id) GROUP BY mode)"""
 
 _Q32 = f"WITH {ABSA_SQL}{_ACC_SQL} SELECT mode, aspect, correct, incorrect, round(correct / (correct + incorrect), 4) AS acc FROM acc"
 
@@ -450,9 +485,10 @@ def _q33_sql():
     base = ABSA_SQL.replace("pairs AS (\n  SELECT l.doc_id", "pairs0 AS (\n  SELECT l.doc_id")
     mat = _MATRIX_SQL.replace("mode", "md")
     sql = f"""WITH {base},
-dp AS ({_DP}),
-pairs AS (SELECT p.doc_id, p.mode || '|' || dp.dpair AS md, p.aspect, p.label, p.pred FROM pairs0 p JOIN dp USING (lang)){mat}
-{_SCORES_SQL.replace('mode', 'md')}{_ACC_SQL.replace('mode', 'md')},
+dp AS (SELECT l.lang, coalesce(k.dpair, '{DEFAULT_PAIR}') AS dpair FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN ({_DP}) k USING (lang)),
+pairs AS (SELECT p.doc_id, p.mode || '|' || dp.dpair AS md, p.aspect, p.label, p.pred FROM pairs0 p JOIN dp USING (lang)),
+smp2 AS (SELECT DISTINCT doc_id, md FROM pairs){mat}
+{_SCORES_SQL.replace('mode', 'md')}{_ACC_SQL.replace('mode', 'md').replace('FROM smp a', 'FROM smp2 a')},
 wf AS (SELECT e.mode || '|' || dp.dpair AS md, count(*) FILTER (WHERE e.error_type <> '') AS wf
        FROM errs e JOIN dp USING (lang)
        WHERE (e.mode = 'cot' AND e.side = 'raw') OR (e.mode <> 'cot' AND e.side = 'pred') GROUP BY ALL),

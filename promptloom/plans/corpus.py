@@ -34,6 +34,8 @@ ANNOTATION_SUFFIX = ("\n---\n请从上文中抽取出所有公司/机构、对
 # Which model/tool serves which document language (our routing for the provided data).
 LANG_ROUTES = [("en", "baichuan-7b", "聊天"), ("fr", "baichuan-7b", "公司情感抽取"),
                ("de", "glm", "公司情感抽取"), ("es", "baichuan-7b", "聊天")]
+# Any other language, or none.
+DEFAULT_ROUTE = ("baichuan-7b", "聊天")
 # Question rewrites used to augment each task seed (paraphrase table).
 PARAPHRASES = [(1, "Could you explain: {}"), (2, "Question: {}"), (3, "Tell me about {}"),
                (4, "{} Please answer briefly.")]
@@ -60,7 +62,7 @@ def q07(spark, sf_dir):
     moves to test (test ∪ train[k:], train = train[:k])."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     test = docs.filter(F.col("lang") == "es").select("doc_id", F.lit("test").alias("split"))
-    train = with_global_index(docs.filter(F.col("lang") != "es").select("doc_id"), ["doc_id"], total_col="_n")
+    train = with_global_index(docs.filter(~F.col("lang").eqNullSafe("es")).select("doc_id"), ["doc_id"], total_col="_n")
     train = train.withColumn("_k", F.floor(F.col("_n") * KEEP_TRAIN_FRACTION))
     moved = train.filter(F.col("idx") >= F.col("_k")).select("doc_id", F.lit("test").alias("split"))
     kept = train.filter(F.col("idx") < F.col("_k")).select("doc_id", F.lit("train").alias("split"))
@@ -69,7 +71,7 @@ def q07(spark, sf_dir):
 
 register("q07_split_rebalance", oracle=f"""
 WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n
-           FROM documents WHERE lang <> 'es')
+           FROM documents WHERE lang IS DISTINCT FROM 'es')
 SELECT doc_id, 'test' AS split FROM documents WHERE lang = 'es'
 UNION ALL SELECT doc_id, CASE WHEN idx < floor(n * {KEEP_TRAIN_FRACTION}) THEN 'train' ELSE 'test' END FROM t""")(q07)
 
@@ -109,8 +111,11 @@ def q09(spark, sf_dir):
     aug = (expand_rows(task.drop("variant"), PARAPHRASES, ["variant", "template"])
            .select("source", "sample_id", "variant", fill_template(F.col("template"), F.col("q")).alias("q"), "a"))
     mixed = drop_empty_answers(general.unionByName(task).unionByName(aug), "a")
-    best = mixed.groupBy("q", "a").agg(F.min(F.struct("source", "sample_id", "variant")).alias("_m"))
-    return best.select("q", "a", F.col("_m.source").alias("source"), F.col("_m.sample_id").alias("sample_id"),
+    # texts are told apart by a wide digest, so the shuffle key is 32 bytes; the texts
+    # of a digest come along with its smallest row
+    digest = F.sha2(F.concat(F.octet_length("q").cast("string"), F.lit(":"), "q", "a"), 256)
+    best = mixed.groupBy(digest.alias("_d")).agg(F.min(F.struct("source", "sample_id", "variant", "q", "a")).alias("_m"))
+    return best.select(F.col("_m.q").alias("q"), F.col("_m.a").alias("a"), F.col("_m.source").alias("source"), F.col("_m.sample_id").alias("sample_id"),
                        F.col("_m.variant").cast("int").alias("variant"))
 
 
@@ -139,15 +144,18 @@ def q12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     routes = spark.createDataFrame(LANG_ROUTES, "lang string, model string, tool string")
     tpl = spark.createDataFrame(TEMPLATES, "model string, tool string, template string")
-    r = docs.join(F.broadcast(routes), "lang").join(F.broadcast(tpl), ["model", "tool"])
+    r = docs.join(F.broadcast(routes), "lang", "left").withColumns(
+        {c: F.coalesce(c, F.lit(d)) for c, d in zip(("model", "tool"), DEFAULT_ROUTE, strict=True)})
+    r = r.join(F.broadcast(tpl), ["model", "tool"])
     return r.select("doc_id", "model", "tool", fill_template(F.col("template"), F.col("text")).alias("prompt"),
                     append_instruction(F.col("text"), ANNOTATION_SUFFIX).alias("api_content"))
 
 
 register("q12_template_route", oracle=f"""
-SELECT d.doc_id, r.model, r.tool, replace(t.template, '{{}}', d.text) AS prompt, d.text || {lit(ANNOTATION_SUFFIX)} AS api_content
-FROM documents d JOIN {values(LANG_ROUTES, ["lang", "model", "tool"])} ON d.lang = r.lang
-JOIN {values(TEMPLATES, ["model", "tool", "template"])} ON r.model = tp.model AND r.tool = tp.tool"""
+SELECT d.doc_id, tp.model, tp.tool, replace(t.template, '{{}}', d.text) AS prompt, d.text || {lit(ANNOTATION_SUFFIX)} AS api_content
+FROM documents d LEFT JOIN {values(LANG_ROUTES, ["lang", "model", "tool"])} ON d.lang = r.lang
+JOIN {values(TEMPLATES, ["model", "tool", "template"])}
+  ON coalesce(r.model, {lit(DEFAULT_ROUTE[0])}) = tp.model AND coalesce(r.tool, {lit(DEFAULT_ROUTE[1])}) = tp.tool"""
          .replace("AS t(lang, model, tool)", "AS r(lang, model, tool)")
          .replace("AS t(model, tool, template)", "AS tp(model, tool, template)")
          .replace("t.template", "tp.template"))(q12)

@@ -1,10 +1,10 @@
 """Derivations from the provided tables shared by several queries.
 
 GP (gold / prediction entities from ``documents``): every whitespace-separated
-word of every whole text, lower-cased with non-letters removed, keeping words of
-six or more letters.  Deterministic positional rules turn the words into a gold
+word of every whole text, lower-cased with non-letters removed, keeping all that
+are not empty then.  Deterministic positional rules turn the words into a gold
 list and a predicted list with exact hits, misses, spurious items, near-misses
-(one letter dropped) and repeated names, so every matching path is exercised.
+(one letter dropped, where more than one is there) and repeated names, so every matching path is exercised.
 Each rule has a one-to-one SQL form used by the DuckDB oracle.
 """
 
@@ -22,11 +22,11 @@ FOREIGN_TYPE = "gene"
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, name, n_letters) for every word with >= 6 letters (whole texts)."""
+    """(doc_id, pos, name, n_letters) for every word with a letter (whole texts)."""
     w = docs.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "raw"))
     w = w.select("doc_id", "pos",
                  F.lower(F.regexp_replace("raw", r"[^\p{L}]", "")).alias("name"))
-    return w.withColumn("n_letters", F.length("name")).filter(F.col("n_letters") >= 6)
+    return w.withColumn("n_letters", F.length("name")).filter(F.col("n_letters") >= 1)
 
 
 def gp_entities(spark: SparkSession, sf_dir: str, foreign_every: int = 0) -> DataFrame:
@@ -45,7 +45,7 @@ def gp_entities(spark: SparkSession, sf_dir: str, foreign_every: int = 0) -> Dat
     ptype = etype
     if foreign_every:
         ptype = F.when(F.col("pos") % foreign_every == 0, F.lit(FOREIGN_TYPE)).otherwise(etype)
-    pname = F.when(F.col("pos") % 5 == 0, F.expr("substring(name, 1, n_letters - 1)")).otherwise(F.col("name"))
+    pname = F.when((F.col("pos") % 5 == 0) & (F.col("n_letters") > 1), F.expr("substring(name, 1, n_letters - 1)")).otherwise(F.col("name"))
     pred = (w.filter(F.col("pos") % 4 != 0)
             .select("doc_id", F.lit("pred").alias("side"), "pos",
                     ptype.alias("e_type"), pname.alias("e_name")))
@@ -60,7 +60,7 @@ words AS (
     SELECT doc_id, generate_subscripts(arr, 1) - 1 AS pos,
            lower(regexp_replace(unnest(arr), '[^\p{L}]', '', 'g')) AS name
     FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS arr FROM documents))
-  WHERE length(name) >= 6)"""
+  WHERE length(name) >= 1)"""
 
 _TYPE_SQL = "(['DNA','RNA','protein','cell_type','cell_line'])[n_letters % 5 + 1]"
 
@@ -74,7 +74,7 @@ ents AS (
   SELECT doc_id, 'gold' AS side, pos, {_TYPE_SQL} AS e_type, name AS e_name FROM words WHERE pos % 3 <> 0
   UNION ALL
   SELECT doc_id, 'pred' AS side, pos, {ptype} AS e_type,
-         CASE WHEN pos % 5 = 0 THEN substring(name, 1, n_letters - 1) ELSE name END AS e_name
+         CASE WHEN pos % 5 = 0 AND n_letters > 1 THEN substring(name, 1, n_letters - 1) ELSE name END AS e_name
   FROM words WHERE pos % 4 <> 0)"""
 
 
@@ -88,7 +88,7 @@ def gp_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.arrays_zip(F.sequence(F.lit(0), F.size("_w") - 1).alias("pos"), F.col("_w").alias("raw"))
     clean = F.transform(z, lambda x: F.struct(x["pos"].alias("pos"),
                                               F.lower(F.regexp_replace(x["raw"], r"[^\p{L}]", "")).alias("name")))
-    kept = F.filter(clean, lambda x: F.length(x["name"]) >= 6)
+    kept = F.filter(clean, lambda x: F.length(x["name"]) >= 1)
     d = d.select("doc_id", "seq", kept.alias("_k"))
     types = F.array(*[F.lit(t) for t in ENTITY_TYPES])
 
@@ -99,7 +99,7 @@ def gp_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
                        lambda x: F.struct(etype(x).alias("e_type"), x["name"].alias("e_name")))
     pred = F.transform(F.filter("_k", lambda x: x["pos"] % 4 != 0),
                        lambda x: F.struct(etype(x).alias("e_type"),
-                                          F.when(x["pos"] % 5 == 0, F.substring(x["name"], F.lit(1), F.length(x["name"]) - 1))
+                                          F.when((x["pos"] % 5 == 0) & (F.length(x["name"]) > 1), F.substring(x["name"], F.lit(1), F.length(x["name"]) - 1))
                                           .otherwise(x["name"]).alias("e_name")))
     return d.select("doc_id", "seq", gold.alias("gold"), pred.alias("pred"))
 

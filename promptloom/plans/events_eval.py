@@ -3,8 +3,9 @@
 Every event row is one sample.  Its gold tuples are (TYPES[k % 10], event_type)
 and (TYPES[(k + user_id) % 10], 'u' + user_id), k = props.k, rendered as the
 heuristic list-per-line output.  The prediction follows event_id % 6: 0 exact,
-1 a repeated tuple, 2 a near-miss trigger (+'s'), 3 empty output, 4 a missing
-tuple, 5 an extra tuple (malformed in the json design, an unknown id in the
+1 a repeated tuple, 2 a near-miss trigger (+'s'; in the json design it begins
+with '['), 3 empty output, 4 a missing tuple (in the heuristic design the other
+one has a third item), 5 an extra tuple (malformed in the json design, an unknown id in the
 numerical design).  Predictions are rendered in five designs and parsed back.
 """
 
@@ -40,18 +41,22 @@ def _tuples(spark, sf_dir):
     return ev.select("event_id", F.array(t1, t2).alias("gold_t"), pred.alias("pred_t"))
 
 
-def _render(arr, fmt):
+def _render(arr, fmt, kind=None):
+    """``kind`` (event_id % 6) adds the faults that only one design shows."""
+    kind = F.lit(0) if kind is None else kind
     if fmt == "ou":
         return F.array_join(F.transform(arr, lambda x: F.concat(x["t"], F.lit(":"), x["g"])), ";")
     if fmt == "heuristic":
-        return F.array_join(F.transform(arr, lambda x: F.concat(F.lit("['"), x["t"], F.lit("', '"), x["g"], F.lit("']"))), "\n")
+        third = F.when(kind == 4, F.lit("', 'raid")).otherwise(F.lit(""))
+        return F.array_join(F.transform(arr, lambda x: F.concat(F.lit("['"), x["t"], F.lit("', '"), x["g"], third, F.lit("']"))), "\n")
     if fmt == "numerical":
         return F.array_join(F.transform(arr, lambda x: F.concat(x["tidx"].cast("string"), F.lit(":"), x["g"])), ";")
     if fmt == "lines":
         return F.array_join(F.transform(arr, lambda x: F.concat(x["t"], F.lit(": "), x["g"])), "\n")
     if fmt == "json":
         return F.array_join(F.transform(arr, lambda x: F.concat(
-            F.lit('{"event_type": "'), x["t"], F.lit('", "trigger word": "'), x["g"],
+            F.lit('{"event_type": "'), x["t"], F.lit('", "trigger word": "'),
+            F.when((kind == 2) & x["g"].endswith("s"), F.lit("[")).otherwise(F.lit("")), x["g"],
             F.when(x["broken"], F.lit('"')).otherwise(F.lit('"}')))), "\n")
     raise ValueError(fmt)
 
@@ -64,7 +69,7 @@ def parsed_events(spark, sf_dir):
     for f in FORMATS:
         x = t.select(F.lit(f).alias("format"), "event_id",
                      _render(F.col("gold_t"), "heuristic").alias("output"),
-                     _render(F.col("pred_t"), f).alias("prediction"))
+                     _render(F.col("pred_t"), f, F.col("event_id") % 6).alias("prediction"))
         x = x.select("format", "event_id", parse_heuristic(F.col("output"), strip_items=False).alias("gold"),
                      parse_events(F.col("prediction"), f).alias("p"))
         out = x if out is None else out.unionByName(x)
@@ -114,8 +119,8 @@ tt AS (SELECT event_id,
 fm AS (SELECT * FROM (VALUES {", ".join(f"('{f}')" for f in FORMATS)}) f(format)),
 pe AS (
   SELECT fm.format, tt.event_id, [t1, t2] AS gold,
-    CASE event_id % 6 WHEN 0 THEN [t1, t2] WHEN 1 THEN [t1, t1, t2] WHEN 2 THEN [nr, t2] WHEN 3 THEN []
-         WHEN 4 THEN [t1] ELSE CASE WHEN format IN ('json', 'numerical') THEN [t1, t2] ELSE [t1, t2, ex] END END AS pred,
+    CASE event_id % 6 WHEN 0 THEN [t1, t2] WHEN 1 THEN [t1, t1, t2] WHEN 2 THEN CASE WHEN format = 'json' THEN [{{'t': nr.t, 'g': '[' || nr.g}}, t2] ELSE [nr, t2] END WHEN 3 THEN []
+         WHEN 4 THEN CASE WHEN format = 'heuristic' THEN [{{'t': t1.t, 'g': chr(31) || t1.g || chr(31) || 'raid'}}] ELSE [t1] END ELSE CASE WHEN format IN ('json', 'numerical') THEN [t1, t2] ELSE [t1, t2, ex] END END AS pred,
     CASE WHEN event_id % 6 = 3 THEN 1 WHEN event_id % 6 = 5 AND format IN ('json', 'numerical') THEN 1 ELSE 0 END AS format_error,
     CASE WHEN event_id % 6 = 3 THEN 1 ELSE 0 END AS empty
   FROM tt, fm)"""

@@ -1,6 +1,6 @@
 """Tokenisation and batch-building queries over ``conversations`` (q14-q17).
 
-The vocabulary (VOCAB_SIZE words) is built from every conversation text.
+The vocabulary holds every word of every conversation text.
 Results carry lengths, counts and md5 fingerprints of the id arrays so that
 the DuckDB oracle can check every id.
 """
@@ -19,7 +19,6 @@ from promptloom.plans.registry import register
 from promptloom.plans.sqlutil import NL
 from promptloom.sources.tables import table
 
-VOCAB_SIZE = 4096
 MAX_SEQ_LEN = 256
 BATCH = 8
 GEN_MAX = 128
@@ -29,7 +28,7 @@ PAIR_BATCH = 4
 
 
 def _vocab(spark, sf_dir):
-    return build_vocab(table(spark, sf_dir, "conversations"), "text", VOCAB_SIZE)
+    return build_vocab(table(spark, sf_dir, "conversations"), "text")
 
 
 def _pairs(spark, sf_dir):
@@ -42,14 +41,17 @@ def _pairs(spark, sf_dir):
 
 def tokenized_pairs(spark, sf_dir, skip_overlength: bool = False):
     pairs = _pairs(spark, sf_dir)
-    enc = encode_fields(pairs, ["conv_id", "turn"], {"prompt_ids": F.col("q"), "target_ids": F.col("a")},
+    # cut before the words are exploded; the word count rides along in the key
+    pairs = pairs.select("conv_id", "turn", words(F.col("q")).alias("q"), words(F.col("a")).alias("a"))
+    keyed = pairs.select("conv_id", "turn", F.size("q").alias("n_prompt_words"), F.slice("q", 1, MAX_SEQ_LEN).alias("q"),
+                         F.slice("a", 1, MAX_SEQ_LEN).alias("a"))
+    enc = encode_fields(keyed, ["conv_id", "turn", "n_prompt_words"], {"prompt_ids": F.col("q"), "target_ids": F.col("a")},
                         _vocab(spark, sf_dir), bos={"prompt_ids": True})
     feats = causal_lm_features(F.col("prompt_ids"), F.col("target_ids"), MAX_SEQ_LEN, skip_overlength)
-    n_words = pairs.select("conv_id", "turn", F.size(words(F.col("q"))).alias("n_prompt_words"))
-    return (enc.select("conv_id", "turn", F.slice("prompt_ids", 1, MAX_SEQ_LEN).alias("prompt_ids"),
+    return (enc.select("conv_id", "turn", "n_prompt_words", F.slice("prompt_ids", 1, MAX_SEQ_LEN).alias("prompt_ids"),
                        F.slice("target_ids", 1, MAX_SEQ_LEN).alias("target_ids"),
                        *[v.alias(k) for k, v in feats.items()])
-            .filter("keep").drop("keep").join(n_words, ["conv_id", "turn"]))
+            .filter("keep").drop("keep"))
 
 
 def q14(spark, sf_dir):
@@ -71,7 +73,7 @@ vocab AS (
   SELECT word, CAST(rn + 3 AS INTEGER) AS id FROM (
     SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rn FROM (
       SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format(x='text')}) AS word FROM conversations) GROUP BY word))
-  WHERE rn <= {VOCAB_SIZE}),
+  ),
 toks AS (
   SELECT conv_id, turn, f, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM (
     SELECT conv_id, turn, 'p' AS f, {_WORDS.format(x='q')} AS ws FROM pairs
@@ -172,10 +174,12 @@ def q17(spark, sf_dir):
     pr = pick("t_user", "prompt").join(pick("t_first", "chosen").select("conv_id", "chosen"), "conv_id") \
         .join(pick("t_last", "rejected").select("conv_id", "rejected"), "conv_id")
     head = F.concat(F.lit("问："), F.col("prompt"), F.lit("\n\n答："))
-    enc = encode_fields(pr, ["conv_id"], {"ids_j": F.concat(head, F.col("chosen")),
-                                          "ids_k": F.concat(head, F.col("rejected")), "query": head},
-                        _vocab(spark, sf_dir), bos={"ids_j": True, "ids_k": True, "query": True})
-    kept = enc.filter((F.size("ids_j") <= PAIR_MAX) & (F.size("ids_k") <= PAIR_MAX) & (F.size("query") < QUERY_MAX))
+    pr = pr.select("conv_id", words(F.concat(head, F.col("chosen"))).alias("ids_j"),
+                   words(F.concat(head, F.col("rejected"))).alias("ids_k"), words(head).alias("query"))
+    # an encoded text is bos and one id per word, so the length filters need no encoding
+    short = pr.filter((F.size("ids_j") < PAIR_MAX) & (F.size("ids_k") < PAIR_MAX) & (F.size("query") + 1 < QUERY_MAX))
+    kept = encode_fields(short, ["conv_id"], {c: F.col(c) for c in ("ids_j", "ids_k", "query")},
+                         _vocab(spark, sf_dir), bos={"ids_j": True, "ids_k": True, "query": True})
     b = batch_ids(kept, ["conv_id"], PAIR_BATCH)
     w = Window.partitionBy("batch_id")
     b = b.withColumn("max_j", F.max(F.size("ids_j")).over(w)).withColumn("max_k", F.max(F.size("ids_k")).over(w))
@@ -200,7 +204,7 @@ vocab AS (
   SELECT word, CAST(rn + 3 AS INTEGER) AS id FROM (
     SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rn FROM (
       SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.format(x='text')}) AS word FROM conversations) GROUP BY word))
-  WHERE rn <= {VOCAB_SIZE}),
+  ),
 x AS (SELECT conv_id, '问：' || prompt || {NL} || {NL} || '答：' AS head, chosen, rejected FROM pr),
 toks AS (
   SELECT conv_id, f, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM (

@@ -22,28 +22,34 @@ def gp_lists(sf_dir):
         gold, pred = [], []
         for pos, w in enumerate(words):
             name = "".join(ch for ch in w if ch.isalpha()).lower()
-            if len(name) < 6:
+            if not name:
                 continue
             ty = TYPES[len(name) % 5].lower()
             if pos % 3 != 0:
                 gold.append((ty, name))
             if pos % 4 != 0:
-                pred.append((ty, name[:-1] if pos % 5 == 0 else name))
+                pred.append((ty, name[:-1] if pos % 5 == 0 and len(name) > 1 else name))
         out[r["doc_id"]] = (gold, pred)
     return out
 
 
-def soften(pred, targets, threshold=0.5):
-    pred = pred.strip()
-    if not targets:
-        return pred
-    scores = [SequenceMatcher(a=pred, b=t).ratio() for t in targets]
-    m = max(scores)
-    if m > threshold:
-        tgt = targets[scores.index(m)].lower().strip()
-        if tgt != pred and (tgt in pred or pred in tgt):
-            return tgt
-    return pred
+def soft_choice(name, golds):
+    """M4 read off its rule: rank all gold names by (ratio, earlier first); the winner replaces the name if it
+    is more than half similar, another string, and one of the two contains the other."""
+    name = name.strip()
+    if name in golds:
+        return name  # ratio 1 is the maximum
+    ranked = sorted((-SequenceMatcher(a=name, b=g).ratio(), k) for k, g in enumerate(golds))
+    if not ranked or -ranked[0][0] <= 0.5:
+        return name
+    winner = golds[ranked[0][1]].lower().strip()
+    return winner if winner != name and (winner in name or name in winner) else name
+
+
+def soft_event_choice(trigger, golds):
+    """M5 read off its rule: the same ranking, without the containment condition."""
+    ranked = sorted((-SequenceMatcher(a=trigger, b=g).ratio(), k) for k, g in enumerate(golds))
+    return golds[ranked[0][1]].lower().strip() if ranked and -ranked[0][0] > 0.5 else trigger
 
 
 def prf(tp, fp, fn, scale=5):
@@ -61,7 +67,7 @@ def soft_ner_scores(sf_dir):
         sp = []
         for ty, n in pred:
             if n not in cache:
-                cache[n] = soften(n, names)
+                cache[n] = soft_choice(n, names)
             sp.append((ty, cache[n]))
         for match, g, p in (("strict", gold, sp), ("boundaries", [n for _, n in gold], [n for _, n in sp])):
             cg, cp = Counter(g), Counter(p)

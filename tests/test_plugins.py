@@ -39,6 +39,6 @@ def test_batch_predict_failures_isolated(spark):
 def test_join_small_salted_path(spark):
     big = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, s string")
-    a = sorted(tuple(r) for r in join_small(big, small, ["k"], max_rows=1).collect())
+    a = sorted(tuple(r) for r in join_small(big, small, ["k"], max_bytes=1).collect())
     b = sorted(tuple(r) for r in big.join(small, ["k"]).collect())
     assert a == b

@@ -1,10 +1,10 @@
 """Soft matching against a direct Python evaluation of the reference rule."""
 
-from pyspark.sql import functions as F
+import random
 
 import brute
 from conftest import SF001
-from promptloom.functions.similarity import _soften
+from promptloom.functions.similarity import soften
 from promptloom.plans.events_eval import parsed_events
 from promptloom.plans.softmatch import q36, q37
 
@@ -15,6 +15,14 @@ def test_soft_ner_equals_bruteforce(spark):
     assert got == exp
 
 
+def test_soften_equals_its_rule():
+    r = random.Random(5)
+    for _ in range(300):
+        gold = ["".join(r.choice("abC ") for _ in range(r.randint(0, 6))) for _ in range(r.randint(0, 5))]
+        pred = ["".join(r.choice("abC ") for _ in range(r.randint(0, 6))) for _ in range(4)]
+        assert soften(pred, gold) == [brute.soft_event_choice(p, gold) for p in pred]
+
+
 def test_soft_events_equals_bruteforce(spark):
     rows = parsed_events(spark, SF001).select("format", "gold", "p.items").collect()
     tot = {}
@@ -22,7 +30,7 @@ def test_soft_events_equals_bruteforce(spark):
         gold = [(g.e_type, g.trigger) for g in r.gold]
         pred = [(p.e_type, p.trigger) for p in r["items"]]
         uniq = list(dict.fromkeys(pred))
-        soft = _soften([t for _, t in uniq], [t for _, t in gold], 0.5)
+        soft = [brute.soft_event_choice(t, [g for _, g in gold]) for _, t in uniq]
         res = [x for x in zip([e for e, _ in uniq], soft) if x in gold]
         a = tot.setdefault(r.format, [0, 0, 0])
         a[0] += len(res)
