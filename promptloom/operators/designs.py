@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entity types in output order, the three task descriptions and the
-# dictionary example of the JSON design.
+# Entity types in output order, the three task descriptions, the
+# dictionary example of the JSON design, and the prompt parts of every design (PROMPT_PARTS).
 TYPE_ORDER = ["DNA", "RNA", "protein", "cell_type", "cell_line"]
 DESCRIPTIONS = [
     "Read the given sentence carefully, identify all named entities of type \"DNA\", \"RNA\", \"protein\", "

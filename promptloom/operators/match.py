@@ -60,18 +60,6 @@ def multiset_outcome(counts: DataFrame) -> DataFrame:
             .withColumn("fn", F.col("n_gold") - tp))
 
 
-def semi_join_outcome(ents: DataFrame, sample_col: str, keys: list[str],
-                      side_col: str = "side") -> DataFrame:
-    """M6: distinct predictions that occur in the gold list count as correct.
-
-    Returns per (sample, key): n_pred (raw), n_gold (raw), tp in {0, 1}.
-    """
-    c = (ents.groupBy(sample_col, *keys)
-         .agg(F.count_if(F.col(side_col) == GOLD).alias("n_gold"),
-              F.count_if(F.col(side_col) == PRED).alias("n_pred")))
-    return c.withColumn("tp", ((F.col("n_gold") > 0) & (F.col("n_pred") > 0)).cast("long"))
-
-
 def flag_undefined(ents: DataFrame, types: DataFrame, type_col: str = "e_type",
                    type_key: str = "verbose") -> DataFrame:
     """Add ``undefined`` (bool) = the row's type is not a known type.

@@ -22,6 +22,13 @@ from promptloom.session import materialize
 _ROW_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
 
 
+def tagged_in_order(df: DataFrame, order_cols: list[str | Column], n: int) -> DataFrame:
+    """Rows range-partitioned and sorted, with partition and rank inside it."""
+    ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    return ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
+        "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+
+
 def with_global_index(df: DataFrame, order_cols: list[str | Column], index_col: str = "idx",
                       num_partitions: int | None = None, total_col: str | None = None) -> DataFrame:
     """Add a 0-based dense position of every row in the order ``order_cols``.
@@ -30,12 +37,8 @@ def with_global_index(df: DataFrame, order_cols: list[str | Column], index_col:
     result.  The offsets table has one row per partition, so broadcasting it is
     bounded by the partition count, not by the data.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-    tagged = materialize(tagged)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = materialize(tagged_in_order(df, order_cols, n))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"),
                             F.sum("_n").over(Window.partitionBy()).alias("_all"))

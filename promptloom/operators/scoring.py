@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptloom.functions.columns import neg_log_sigmoid, sigmoid
+from promptloom.operators.order import with_global_index
+from promptloom.session import materialize
 
 
 def batch_predict(df: DataFrame, prompt_col: str, make_predict: Callable[[], Callable],
@@ -58,6 +60,11 @@ def batch_predict(df: DataFrame, prompt_col: str, make_predict: Callable[[], Cal
     return df.mapInPandas(run, schema)
 
 
+def needs_retry(prediction: Column) -> Column:
+    """I5 on a row of the output: no non-empty result."""
+    return F.coalesce(prediction == "", F.lit(True))
+
+
 def retry_set(inputs: DataFrame, outputs: DataFrame, key: str, out_col: str = "prediction") -> DataFrame:
     """Inputs without a non-empty result (left anti join on the key)."""
     done = outputs.filter(F.col(out_col) != "").select(key)
@@ -83,10 +90,13 @@ def run_monitor(rollouts: DataFrame, step_col: str, score_col: str, response_col
                 window: int = 10, collapse_score: float = 0.0) -> DataFrame:
     """Per step mean score, mean response length, collapse alerts (empty
     response with score above ``collapse_score``) and a moving average of the
-    mean score over the last ``window`` steps (a window over per-step rows)."""
+    mean score over the last ``window`` steps: each step adds its score to the
+    averages of itself and the next ``window - 1`` positions (no global window)."""
     per = rollouts.groupBy(step_col).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score_col).alias("mean_score"),
         F.avg(F.length(response_col)).alias("mean_len"),
         F.count_if((F.length(response_col) == 0) & (F.col(score_col) > collapse_score)).alias("n_alert"))
-    w = Window.orderBy(step_col).rowsBetween(-(window - 1), 0)
-    return per.withColumn("ma_score", F.avg("mean_score").over(w))
+    per = materialize(with_global_index(per, [step_col], "_at"))
+    reach = F.sequence(F.col("_at"), F.col("_at") + (window - 1))
+    ma = per.select(F.explode(reach).alias("_at"), "mean_score").groupBy("_at").agg(F.avg("mean_score").alias("ma_score"))
+    return per.join(ma, "_at").drop("_at")

@@ -161,6 +161,17 @@ JOIN {values(TEMPLATES, ["model", "tool", "template"])}
          .replace("t.template", "tp.template"))(q12)
 
 
+def few_shot_examples(docs):
+    """One row per language: its SHOTS lowest doc_ids as examples."""
+    rn = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    shots = docs.withColumn("rn", rn).filter(F.col("rn") <= SHOTS)
+    shot_text = F.concat(F.lit("Example "), F.col("rn").cast("string"), F.lit(":\n"), F.col("text"),
+                         F.lit("\n输出："), F.col("source"))
+    return (shots.groupBy("lang")
+            .agg(F.sort_array(F.collect_list(F.struct("rn", shot_text.alias("s")))).alias("_shots"))
+            .select("lang", F.array_join(F.transform("_shots", lambda x: x["s"]), "\n\n").alias("examples")))
+
+
 def q13(spark, sf_dir):
     """P6 few-shot prompts: the SHOTS lowest doc_ids of each language are the
     examples ('Example k:' + text + '输出：' + source); every document gets its
@@ -171,14 +182,7 @@ def q13(spark, sf_dir):
     has at most SHOTS rows per language and is joined by ``join_small``.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source")
-    rn = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    shots = docs.withColumn("rn", rn).filter(F.col("rn") <= SHOTS)
-    shot_text = F.concat(F.lit("Example "), F.col("rn").cast("string"), F.lit(":\n"), F.col("text"),
-                         F.lit("\n输出："), F.col("source"))
-    per_lang = (shots.groupBy("lang")
-                .agg(F.sort_array(F.collect_list(F.struct("rn", shot_text.alias("s")))).alias("_shots"))
-                .select("lang", F.array_join(F.transform("_shots", lambda x: x["s"]), "\n\n").alias("examples")))
-    j = join_small(docs, per_lang, ["lang"])
+    j = join_small(docs, few_shot_examples(docs), ["lang"])
     prompt = F.concat(F.col("examples"), F.lit(f"\n\nExample {SHOTS + 1}:\n"), F.col("text"), F.lit("\n输出："))
     return j.select("doc_id", prompt.alias("prompt"))
 

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions.columns import pick
+from promptloom.operators.designs import TYPE_ORDER
 from promptloom.sources.tables import table
 
-# The five entity types of the biomedical corpus, in this order.
-ENTITY_TYPES = ["DNA", "RNA", "protein", "cell_type", "cell_line"]
+ENTITY_TYPES = TYPE_ORDER
 FOREIGN_TYPE = "gene"
 
 

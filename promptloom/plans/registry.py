@@ -29,6 +29,7 @@ def load_all() -> None:
         designs,
         events_eval,
         extras,
+        files,
         ner_corpus,
         ner_eval,
         scoring,

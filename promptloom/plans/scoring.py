@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promptloom.operators.scoring import batch_predict, pairwise_loss, retry_set, reward, reward_accuracy, run_monitor
-from promptloom.functions.columns import expand_rows
+from promptloom.operators.scoring import batch_predict, needs_retry, pairwise_loss, reward, reward_accuracy, run_monitor
+from promptloom.operators.joins import join_small
 from promptloom.plans.registry import register
+from promptloom.session import materialize
 from promptloom.plans.sqlutil import lit
 from promptloom.sources.tables import table
 
@@ -33,16 +34,15 @@ def make_stub_model():
 
 def q38(spark, sf_dir):
     """Batched prediction over every document with prompt and target
-    carried, empty / failed outputs flagged and the retry set marked."""
+    carried, empty / failed outputs flagged and the retry set marked.  The model
+    runs once: its output is stored, and a row that must be retried says so itself."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.col("text")).alias("prompt"),
         F.col("source").alias("target"))
-    out = batch_predict(docs, "prompt", make_stub_model, PREDICT_BATCH)
-    retry = retry_set(docs.select("doc_id"), out, "doc_id").withColumn("retry", F.lit(True))
-    j = out.join(retry, "doc_id", "left")
-    return j.select("doc_id", "target", F.length("prediction").cast("long").alias("pred_chars"),
-                    F.md5("prediction").alias("pred_md5"), (F.col("prediction") == "").alias("empty"),
-                    "error", F.coalesce("retry", F.lit(False)).alias("retry"))
+    out = materialize(batch_predict(docs, "prompt", make_stub_model, PREDICT_BATCH).drop("prompt"))
+    return out.select("doc_id", "target", F.length("prediction").cast("long").alias("pred_chars"),
+                      F.md5("prediction").alias("pred_md5"), (F.col("prediction") == "").alias("empty"),
+                      "error", needs_retry(F.col("prediction")).alias("retry"))
 
 
 register("q38_batch_predict", oracle="""
@@ -109,16 +109,18 @@ VERBALIZER = [(0, "not"), (0, "pas"), (0, "nicht"), (0, "no"), (1, "the"), (1, "
 
 def q41(spark, sf_dir):
     """I8: per document and class, mean probability of the class's label words
-    (word frequency within the document as the probability) × 100, 2 dp."""
-    docs = table(spark, sf_dir, "documents")
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    totals = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    verb = spark.createDataFrame(VERBALIZER, "class int, word string")
-    hits = words.join(F.broadcast(verb.select("word").distinct()), "word").groupBy("doc_id", "word").agg(
-        F.count(F.lit(1)).alias("c"))
-    grid = expand_rows(totals, VERBALIZER, ["class", "word"])  # documents × 8 fixed label words
-    p = grid.join(hits, ["doc_id", "word"], "left").withColumn("prob", F.coalesce("c", F.lit(0)) / F.col("n"))
-    return p.groupBy("doc_id", "class").agg(F.round(F.avg("prob") * 100, 2).alias("score"))
+    (word frequency within the document as the probability) × 100, 2 dp.  The
+    label words are counted on the row, so nothing is shuffled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), r"\s+").alias("ws"))
+
+    def share(label):
+        return F.size(F.filter("ws", lambda x: x == F.lit(label))) / F.size("ws")
+
+    scores = []
+    for c in sorted({c for c, _ in VERBALIZER}):
+        probs = [share(w) for k, w in VERBALIZER if k == c]
+        scores.append(F.struct(F.lit(c).alias("class"), F.round(sum(probs[1:], probs[0]) / len(probs) * 100, 2).alias("score")))
+    return docs.select("doc_id", F.explode(F.array(*scores)).alias("x")).select("doc_id", "x.class", "x.score")
 
 
 register("q41_label_word_score", oracle=f"""
@@ -139,7 +141,8 @@ def q42(spark, sf_dir):
     dw = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
     cw = dw.groupBy("word").agg(F.sum("c").alias("cw"))
     total = cw.agg(F.sum("cw").alias("N"))
-    j = dw.join(cw, "word").crossJoin(F.broadcast(total))  # one-row frame
+    # a frequent word has a row for nearly every document: the join broadcasts or salts
+    j = join_small(dw, cw, ["word"]).crossJoin(F.broadcast(total))  # one-row frame
     per = j.groupBy("doc_id").agg(F.sum("c").alias("n_tokens"),
                                   F.sum(F.col("c") * F.log(F.col("cw") / F.col("N"))).alias("ll"))
     nll = -F.col("ll") / F.col("n_tokens")

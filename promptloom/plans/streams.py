@@ -10,21 +10,27 @@ from promptloom.operators.scoring import batch_predict
 from promptloom.plans.registry import register
 from promptloom.plans.scoring import PREDICT_BATCH, make_stub_model
 from promptloom.sources.tables import table
-from promptloom.streaming.jobs import format_error_counts, scratch, windowed_monitor
+from promptloom.streaming.jobs import format_error_counts, scratch, utc_timestamp, windowed_monitor
 
-N_FILES = 6
+TRIGGERS = 6  # micro-batches of q44; the files of each follow from the parallelism
+
+
+def _files(spark) -> int:
+    """Arriving files: as many as the session's shuffles have tasks, one a trigger at least."""
+    return max(TRIGGERS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def q44(spark, sf_dir):
-    """Predictions of every document written as N_FILES arriving JSON
-    files; streaming counts of rows, empty outputs and errors per target."""
+    """Predictions of every document written as arriving JSON files;
+    streaming counts of rows, empty outputs and errors per target."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.col("text")).alias("prompt"),
         F.col("source").alias("target"))
     out = batch_predict(docs, "prompt", make_stub_model, PREDICT_BATCH).drop("prompt")
     src = scratch(spark, "predictions")
-    out.repartitionByRange(N_FILES, "doc_id").write.json(src)
-    res = format_error_counts(spark, src)
+    n = _files(spark)
+    out.repartitionByRange(n, "doc_id").write.json(src)
+    res = format_error_counts(spark, src, max_files=-(-n // TRIGGERS))
     return res.select("target", F.col("n_rows").cast("long").alias("n_rows"),
                       F.col("n_empty").cast("long").alias("n_empty"), F.col("n_error").cast("long").alias("n_error"))
 
@@ -37,28 +43,20 @@ FROM documents GROUP BY source""")(q44)
 
 
 def q45(spark, sf_dir):
-    """Events laid out as N_FILES files in time order and streamed through
-    a 1-day tumbling window with a 1-hour watermark.  Event times are
-    wall-clock (timestamp_ntz) values read as UTC; window starts are rendered
-    as UTC wall-clock strings inside the job, so the result does not depend on
-    the caller's session time zone."""
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        ev = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value",
-                                                   "props")
-        src = scratch(spark, "events")
-        # files arrive in event-time order: one append per time slice, written in sequence
-        micros = F.unix_micros("ts")
-        lo, hi = ev.agg(F.min(micros), F.max(micros)).first()
-        step = (hi - lo) // N_FILES + 1
-        for i in range(N_FILES):
-            ev.filter((micros >= lo + i * step) & (micros < lo + (i + 1) * step)).coalesce(1) \
-                .write.mode("append").parquet(src)
+    """Events stream in event-time order through a 1-day tumbling window
+    with a 1-hour watermark: all but the last day, then the last day, then late
+    copies of older rows, which the watermark drops.  The job is stopped and
+    resumed from its checkpoint between the arrivals.  Event times are wall-clock
+    (timestamp_ntz) values read as UTC."""
+    ev = table(spark, sf_dir, "events").select(utc_timestamp(F.col("ts")).alias("ts"), "event_id", "event_type", "value", "props")
+    last_day = F.timestamp_seconds(F.floor(F.unix_seconds(ev.agg(F.max("ts").alias("m")).select("m").scalar()) / 86400) * 86400)
+    src, base, n = scratch(spark, "events"), scratch(spark, "win-stream"), _files(spark)
+    arrivals = [ev.filter(F.col("ts") < last_day), ev.filter(F.col("ts") >= last_day),
+                ev.filter((F.col("ts") < last_day - F.expr("INTERVAL 1 DAY")) & (F.col("event_id") % 50 == 0))]
+    for rows in arrivals:
+        rows.drop("event_id").repartitionByRange(n, "ts").write.mode("append").parquet(src)
         res = windowed_monitor(spark, src, "ts timestamp, event_type string, value double, props string",
-                               "ts", "event_type", "value", "props")
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", tz)
+                               "ts", "event_type", "value", "props", max_files=n, base=base)
     return res.select("window_start", "event_type",
                       F.col("n").cast("long").alias("n"), F.round("mean_value", 6).alias("mean_value"),
                       F.round("mean_len", 6).alias("mean_len"))

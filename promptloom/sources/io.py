@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.operators.order import with_global_index
+from promptloom.session import materialize
 
 
 def _line_numbers(df: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def read_type_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_qa_csv(spark: SparkSession, path: str, q_col: str = "question", a_col: str = "answer") -> DataFrame:
     """Header CSV -> (q, a)."""
-    d = spark.read.option("header", "true").option("multiLine", "true").schema(f"`{q_col}` string, `{a_col}` string").csv(path)
+    d = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').schema(f"`{q_col}` string, `{a_col}` string").csv(path)
     return d.select(F.col(q_col).alias("q"), F.col(a_col).alias("a"))
 
 
@@ -77,20 +78,28 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_corpus(corpus: DataFrame, types: DataFrame, path: str) -> None:
+    """K6: an annotated corpus with a copy of its type dictionary beside it."""
+    write_jsonl(corpus, f"{path}/corpus")
+    write_jsonl(types, f"{path}/types")
+
+
 def write_tokenized(df: DataFrame, path: str) -> None:
     """K2: tokenised dataset as parquet, one folder per split."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def write_result_csv(df: DataFrame, path: str, float_cols: list[str]) -> None:
-    """K3: CSV with 4-decimal floats (as ``float_format='%.4f'``)."""
+def write_result_csv(df: DataFrame, path: str, float_cols: list[str], single_file: bool = False) -> None:
+    """K3: CSV with 4-decimal floats (as ``float_format='%.4f'``).  ``single_file``
+    suits a small result table only: one task writes it."""
     cols = [F.format_string("%.4f", F.col(c)).alias(c) if c in float_cols else F.col(c) for c in df.columns]
-    df.select(*cols).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    out = df.select(*cols)
+    (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def write_wrong_format(df: DataFrame, path: str) -> bool:
     """K4: side output of samples with a non-empty error_type, only if any."""
-    bad = df.filter(F.col("error_type") != "")
+    bad = materialize(df.filter(F.col("error_type") != ""))  # read twice, computed once
     if bad.isEmpty():
         return False
     write_jsonl(bad, path)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.session import checkpoint_dir
@@ -19,6 +19,20 @@ from promptloom.session import checkpoint_dir
 PREDICTION_SCHEMA = "doc_id long, target string, prediction string, error string"
 
 
+def utc_text(ts: Column) -> Column:
+    """A timestamp as 'yyyy-MM-dd HH:mm:ss' in UTC, whatever the session's time zone."""
+    sec = F.unix_seconds(ts)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(sec / 86400).cast("int"))
+    in_day = F.pmod(sec, F.lit(86400)).cast("int")
+    return F.concat(day.cast("string"), F.format_string(" %02d:%02d:%02d", F.floor(in_day / 3600).cast("int"),
+                                                        F.floor(in_day % 3600 / 60).cast("int"), in_day % 60))
+
+
+def utc_timestamp(wall_clock: Column) -> Column:
+    """A wall-clock (timestamp_ntz) value read as UTC, whatever the session's time zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), wall_clock))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -31,9 +45,9 @@ def _append_batches(df: DataFrame, out: str):
 
 def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     t = spark.read.parquet(out)
-    w = Window.partitionBy(*keys)
-    return t.withColumn("_last", F.max("batch_id").over(w)).filter(F.col("_last") == F.col("batch_id")) \
-        .drop("_last", "batch_id").dropDuplicates(keys)
+    rest = [c for c in t.columns if c not in (*keys, "batch_id")]
+    last = t.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_last"))
+    return last.select(*keys, "_last.*")
 
 
 def format_error_counts(spark: SparkSession, source_dir: str, max_files: int = 1,
@@ -54,18 +68,22 @@ def format_error_counts(spark: SparkSession, source_dir: str, max_files: int = 1
 
 def windowed_monitor(spark: SparkSession, source_dir: str, schema: str, ts: str, group: str, value: str,
                      response: str, window: str = "1 day", watermark: str = "1 hour",
-                     max_files: int = 1) -> DataFrame:
+                     max_files: int = 1, base: str | None = None) -> DataFrame:
     """Per tumbling event-time window and group: count, mean value and mean
-    response length, with an event-time watermark of ``watermark`` (state of
-    windows behind it can be finalized; see tests/test_streaming.py for the
-    open question on dropping late rows under availableNow)."""
-    base = scratch(spark, "win-stream")
+    response length, with an event-time watermark of ``watermark``.
+
+    A micro-batch drops rows behind the watermark that the batches before its
+    predecessor reached: a row that arrives directly after a jump in event time is
+    still taken, one that arrives a batch later is late.  Window starts are UTC
+    wall-clock strings, whatever the session's time zone.  Re-running with the
+    same ``base`` resumes from its checkpoint, watermark included."""
+    base = base or scratch(spark, "win-stream")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
     agg = (stream.withWatermark(ts, watermark)
            .groupBy(F.window(ts, window).alias("w"), group)
            .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"),
                 F.avg(F.length(response)).alias("mean_len")))
-    agg = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), group, "n",
+    agg = agg.select(utc_text(F.col("w.start")).alias("window_start"), group, "n",
                      "mean_value", "mean_len")
     q = (agg.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
          .foreachBatch(_append_batches(agg, f"{base}/out")).trigger(availableNow=True).start())

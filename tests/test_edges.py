@@ -57,8 +57,8 @@ def test_soft_ner(spark):
 
 
 def test_soft_event(spark):
-    from promptloom.functions.similarity import _soften
-    assert _soften(["abcdx"], ["abcdy"], 0.5) == ["abcdy"]
+    from promptloom.functions.similarity import soften
+    assert soften(["abcdx"], ["abcdy"], 0.5) == ["abcdy"]
 
 
 def _absa(spark, text, mode, domain="1"):
@@ -137,3 +137,58 @@ def test_design_roundtrip_quotes(spark):
     ents = F.array(F.struct(F.lit("DNA").alias("e_type"), F.lit("a b").alias("e_name")))
     assert one(spark, designs.render_output("weak1", ents)) == "'DNA': 'a b'"
     assert one(spark, designs.render_output("default", ents)) == '["DNA","a b"]'
+
+
+def test_single_quoted_dict_is_no_error(spark):
+    from promptloom.operators.absa import error_type, parse_units
+    df = spark.createDataFrame([("{'方面': '食品评价', '情感': '正面'}",)], "t string")
+    u = df.select(parse_units(F.col("t"), "json-output").alias("u"), "t")
+    r = u.select("u", error_type(F.col("t"), F.col("u")).alias("e")).first()
+    assert r.e == "" and (r.u[0].key, r.u[0].value) == ("食品评价", "正面")
+
+
+def test_omitted_aspects_are_unmentioned(spark):
+    from promptloom.operators.absa import ASPECTS, parse_table
+    df = spark.createDataFrame([(1, "omit-unmentioned", "食品评价：正面。"), (2, "omit-unmentioned", "")], "id long, mode string, t string")
+    entries, _ = parse_table(df, ["id", "mode"], "t", "mode", ["omit-unmentioned"], domain="1")
+    got = {(r.id, r.key): r.value for r in entries.collect()}
+    assert got == {(1, a): "正面" if a == "食品评价" else "未提及" for a in ASPECTS["1"]}
+
+
+def _items(spark, text, fmt):
+    from promptloom.operators.parse_events import parse_events
+    r = spark.createDataFrame([(text,)], "t string").select(parse_events(F.col("t"), fmt).alias("p")).first().p
+    return [(x.e_type, x.trigger) for x in r["items"]], r.format_error
+
+
+def test_event_lists_keep_all_items(spark):
+    items, err = _items(spark, "['Attack','bomb','raid']\n['Motion', 'go']\n['Killing']", "heuristic")
+    assert items[1] == ("motion", "go") and err == 0
+    assert items[0] != ("attack", "bomb") and "raid" in items[0][1] and items[2] != ("killing", "")
+
+
+def test_json_triggers_are_never_null(spark):
+    assert _items(spark, '{"event_type": "Attack", "trigger word": "[abc"}', "json") == ([("attack", "[abc")], 0)
+    assert _items(spark, '{"event_type": "Attack", "trigger word": "a{b}"}', "json") == ([("attack", "a{b}")], 0)
+    assert _items(spark, '{"event_type": "Attack", "trigger word": {"a": 1}}', "json") == ([], 1)
+
+
+def test_quoted_names_hold_commas(spark):
+    from promptloom.operators.parse_ner import parse_default
+    df = spark.createDataFrame([(1, '["DNA","a, b"]')], "id long, t string")
+    assert [tuple(r) for r in parse_default(df, ["id"], "t").collect()] == [(1, "DNA", "a, b")]
+    assert [tuple(r) for r in parse_default(df, ["id"], "t", legacy=True).collect()] == [(1, "DNA", "")]
+
+
+def test_bracket_items_are_stripped_and_lines_separate(spark):
+    from promptloom.operators.parse_ner import entities_from_lists
+    df = spark.createDataFrame([(1, "[' DNA ', ' il-2 ']\n['x',\n'y'] ['RNA', 'z']")], "id long, t string")
+    got = [(r.e_type, r.e_name) for r in entities_from_lists(df, ["id"], "t").orderBy("span_pos").collect()]
+    assert got == [("DNA", "il-2"), ("RNA", "z")]
+
+
+def test_json_names_escape_control_characters(spark):
+    import json
+    from promptloom.operators.designs import json_string
+    text = 'a"b\\c\n\t\x01é'
+    assert json.loads(spark.createDataFrame([(text,)], "t string").select(json_string(F.col("t")).alias("j")).first().j) == text

@@ -30,3 +30,21 @@ def test_first_n(spark):
     df = spark.range(10).withColumnRenamed("id", "doc")
     assert sorted(r.doc for r in first_n(df, ["doc"], 3).collect()) == [0, 1, 2]
     assert first_n(df, ["doc"], -1).count() == 10
+
+
+def test_positions_with_payload_above_the_sampling_size(spark):
+    """Range bounds come from a sample; positions stay dense when it is a part of the rows."""
+    payload = F.repeat(F.lit("x"), 50)
+    df = spark.range(0, 300000, 1, 12).select(F.md5(F.col("id").cast("string")).alias("k"), "id", payload.alias("p"))
+    idx = with_global_index(df, ["k", "id"], num_partitions=16)
+    low, high, n, distinct = idx.agg(F.min("idx"), F.max("idx"), F.count("*"), F.count_distinct("idx")).first()
+    assert (low, high, n, distinct) == (0, 299999, 300000, 300000)
+
+
+def test_line_numbers_of_a_large_file(spark, tmp_path):
+    from promptloom.sources.io import read_jsonl
+    path = str(tmp_path / "lines")
+    spark.range(0, 150000, 1, 3).select(F.to_json(F.struct(F.col("id").cast("string").alias("prompt"),
+                                                           F.lit("t").alias("target"))).alias("value")).write.text(path)
+    n = read_jsonl(spark, path).agg(F.count_distinct("line_no"), F.max("line_no")).first()
+    assert tuple(n) == (150000, 149999)

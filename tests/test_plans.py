@@ -5,6 +5,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from promptloom.operators.order import tagged_in_order
+from promptloom.operators.scoring import batch_predict
+from promptloom.plans.corpus import few_shot_examples
+from promptloom.plans.scoring import make_stub_model
+from promptloom.sources.tables import table
 
 Q = E.queries()
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
@@ -17,8 +22,12 @@ LAZY = ["q01_ner_micro_hard", "q02_ner_per_type", "q03_ner_undefined_invalid", "
         "q42_sequence_nll", "q43_attention_rows", "q48_multi_seed"]
 
 
+def text_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def plan(spark, name):
-    return Q[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    return text_of(Q[name](spark, SF001))
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -34,14 +43,14 @@ def test_match_combines_map_side(spark):
 
 
 def test_topk_limit_before_shuffle(spark):
-    p = plan(spark, "q13_few_shot")
+    p = text_of(few_shot_examples(table(spark, SF001, "documents")))
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
 def test_global_index_uses_range_partitioning(spark):
-    p = plan(spark, "q06_first_last_split")
-    assert "rangepartitioning" in p
-    assert "SortMergeJoin" not in p
+    p = text_of(tagged_in_order(table(spark, SF001, "documents").select("doc_id"), ["doc_id"], 8))
+    assert "rangepartitioning" in p and "SinglePartition" not in p
+    assert "SortMergeJoin" not in plan(spark, "q06_first_last_split")
 
 
 def test_dimension_tables_broadcast(spark):
@@ -55,4 +64,7 @@ def test_column_pruning(spark):
 
 
 def test_python_only_in_model_and_similarity(spark):
-    assert "MapInPandas" in plan(spark, "q38_batch_predict")
+    docs = table(spark, SF001, "documents").select("doc_id", "text")
+    assert text_of(batch_predict(docs, "text", make_stub_model)).count("MapInPandas") == 1
+    # the model's output is stored, so nothing of the query runs it again
+    assert "MapInPandas" not in plan(spark, "q38_batch_predict")
