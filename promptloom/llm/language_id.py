@@ -195,11 +195,13 @@ class Scorer:
         self.at, self.longest = model.index()
         self.pattern = regex.compile(LETTERS)
         self.words = WordIndex(CACHE_WORDS, self.learn, self.reset)
+        self.inner: dict[str, int] = {}
+        self.inner_logs = np.zeros((0, len(self.model.languages)))
         self.reset()
 
     def reset(self):
-        self.inner: dict[str, int] = {}
-        self.inner_logs = np.zeros((0, len(self.model.languages)))
+        if len(self.inner) > CACHE_WORDS:
+            self.inner, self.inner_logs = {}, self.inner_logs[:0]
         self.logs = np.zeros((0, len(self.model.languages)))
         self.n_letters = np.zeros(0, np.int64)
 
