@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from promptloom.llm.common import PerWorker, WordIndex, slices, stored, sums
 
@@ -233,31 +234,54 @@ class Scorer:
                 np.where(letters > 0, score, 0.0).tolist())
 
 
+def _told(batch, scorer: Scorer) -> tuple[list[str], list[float]]:
+    """Languages and scores of an Arrow batch with a text column."""
+    import pyarrow as pa
+    texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    langs: list[str] = []
+    scores: list[float] = []
+    for i, j in slices(map(len, texts), BATCH_BYTES):
+        found = scorer.predict(texts[i:j])
+        langs += found[0]
+        scores += found[1]
+    return langs, scores
+
+
+def _scorer(docs: DataFrame, model: Model):
+    """What a task calls for its worker's scorer; the model (pieces x languages numbers) is broadcast."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    return lambda: PerWorker.get("languages", name, lambda: Scorer(sent.value))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` plus lang_pred and score, from its text alone."""
     docs = docs.drop("lang_pred", "score")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages numbers
-    name = uuid.uuid4().hex
+    scorer = _scorer(docs, model)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        scorer = PerWorker.get("languages", name, lambda: Scorer(sent.value))
         for b in batches:
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            langs: list[str] = []
-            scores: list[float] = []
-            for i, j in slices(map(len, texts), BATCH_BYTES):
-                found = scorer.predict(texts[i:j])
-                langs += found[0]
-                scores += found[1]
+            langs, scores = _told(b, scorer())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*b.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told with at least ``min_score``."""
+    scorer = _scorer(docs, model)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        for b in batches:
+            langs, scores = _told(b, scorer())
+            yield b.filter(pa.array([x != UND and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int = 3):
     """Whether crc32 of the doc_id as text leaves 1."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -266,10 +290,3 @@ def held_out(modulus: int = 3):
 
 def training_rows(docs: DataFrame, modulus: int = 3) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & ~held_out(modulus))
-
-
-def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``min_score``."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = predict(docs, model).filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
-    return found.select(*[F.col(f"`{c}`") for c in names])

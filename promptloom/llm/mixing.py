@@ -135,12 +135,13 @@ def _small(table: DataFrame, limit: int = 8 << 20) -> bool:
     return (table.agg(F.sum(F.octet_length("src") + 64)).first()[0] or 0) <= limit
 
 
-def mix(docs: DataFrame, n_shards: int = 16, seed: int = 11, **params) -> DataFrame:
+def mix(docs: DataFrame, n_shards: int = 16, seed: int = 11, shard_col: str | None = "mix_shard", **params) -> DataFrame:
     """The mixed documents themselves, one row per copy: all columns of ``docs``
-    plus mix_shard, ordered by hash inside each shard (the local shuffle)."""
-    cols = tuple(docs.columns)
-    plan = plan_mix(docs, n_shards, seed, keep=cols, **params)
+    and, unless it is None, ``shard_col``; in hash order inside each shard (the
+    local shuffle)."""
+    plan = plan_mix(docs, n_shards, seed, keep=tuple(docs.columns), **params)
     copies = plan.select("row", "h", F.posexplode("shards").alias("copy", "shard"))
     place = F.xxhash64(F.lit(seed + 3), "h", "copy")
     shuffled = copies.repartitionByRange("shard", place).sortWithinPartitions("shard", place)
-    return shuffled.select(*[F.col(f"row.`{c}`").alias(c) for c in cols if c != "mix_shard"], F.col("shard").alias("mix_shard"))
+    cols = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != shard_col]
+    return shuffled.select(*cols, *([F.col("shard").alias(shard_col)] if shard_col else []))
