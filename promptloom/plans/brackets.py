@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptloom.operators.designs import group_by_type
-from promptloom.operators.parse_ner import entities_from_lists
+from promptloom.operators.parse_ner import entities_from_lists, unparsable
 from promptloom.operators.prep import after_last_marker
 from promptloom.plans.designs import _GROUPS
 from promptloom.plans.derive import gp_arrays, gp_arrays_sql
-from promptloom.plans.registry import register
+from promptloom.plans.registry import ORACLES, register
 
 COT_PREFIX = "Reasoning [draft] answer: [x] then answer: "
 
@@ -35,9 +35,13 @@ def responses(spark, sf_dir):
     return ga.select("doc_id", resp.alias("response"))
 
 
+def _answer():
+    return after_last_marker(F.coalesce(F.get_json_object("response", "$.answer"), F.col("response")))
+
+
 def q26(spark, sf_dir):
     r = responses(spark, sf_dir)
-    text = after_last_marker(F.coalesce(F.get_json_object("response", "$.answer"), F.col("response")))
+    text = _answer()
     ents = entities_from_lists(r.select("doc_id", text.alias("answer")), ["doc_id"], "answer")
     return ents.select("doc_id", F.col("span_pos").cast("long").alias("span_pos"),
                        F.col("name_pos").cast("long").alias("name_pos"), "e_type", "e_name")
@@ -64,3 +68,16 @@ ok AS (SELECT * FROM it WHERE len(items) >= 2 AND len(list_filter(items, lambda
 SELECT doc_id, CAST(span_pos AS BIGINT) AS span_pos, CAST(generate_subscripts(names, 1) - 1 AS BIGINT) AS name_pos,
        e_type, unnest(names) AS e_name
 FROM (SELECT doc_id, span_pos, trim(items[1][2:-2]) AS e_type, list_transform(items[2:], lambda it: trim(it[2:-2])) AS names FROM ok)""")(q26)
+
+
+def q58(spark, sf_dir):
+    """Responses that are not '[]' but hold no entity; every tenth document
+    answers '[]' and every tenth has no list at all."""
+    kind = F.col("doc_id") % 10
+    text = F.when(kind == 0, F.lit(' "[]" ')).when(kind == 1, F.lit("there is no entity (none)")).otherwise(_answer())
+    return responses(spark, sf_dir).select("doc_id", unparsable(text).alias("unparsable"))
+
+
+register("q58_unparsable", oracle=f"""WITH e AS ({ORACLES['q26_bracket_scan']})
+SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN false WHEN 1 THEN true ELSE doc_id NOT IN (SELECT doc_id FROM e) END AS unparsable
+FROM documents""")(q58)

@@ -1,6 +1,7 @@
 """Soft-match queries (q36 NER, q37 events).  The similarity is Python's
-difflib ratio, which SQL engines lack, so these have no SQL oracle; tests
-compare them with a direct Python evaluation of the reference rule."""
+difflib ratio.  q37's oracle computes it in SQL by recursion on the longest
+common block; the name pairs of q36 are too many for that, so tests compare q36
+with a direct Python evaluation of its rule."""
 
 from __future__ import annotations
 
@@ -11,8 +12,8 @@ from promptloom.operators.match import casefold, key_counts, multiset_outcome
 from promptloom.operators.metrics import micro_prf
 from promptloom.operators.soft_match import soft_names
 from promptloom.plans.derive import gp_entities
-from promptloom.plans.events_eval import parsed_events
-from promptloom.plans.ner_eval import STRICT_BOUNDARIES
+from promptloom.plans.events_eval import EVENTS_SQL, parsed_events
+from promptloom.plans.ner_eval import STRICT_BOUNDARIES, _prf_sql
 from promptloom.plans.registry import register
 from promptloom.session import materialize
 
@@ -52,4 +53,35 @@ def q37(spark, sf_dir):
 
 
 register("q36_soft_match_ner")(q36)
-register("q37_soft_match_event")(q37)
+# The longest common block of p[alo:ahi] and g[blo:bhi], the first in p and then in g of equals.
+_BLOCK = """list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: struct_pack(
+  k := coalesce(list_max(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda k: substr(p, i, k) = substr(g, j, k))), 0),
+  ni := -i, nj := -j)))))"""
+
+RATIO_SQL = f"""
+blocks AS (
+  SELECT p, g, alo, ahi, blo, bhi, {_BLOCK} AS m
+  FROM (SELECT p, g, CAST(1 AS BIGINT) AS alo, length(p) + 1 AS ahi, CAST(1 AS BIGINT) AS blo, length(g) + 1 AS bhi FROM pr)
+  WHERE ahi > alo AND bhi > blo
+  UNION ALL  -- the same to the left and to the right of the block
+  SELECT p, g, alo, ahi, blo, bhi, {_BLOCK} AS m
+  FROM (SELECT p, g, c.alo AS alo, c.ahi AS ahi, c.blo AS blo, c.bhi AS bhi
+        FROM (SELECT p, g, unnest([struct_pack(alo := alo, ahi := -m.ni, blo := blo, bhi := -m.nj),
+                                   struct_pack(alo := m.k - m.ni, ahi := ahi, blo := m.k - m.nj, bhi := bhi)]) AS c
+              FROM blocks WHERE m.k > 0))
+  WHERE ahi > alo AND bhi > blo),
+ratios AS (SELECT pr.p, pr.g, CASE WHEN pr.p = pr.g THEN 1.0 ELSE 2.0 * coalesce(sum(b.m.k), 0) / (length(pr.p) + length(pr.g)) END AS r
+           FROM pr LEFT JOIN blocks b ON b.p = pr.p AND b.g = pr.g GROUP BY pr.p, pr.g)"""
+
+register("q37_soft_match_event", oracle=f"""WITH RECURSIVE {EVENTS_SQL},
+u AS (SELECT format, event_id, gold, unnest(list_distinct(pred)) AS x FROM pe),
+ug AS (SELECT *, generate_subscripts(gold, 1) AS at, unnest(gold) AS t FROM u),
+pr AS (SELECT DISTINCT x.g AS p, t.g AS g FROM ug),{RATIO_SQL},
+best AS (SELECT ug.format, ug.event_id, ug.x, any_value(ug.gold) AS gold,
+                arg_max(struct_pack(r := q.r, g := ug.t.g), struct_pack(r := q.r, n := -ug.at)) AS b
+         FROM ug JOIN ratios q ON q.p = ug.x.g AND q.g = ug.t.g GROUP BY ug.format, ug.event_id, ug.x),
+hit AS (SELECT format, event_id, count(*) AS tp FROM best
+        WHERE list_contains(gold, struct_pack(t := x.t, g := CASE WHEN b.r > 0.5 THEN b.g ELSE x.g END)) GROUP BY format, event_id),
+s AS (SELECT format, CAST(sum(coalesce(tp, 0)) AS BIGINT) AS tp, CAST(sum(len(pred) - coalesce(tp, 0)) AS BIGINT) AS fp,
+             CAST(sum(len(gold) - coalesce(tp, 0)) AS BIGINT) AS fn FROM pe LEFT JOIN hit USING (format, event_id) GROUP BY format)
+SELECT format, {_prf_sql(7)} FROM s""")(q37)
