@@ -3,6 +3,8 @@ and small array codecs for packed exchange between tasks."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from itertools import chain, islice
 
@@ -92,16 +94,21 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 class PerWorker:
     """One object of each kind for the life of a Python worker, so that the tasks
-    it runs one after the other share what they have learned."""
+    it runs one after the other share what they have learned.  Functions reach
+    the workers by value and their classes live as long as a task; a module of
+    its own, made on the worker, lives as long as the process."""
+
+    MODULE = "_promptloom_worker_state"
 
     @classmethod
     def get(cls, kind: str, key, make):
-        held = cls.__dict__.get("held")
-        if held is None:
-            cls.held = held = {}
-        if kind not in held or held[kind][0] != key:
-            held[kind] = (key, make())
-        return held[kind][1]
+        state = sys.modules.get(cls.MODULE)
+        if state is None:
+            state = sys.modules[cls.MODULE] = types.ModuleType(cls.MODULE)
+            state.held = {}
+        if kind not in state.held or state.held[kind][0] != key:
+            state.held[kind] = (key, make())
+        return state.held[kind][1]
 
 
 class _Numbers(dict):

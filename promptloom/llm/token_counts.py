@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from promptloom.llm.common import PerWorker, WordIndex, slices, sums, text_or_empty
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 BATCH_BYTES = 4 << 20
 NO_RANK = np.int64(1) << 40
 #: Characters that need no library normalisation: printable ASCII, precomposed

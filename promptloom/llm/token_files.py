@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from promptloom.llm.common import PerWorker, WordIndex, pack, parallelism, ragged, shared_path, slices, sums, text_or_empty, unpack
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 BATCH_BYTES = 4 << 20
 JOINED = 256
 FILE_IDS = 1 << 19
