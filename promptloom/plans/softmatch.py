@@ -85,3 +85,35 @@ hit AS (SELECT format, event_id, count(*) AS tp FROM best
 s AS (SELECT format, CAST(sum(coalesce(tp, 0)) AS BIGINT) AS tp, CAST(sum(len(pred) - coalesce(tp, 0)) AS BIGINT) AS fp,
              CAST(sum(len(gold) - coalesce(tp, 0)) AS BIGINT) AS fn FROM pe LEFT JOIN hit USING (format, event_id) GROUP BY format)
 SELECT format, {_prf_sql(7)} FROM s""")(q37)
+
+
+def q59(spark, sf_dir):
+    """M5 counted as multisets: every prediction is softened (repeats included),
+    and a (type, trigger) pair counts min(#pred, #gold) times per sample."""
+    p = parsed_events(spark, sf_dir)
+    items = F.col("p.items")
+    soft = soften_triggers_udf(F.transform(items, lambda x: x["trigger"]), F.transform(F.col("gold"), lambda x: x["trigger"]))
+    p = p.select("format", "event_id", "gold", items.alias("items"), soft.alias("soft"))
+    pairs = F.transform(F.arrays_zip(F.col("items").alias("i"), F.col("soft").alias("t")),
+                        lambda z: F.struct(z["i"]["e_type"].alias("e_type"), z["t"].alias("trigger")))
+    sides = [p.select("format", "event_id", F.explode(arr).alias("x"), F.lit(side).alias("side"))
+             for side, arr in (("pred", pairs), ("gold", F.col("gold")))]
+    rows = sides[0].unionByName(sides[1]).groupBy("format", "event_id", "x.e_type", "x.trigger").agg(
+        F.count_if(F.col("side") == "gold").alias("n_gold"), F.count_if(F.col("side") == "pred").alias("n_pred"))
+    return micro_prf(multiset_outcome(rows), ["format"], scale=7)
+
+
+register("q59_soft_match_event_multiset", oracle=f"""WITH RECURSIVE {EVENTS_SQL},
+u AS (SELECT format, event_id, gold, unnest(list_distinct(pred)) AS x FROM pe),
+ug AS (SELECT *, generate_subscripts(gold, 1) AS at, unnest(gold) AS t FROM u),
+pr AS (SELECT DISTINCT x.g AS p, t.g AS g FROM ug),{RATIO_SQL},
+best AS (SELECT ug.format, ug.event_id, ug.x, arg_max(struct_pack(r := q.r, g := ug.t.g), struct_pack(r := q.r, n := -ug.at)) AS b
+         FROM ug JOIN ratios q ON q.p = ug.x.g AND q.g = ug.t.g GROUP BY ug.format, ug.event_id, ug.x),
+one AS (SELECT format, event_id, unnest(pred) AS x FROM pe),
+side AS (SELECT o.format, o.event_id, o.x.t AS t, CASE WHEN b.b.r > 0.5 THEN b.b.g ELSE o.x.g END AS g, 1 AS np, 0 AS ng
+         FROM one o JOIN best b ON b.format = o.format AND b.event_id = o.event_id AND b.x = o.x
+         UNION ALL SELECT format, event_id, y.t, y.g, 0, 1 FROM (SELECT format, event_id, unnest(gold) AS y FROM pe)),
+c AS (SELECT format, sum(np) AS np, sum(ng) AS ng FROM side GROUP BY format, event_id, t, g),
+s AS (SELECT format, CAST(sum(least(np, ng)) AS BIGINT) AS tp, CAST(sum(np - least(np, ng)) AS BIGINT) AS fp,
+             CAST(sum(ng - least(np, ng)) AS BIGINT) AS fn FROM c GROUP BY format)
+SELECT format, {_prf_sql(7)} FROM s""")(q59)
