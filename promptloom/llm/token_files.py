@@ -39,6 +39,8 @@ from promptloom.llm.common import PerWorker, WordIndex, pack, parallelism, ragge
 CACHE_WORDS = 700_000
 BATCH_BYTES = 4 << 20
 JOINED = 256
+#: Closing punctuation; none of these begins a contraction.
+CLOSING = b".,;:!?"
 FILE_IDS = 1 << 19
 MAX_PARTS_SENT = 500_000
 BLOCK_IDS = 1 << 16
@@ -126,35 +128,71 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        ids = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        if ids("Ab cd. 5!") != [i for x in ("ab", "cd", ".", "5", "!") for i in ids(x)]:
+            raise ValueError("the vocabulary must drop white space, lower-case and split punctuation off")
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
         self.special = [s.encode() for s in special]
         self.divider = next(iter(special.items()), None)
         self.words = WordIndex(CACHE_WORDS, self.learn, self.reset)
+        self.forget()
         self.reset()
 
-    def reset(self):
-        self.ids = np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+    def forget(self):
+        """No piece is known."""
+        self.known: dict[bytes, int] = {}
+        self.piece_ids, self.piece_first, self.piece_size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        if self.divider and not any(s in w for w in words for s in self.special):
+    def reset(self):
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+
+    def library_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and their numbers."""
+        joined = b" ".join(words)
+        if self.divider and not any(s in joined for s in self.special):
             # many words in one call, told apart by a special token that none of them holds
             text, token = self.divider
             between = f" {text} ".encode()
             calls = [between.join(words[i:i + JOINED]).decode() for i in range(0, len(words), JOINED)]
             ids = np.concatenate([np.array([*e.ids, token], np.uint32)
                                   for e in self.library.encode_batch_fast(calls, add_special_tokens=False)])
-            ends = np.flatnonzero(ids == token)
-            size = np.diff(ends, prepend=-1) - 1
-            flat = ids[ids != token]
-        else:
-            found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+            return ids[ids != token], np.diff(np.flatnonzero(ids == token), prepend=-1) - 1
+        found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def learn(self, words: list[bytes]) -> None:
+        """A word is one piece, or two: closing punctuation behind a letter or digit
+        is a pre-token of its own.  The vocabulary lower-cases, so ASCII pieces are
+        met in lower case (others would compose differently, and ``<|`` may begin a
+        special string)."""
+        pieces, parts = [], np.ones(len(words), np.int64)
+        for i, w in enumerate(words):
+            core = w.rstrip(CLOSING)
+            if b"<|" in w:
+                pieces.append(w)
+                continue
+            if len(core) < len(w) and core[-1:].isalnum():
+                parts[i] = 2
+            else:
+                core = w
+            pieces.append(core.lower() if core.isascii() else core)
+            if parts[i] == 2:
+                pieces.append(w[len(core):])
+        new = list(dict.fromkeys(x for x in pieces if x not in self.known))
+        if new:
+            ids, size = self.library_ids(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.piece_first = np.concatenate([self.piece_first, len(self.piece_ids) + np.cumsum(size) - size])
+            self.piece_size = np.concatenate([self.piece_size, size])
+            self.piece_ids = np.concatenate([self.piece_ids, ids])
+        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        size = sums(self.piece_size[which], parts)
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, self.piece_ids[ragged(self.piece_first[which], self.piece_size[which])]])
 
     def batch(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Lengths (with the end id) and ids of all texts, one after the other."""
