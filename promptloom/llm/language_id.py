@@ -39,6 +39,7 @@ MARK = "▁"
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 CACHE_WORDS = 800_000
 LATTICE_WORDS = 20_000
+LONG_WORD = 1_000  # letters; longer words are scored by themselves, and train in parts
 BATCH_BYTES = 2 << 20
 UND = "und"
 
@@ -117,6 +118,22 @@ def letter_words(word: str, pattern) -> list[str]:
     return [MARK + w for w in pattern.findall(word.lower())]
 
 
+def long_word_logs(word: str, model: Model, at: dict[str, int], longest: int) -> np.ndarray:
+    """The forward algorithm over one long word, position by position: memory is
+    bounded by the longest piece."""
+    alpha = [np.zeros(len(model.languages))]
+    for j in range(1, len(word) + 1):
+        values = []
+        for k in range(1, min(len(alpha), longest) + 1):
+            piece = at.get(word[j - k:j], len(model.pieces) - 1 if k == 1 else None)
+            if piece is not None:
+                values.append(alpha[-k] + model.logs[piece])
+        alpha.append(np.logaddexp.reduce(values, axis=0))
+        if len(alpha) > longest:
+            del alpha[0]
+    return alpha[-1]
+
+
 def _word_counts(sample: DataFrame) -> DataFrame:
     """(text, lang) -> (lang, word, n)."""
 
@@ -127,7 +144,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         counts: Counter = Counter()
         for b in batches:
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                counts.update((lang, w) for w in letter_words(t, pattern))
+                counts.update((lang, w[i:i + LONG_WORD]) for w in letter_words(t, pattern) for i in range(0, len(w), LONG_WORD))
         if counts:
             langs, words = zip(*counts, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(counts.values()), pa.int64())],
@@ -209,6 +226,10 @@ class Scorer:
     def learn(self, words: list[bytes]) -> None:
         found = [letter_words(w.decode(), self.pattern) for w in words]
         new = list(dict.fromkeys(x for xs in found for x in xs if x not in self.inner))
+        for x in [x for x in new if len(x) > LONG_WORD]:
+            self.inner[x] = len(self.inner)
+            self.inner_logs = np.concatenate([self.inner_logs, [long_word_logs(x, self.model, self.at, self.longest)]])
+        new = [x for x in new if len(x) <= LONG_WORD]
         for i in range(0, len(new), LATTICE_WORDS):
             part = new[i:i + LATTICE_WORDS]
             lattice = Lattice(part, self.at, self.longest, len(self.model.pieces) - 1)

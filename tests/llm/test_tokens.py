@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from conftest import SF001
 from llm.conftest import same, sentence
-from promptloom.llm import decontaminate, katz, language_id, token_counts, token_files
+from promptloom.llm import decontaminate, katz, language_id, ngram_join, suffix_dedup, token_counts, token_files
 from promptloom.llm.common import pack, unpack
 from promptloom.llm.queries import pieces_path, tokenizer_path
 
@@ -199,6 +199,35 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(forward, want) and np.allclose(backward, want)
 
 
+def test_long_words_score_as_others(monkeypatch):
+    pieces = language_id.load_pieces(pieces_path())
+    r = np.random.default_rng(1)
+    model = language_id.Model(["a", "b"], pieces, np.log(r.dirichlet(np.ones(len(pieces)), 2).T))
+    text = ["the" * 40 + "é日x" * 30, "of " + "ing" * 90]
+    want = language_id.Scorer(model).predict([t.encode() for t in text])
+    monkeypatch.setattr(language_id, "LONG_WORD", 10)
+    got = language_id.Scorer(model).predict([t.encode() for t in text])
+    assert got[0] == want[0] and np.allclose(got[1], want[1])
+
+
+def test_very_long_texts(spark, library):
+    r = random.Random(9)
+    long = sentence(r, 150_000)
+    rows = [(1, long), (2, long + " end"), (3, "y" * 20_000), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: len(ids_of(library, t)) for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, tokenizer_path()).collect()} == want
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_files.token_files(df, tokenizer_path()).collect()} == want
+    model = language_id.train(df.selectExpr("*", "'en' AS lang"), pieces_path())
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, model).collect()} == {1: "en", 2: "en", 3: "en", 4: "und"}
+    assert {r["doc_id"]: r["n_tokens"] for r in katz.katz_scores(df, F.lit(True)).collect()} == {1: 150_001, 2: 150_002, 3: 2, 4: 1}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df).collect()}
+    assert got[1][1] == got[2][1] == 1 and got[2][0] == got[1][0] + 1 and got[3] == (1, 3) and got[4] == (0, 4)
+    cut = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(df).collect()}
+    n = len(long.encode())
+    assert cut == {1: (n, n), 2: (n + 4, n), 3: (20_000, 20_000), 4: (0, 0)}
+
+
 def brute_katz(rows, trained):
     tokens = [[*(t or "").encode().lower().split(), "</s>"] for _, t, *_ in rows]
     c1, c2 = Counter(), defaultdict(Counter)
