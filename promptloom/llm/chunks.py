@@ -17,11 +17,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import WordIndex, pack, slices, text_or_empty, unpack
+from promptloom.llm.common import WordIndex, pack, text_or_empty, text_slices, unpack
 
 CHUNK_DOCS = 1 << 12
-CHUNK_BYTES = 8 << 20
-CACHE_WORDS = 1_000_000
+CHUNK_BYTES = 5 << 20
+CACHE_WORDS = 500_000
 SCHEMA = "chunk long, doc_ids array<long>, marks binary, n_words long, lengths binary, lexicon binary, words binary, info binary"
 
 
@@ -75,10 +75,10 @@ def token_chunks(docs: DataFrame, hook: Callable | None = None, mark: Column | N
         held: list = []
         size = 0
         for b in batches:
-            ids, marks, texts = (b.column(c).to_pylist() for c in ("doc_id", "mark", "text"))
-            for i, j in slices(map(len, texts), CHUNK_BYTES):
-                for k in range(i, j, CHUNK_DOCS):
-                    more = texts[k:min(j, k + CHUNK_DOCS)]
+            for rows, texts in text_slices(b, CHUNK_BYTES):
+                ids, marks = (rows.column(c).to_pylist() for c in ("doc_id", "mark"))
+                for k in range(0, len(texts), CHUNK_DOCS):
+                    more = texts[k:k + CHUNK_DOCS]
                     if held and (size + sum(map(len, more)) > CHUNK_BYTES or len(held) + len(more) > CHUNK_DOCS):
                         yield chunk_row(held_ids, held_marks, held)
                         held_ids, held_marks, held, size = [], [], [], 0

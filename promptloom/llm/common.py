@@ -63,6 +63,21 @@ def slices(sizes, limit: int):
         yield start, len(sizes)
 
 
+def each_row(batch):
+    """The rows of an Arrow batch as dicts, made one at a time (a chunk row is large)."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def text_slices(batch, limit: int, column: str = "text"):
+    """(rows, texts) parts of an Arrow batch: slices of at most ``limit`` bytes of
+    its binary column (one row at least), turned into Python objects one by one."""
+    import pyarrow.compute as pc
+    col = batch.column(column)
+    for i, j in slices(pc.fill_null(pc.binary_length(col), 0).to_pylist(), limit):
+        yield batch.slice(i, j - i), col.slice(i, j - i).to_pylist()
+
+
 def pack(values: np.ndarray, level: int = 1) -> bytes:
     """Integers as zstd-compressed little-endian byte planes (only as many
     planes as the largest value needs); inverse of :func:`unpack`."""
@@ -93,8 +108,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class PerWorker:
-    """One object of each kind for the life of a Python worker, so that the tasks
-    it runs one after the other share what they have learned.  Functions reach
+    """One object that a Python worker keeps between tasks of the same kind and
+    key, so that they share what they have learned; one of another kind or key
+    takes its place.  Functions reach
     the workers by value and their classes live as long as a task; a module of
     its own, made on the worker, lives as long as the process."""
 
@@ -105,10 +121,12 @@ class PerWorker:
         state = sys.modules.get(cls.MODULE)
         if state is None:
             state = sys.modules[cls.MODULE] = types.ModuleType(cls.MODULE)
-            state.held = {}
-        if kind not in state.held or state.held[kind][0] != key:
-            state.held[kind] = (key, make())
-        return state.held[kind][1]
+            state.name = state.held = None
+        if state.name != (kind, key):
+            state.name = state.held = None  # freed before the next is made
+            state.held = make()
+            state.name = (kind, key)
+        return state.held
 
 
 class _Numbers(dict):

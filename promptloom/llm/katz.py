@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.chunks import chunk_words, mix, token_chunks
-from promptloom.llm.common import pack, parallelism, ragged, stored, stored_by, sums, unpack
+from promptloom.llm.common import each_row, pack, parallelism, ragged, stored, stored_by, sums, unpack
 
 CUTOFF = 5  # Good-Turing discounts counts up to here
 WORD_ROWS, PAIR_ROWS = 3_000_000, 1_500_000  # corpus words for a partition of the unigram and bigram tables
@@ -98,7 +98,7 @@ def _send_words(chunks: DataFrame, n_parts: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 lengths, lexicon, tokens = chunk_words(row)
                 train = np.frombuffer(row["marks"], np.uint8).astype(bool)
                 counts = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(lexicon))
@@ -203,7 +203,7 @@ def _send_pairs(joined: DataFrame, n_word_parts: int, n_pair_parts: int) -> Data
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 p = Pairs(row, n_word_parts, n_pair_parts)
                 out = []
                 for k in np.flatnonzero(np.diff(p.run_cuts)).tolist():
@@ -278,7 +278,7 @@ def _scores(joined: DataFrame, n_word_parts: int, n_pair_parts: int, unigrams: U
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 p = Pairs(row, n_word_parts, n_pair_parts)
                 reply = sorted(row["pairs_back"], key=lambda r: r["part"])
                 pair_count = np.empty(len(p.order), np.int64)

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from promptloom.llm.common import PerWorker, WordIndex, slices, stored, sums
+from promptloom.llm.common import PerWorker, WordIndex, stored, sums, text_slices
 
 MARK = "▁"
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
-CACHE_WORDS = 800_000
+CACHE_WORDS, CACHE_LETTER_WORDS = 300_000, 600_000
 LATTICE_WORDS = 20_000
 LONG_WORD = 1_000  # letters; longer words are scored by themselves, and train in parts
 BATCH_BYTES = 2 << 20
@@ -218,7 +218,7 @@ class Scorer:
         self.reset()
 
     def reset(self):
-        if len(self.inner) > CACHE_WORDS:
+        if len(self.inner) > CACHE_LETTER_WORDS:
             self.inner, self.inner_logs = {}, self.inner_logs[:0]
         self.logs = np.zeros((0, len(self.model.languages)))
         self.n_letters = np.zeros(0, np.int64)
@@ -258,11 +258,11 @@ class Scorer:
 def _told(batch, scorer: Scorer) -> tuple[list[str], list[float]]:
     """Languages and scores of an Arrow batch with a text column."""
     import pyarrow as pa
-    texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    text = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.binary())], names=["text"])
     langs: list[str] = []
     scores: list[float] = []
-    for i, j in slices(map(len, texts), BATCH_BYTES):
-        found = scorer.predict(texts[i:j])
+    for _, texts in text_slices(text, BATCH_BYTES):
+        found = scorer.predict([t or b"" for t in texts])
         langs += found[0]
         scores += found[1]
     return langs, scores

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.chunks import CHUNK_DOCS, chunk_words, mix, token_chunks
-from promptloom.llm.common import pack, parallelism, stored, stored_by, unpack
+from promptloom.llm.common import each_row, pack, parallelism, stored, stored_by, unpack
 from promptloom.llm.components import components
 
 SKETCH = 1 << 20  # cells of the n-gram count sketch
@@ -223,7 +223,7 @@ def _signature_rows(chunks: DataFrame, n: int, num: int, n_buckets: int, common_
         import pyarrow as pa
         bands, cells = Bands(num), common_cells.value
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 lengths, lexicon, words = chunk_words(row)
                 sizes, first = _read_info(row["info"])
                 sets = document_sets(lengths, lexicon[words], n)
@@ -303,7 +303,7 @@ def _sets_of(chunks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 lengths, lexicon, words = chunk_words(row)
                 ends = np.cumsum(lengths)
                 made: dict[int, bytes] = {}
@@ -433,7 +433,7 @@ def _broad_links(chunks: DataFrame, broad: DataFrame, n: int, num: int, block_by
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
             for b in batches:
-                for row in b.to_pylist():
+                for row in each_row(b):
                     lengths, lexicon, words = chunk_words(row)
                     base = row["chunk"] * CHUNK_DOCS
                     met = [(base + i, x) for i, s in enumerate(document_sets(lengths, lexicon[words], n)) if len(s)
@@ -478,7 +478,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, block: int = BLOC
     def describe(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 sizes, first = _read_info(row["info"])
                 base = row["chunk"] * CHUNK_DOCS
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(base + first)],

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.chunks import mix
-from promptloom.llm.common import pack, parallelism, slices, stored, stored_by, text_or_empty, unpack
+from promptloom.llm.common import each_row, pack, parallelism, stored, stored_by, text_or_empty, text_slices, unpack
 
 CHUNK_BYTES = 4 << 20
 WIDTH = 200
@@ -76,13 +76,12 @@ def text_chunks(docs: DataFrame) -> DataFrame:
                  pa.array([z.compress(b"".join(held))], pa.binary())], names=["chunk", "doc_ids", "n_bytes", "lengths", "text"])
 
         for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in slices(map(len, texts), CHUNK_BYTES):
-                if held and sum(map(len, held)) + sum(map(len, texts[i:j])) > CHUNK_BYTES:
+            for rows, texts in text_slices(b, CHUNK_BYTES):
+                if held and sum(map(len, held)) + sum(map(len, texts)) > CHUNK_BYTES:
                     yield row()
                     ids, held, seq = [], [], seq + 1
-                ids += keys[i:j]
-                held += texts[i:j]
+                ids += rows.column("doc_id").to_pylist()
+                held += texts
         if held:
             yield row()
 
@@ -202,12 +201,12 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def send_names(batches: Iterator) -> Iterator:
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 yield _names(Text(row), width, name_ranges)[1].rows(row["chunk"])
 
     def send_rest(batches: Iterator) -> Iterator:
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 text = Text(row)
                 at, names = _names(text, width, name_ranges)
                 rest = _remaining(text, at, names.repeated(row["names_back"]), width)
@@ -216,7 +215,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def report(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for b in batches:
-            for row in b.to_pylist():
+            for row in each_row(b):
                 text = Text(row)
                 at, names = _names(text, width, name_ranges)
                 rest = _remaining(text, at, names.repeated(row["names_back"]), width)

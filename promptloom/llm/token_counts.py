@@ -30,9 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import PerWorker, WordIndex, slices, sums, text_or_empty
+from promptloom.llm.common import PerWorker, WordIndex, sums, text_or_empty, text_slices
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 BATCH_BYTES = 4 << 20
 NO_RANK = np.int64(1) << 40
 #: Characters that need no library normalisation: printable ASCII, precomposed
@@ -167,10 +167,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048) -
         import pyarrow as pa
         counter = PerWorker.get("counts", tokenizer_path, lambda: WordCounter(tokenizer_path))
         for b in batches:
-            texts = b.column("text").to_pylist()
             counts: list[int] = []
-            for i, j in slices(map(len, texts), BATCH_BYTES):
-                counts += counter.batch(texts[i:j])
+            for _, texts in text_slices(b, BATCH_BYTES):
+                counts += counter.batch(texts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(counts, pa.int64())],
                                              names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -34,9 +34,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import PerWorker, WordIndex, pack, parallelism, ragged, shared_path, slices, sums, text_or_empty, unpack
+from promptloom.llm.common import PerWorker, WordIndex, pack, parallelism, ragged, shared_path, sums, text_or_empty, text_slices, unpack
 
-CACHE_WORDS = 700_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 600_000
 BATCH_BYTES = 4 << 20
 JOINED = 256
 #: Closing punctuation; none of these begins a contraction.
@@ -145,7 +145,7 @@ class WordEncoder:
 
     def reset(self):
         self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_PIECES:
             self.forget()
 
     def library_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,12 +224,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 names=["part", "seq", "first", "n_ids", "file"])
 
         for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for i, j in slices(map(len, texts), BATCH_BYTES):
-                n, got = encoder.batch(texts[i:j], end_id)
+            for rows, texts in text_slices(b, BATCH_BYTES):
+                n, got = encoder.batch(texts, end_id)
                 ids.append(got)
                 lengths.append(n)
-                doc_ids += keys[i:j]
+                doc_ids += rows.column("doc_id").to_pylist()
                 held += len(got)
                 if held >= FILE_IDS:
                     yield flush()
