@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import WordIndex, pack, text_or_empty, text_slices, unpack
+from promptloom.llm.common import WordIndex, lean, pack, text_or_empty, text_slices, unpack
 
 CHUNK_DOCS = 1 << 12
 CHUNK_BYTES = 5 << 20
@@ -93,7 +93,7 @@ def token_chunks(docs: DataFrame, hook: Callable | None = None, mark: Column | N
 
     mark = F.lit(False) if mark is None else mark
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(mark, F.lit(False)).alias("mark"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 def chunk_words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

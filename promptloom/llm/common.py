@@ -3,6 +3,9 @@ and small array codecs for packed exchange between tasks."""
 
 from __future__ import annotations
 
+import functools
+import gc
+import inspect
 import sys
 import types
 import uuid
@@ -123,11 +126,51 @@ class PerWorker:
             state = sys.modules[cls.MODULE] = types.ModuleType(cls.MODULE)
             state.name = state.held = None
         if state.name != (kind, key):
-            state.name = state.held = None  # freed before the next is made
+            cls.drop()  # freed before the next is made
             state.held = make()
             state.name = (kind, key)
         return state.held
 
+    @classmethod
+    def drop(cls) -> None:
+        state = sys.modules.get(cls.MODULE)
+        if state is not None and state.name is not None:
+            state.name = state.held = None
+            give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, and
+    what it holds counts against its executor."""
+    import ctypes
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A task function (batches -> batches, or table -> table) that needs no kept
+    words: it frees what its worker holds, and a whole task gives its own memory back."""
+    if inspect.isgeneratorfunction(run):
+        @functools.wraps(run)
+        def batches_to_batches(batches):
+            PerWorker.drop()
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+        return batches_to_batches
+
+    @functools.wraps(run)
+    def table_to_table(table):  # called for every group: only the cheap part
+        PerWorker.drop()
+        return run(table)
+    return table_to_table
+
 
 class _Numbers(dict):
     """Numbers keys in the order of their first lookup."""

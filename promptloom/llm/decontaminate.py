@@ -35,7 +35,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import stored, text_or_empty
+from promptloom.llm.common import lean, stored, text_or_empty
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -136,7 +136,7 @@ def _shingle_counts(docs: DataFrame, wanted) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(total.values()), pa.int64())],
                                          names=["shingle", "n"])
 
-    counted = (docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(run, "shingle binary, n long")
+    counted = (docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(lean(run), "shingle binary, n long")
                .groupBy("shingle").agg(F.sum("n").alias("n")))
     out = {}
     for r in counted.toLocalIterator():  # shingles of one block of items: bounded by the block
@@ -164,7 +164,7 @@ def _hits(docs: DataFrame, index) -> DataFrame:
                  pa.array(items, pa.list_(pa.string()))], names=["row_id", "doc_id", "n_words", "hits", "items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"row_id long, doc_id {kind}, n_words long, hits array<struct<a:long,b:long>>, items array<string>")
+    return docs.mapInArrow(lean(run), f"row_id long, doc_id {kind}, n_words long, hits array<struct<a:long,b:long>>, items array<string>")
 
 
 def _clean(docs: DataFrame, index) -> DataFrame:
@@ -178,7 +178,7 @@ def _clean(docs: DataFrame, index) -> DataFrame:
             clean = [not find_hits(words_of(t), table, single)[0] for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def _summary(found: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _summary(found: DataFrame) -> DataFrame:
 
     kind = found.schema["doc_id"].dataType.simpleString()
     return found.select("doc_id", "n_words", "hits", "items").mapInArrow(
-        run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        lean(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _index(docs: DataFrame, block: list[tuple], width: int):

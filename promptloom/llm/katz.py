@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.chunks import chunk_words, mix, token_chunks
-from promptloom.llm.common import each_row, pack, parallelism, ragged, stored, stored_by, sums, unpack
+from promptloom.llm.common import each_row, lean, pack, parallelism, ragged, stored, stored_by, sums, unpack
 
 CUTOFF = 5  # Good-Turing discounts counts up to here
 WORD_ROWS, PAIR_ROWS = 3_000_000, 1_500_000  # corpus words for a partition of the unigram and bigram tables
@@ -113,7 +113,7 @@ def _send_words(chunks: DataFrame, n_parts: int) -> DataFrame:
                     names=["part", "chunk", "words", "counts"])
 
     return chunks.select("chunk", "lengths", "lexicon", "words", "marks").mapInArrow(
-        run, "part long, chunk long, words binary, counts binary")
+        lean(run), "part long, chunk long, words binary, counts binary")
 
 
 def _count_words(sent: DataFrame, n_parts: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _count_words(sent: DataFrame, n_parts: int) -> DataFrame:
             "ids": pa.array([*(i for _, i in replies), b""], pa.binary()),
             "stats": pa.array([None] * len(chunk) + [stats], pa.list_(pa.int64()))})
 
-    return sent.groupBy("part").applyInArrow(run, "chunk long, part long, counts binary, ids binary, stats array<long>")
+    return sent.groupBy("part").applyInArrow(lean(run), "chunk long, part long, counts binary, ids binary, stats array<long>")
 
 
 def _stats(replies: DataFrame) -> list[int]:
@@ -217,7 +217,7 @@ def _send_pairs(joined: DataFrame, n_word_parts: int, n_pair_parts: int) -> Data
                      *(pa.array(c, pa.binary()) for c in cols[1:])],
                     names=["part", "chunk", "history", "split", "size", "word", "count", "lower"])
 
-    return joined.mapInArrow(run, "part long, chunk long, history binary, split binary, size binary, word binary, "
+    return joined.mapInArrow(lean(run), "part long, chunk long, history binary, split binary, size binary, word binary, "
                                   "count binary, lower binary")
 
 
@@ -269,7 +269,7 @@ def _count_pairs(sent: DataFrame, unigrams: Unigrams) -> DataFrame:
             "stats": pa.array([None] * len(rows) + [stats], pa.list_(pa.int64()))})
 
     return sent.groupBy("part").applyInArrow(
-        run, "chunk long, part long, counts binary, totals binary, small binary, mass binary, stats array<long>")
+        lean(run), "chunk long, part long, counts binary, totals binary, small binary, mass binary, stats array<long>")
 
 
 def _scores(joined: DataFrame, n_word_parts: int, n_pair_parts: int, unigrams: Unigrams, n2: np.ndarray) -> DataFrame:
@@ -307,7 +307,7 @@ def _scores(joined: DataFrame, n_word_parts: int, n_pair_parts: int, unigrams: U
                      pa.array(score)],
                     names=["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.mapInArrow(run, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, "
+    return joined.mapInArrow(lean(run), "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, "
                                   "base_score double, score double")
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.chunks import CHUNK_DOCS, chunk_words, mix, token_chunks
-from promptloom.llm.common import each_row, pack, parallelism, stored, stored_by, unpack
+from promptloom.llm.common import each_row, lean, pack, parallelism, stored, stored_by, unpack
 from promptloom.llm.components import components
 
 SKETCH = 1 << 20  # cells of the n-gram count sketch
@@ -210,8 +210,8 @@ def _sketch(chunks: DataFrame) -> np.ndarray:
         total = sum(unpack(x).astype(np.int64) for x in table.column("cells").to_pylist())
         return pa.table({"slice": table.column("slice")[:1], "cells": pa.array([pack(total)], pa.binary())})
 
-    rows = (chunks.filter("chunk < 0").select("info").mapInArrow(cut, "slice int, cells binary")
-            .groupBy("slice").applyInArrow(add, "slice int, cells binary").orderBy("slice").collect())  # 16 rows
+    rows = (chunks.filter("chunk < 0").select("info").mapInArrow(lean(cut), "slice int, cells binary")
+            .groupBy("slice").applyInArrow(lean(add), "slice int, cells binary").orderBy("slice").collect())  # 16 rows
     return np.concatenate([unpack(r["cells"]) for r in rows]).astype(np.int64)
 
 
@@ -252,7 +252,7 @@ def _signature_rows(chunks: DataFrame, n: int, num: int, n_buckets: int, common_
                          pa.array(c, pa.binary())], names=["bucket", "chunk", "sigs", "flags"])
 
     return chunks.filter("chunk >= 0").select("chunk", "lengths", "lexicon", "words", "info").mapInArrow(
-        run, "bucket long, chunk long, sigs binary, flags binary")
+        lean(run), "bucket long, chunk long, sigs binary, flags binary")
 
 
 def _stars(signature_rows: DataFrame, n_buckets: int) -> DataFrame:
@@ -292,7 +292,7 @@ def _stars(signature_rows: DataFrame, n_buckets: int) -> DataFrame:
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         return pa.table({"c": pairs[:, 0], "x": pairs[:, 1]}, schema=kind)
 
-    return signature_rows.groupBy("bucket").applyInArrow(run, "c long, x long")
+    return signature_rows.groupBy("bucket").applyInArrow(lean(run), "c long, x long")
 
 
 def _sets_of(chunks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -318,7 +318,7 @@ def _sets_of(chunks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                         names=["c", "block", "x", "role", "elements"])
 
     slim = chunks.filter("chunk >= 0").select("chunk", "lengths", "lexicon", "words")
-    return slim.join(by_chunk, "chunk").mapInArrow(run, "c long, block long, x long, role int, elements binary")
+    return slim.join(by_chunk, "chunk").mapInArrow(lean(run), "c long, block long, x long, role int, elements binary")
 
 
 class _Groups:
@@ -398,7 +398,7 @@ def _verify(members: DataFrame, num: int) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "met": pa.array(cols[2], pa.bool_())})
 
-    return members.groupBy("c", "block").applyInArrow(run, "a long, b long, met boolean")
+    return members.groupBy("c", "block").applyInArrow(lean(run), "a long, b long, met boolean")
 
 
 def _star_links(chunks: DataFrame, stars: DataFrame, n: int, num: int, block: int) -> list[DataFrame]:
@@ -442,7 +442,7 @@ def _broad_links(chunks: DataFrame, broad: DataFrame, n: int, num: int, block_by
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
         slim = chunks.filter("chunk >= 0").select("chunk", "lengths", "lexicon", "words")
-        return stored(slim.mapInArrow(run, "a long, b long"), "broad-links")
+        return stored(slim.mapInArrow(lean(run), "a long, b long"), "broad-links")
 
     out, block, size = [], [], 0
     for r in stored(_sets_of(chunks, wanted, n), "broad-sets").toLocalIterator():
@@ -485,7 +485,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, block: int = BLOC
                                                  names=["doc_id", "n_shingles", "node"])
 
     rows = chunks.filter("chunk >= 0").select("chunk", "doc_ids", "info").mapInArrow(
-        describe, "doc_id long, n_shingles long, node long")
+        lean(describe), "doc_id long, n_shingles long, node long")
     rows = stored(rows, "set-rows")
     # a node is its smallest doc_id and its number, so the smallest node of a component names it
     no_id = F.lit(2**63 - 1)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.chunks import mix
-from promptloom.llm.common import each_row, pack, parallelism, stored, stored_by, text_or_empty, text_slices, unpack
+from promptloom.llm.common import each_row, lean, pack, parallelism, stored, stored_by, text_or_empty, text_slices, unpack
 
 CHUNK_BYTES = 4 << 20
 WIDTH = 200
@@ -86,7 +86,7 @@ def text_chunks(docs: DataFrame) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "chunk long, doc_ids array<long>, n_bytes long, lengths binary, text binary")
+    return rows.mapInArrow(lean(run), "chunk long, doc_ids array<long>, n_bytes long, lengths binary, text binary")
 
 
 class Text:
@@ -161,7 +161,7 @@ def _match(sent: DataFrame) -> DataFrame:
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"),
                          "bits": pa.array([np.packbits(s).tobytes() for s in shared], pa.binary())})
 
-    back = sent.groupBy("part").applyInArrow(run, "chunk long, part long, bits binary")
+    back = sent.groupBy("part").applyInArrow(lean(run), "chunk long, part long, bits binary")
     return back.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("back"))
 
 
@@ -238,8 +238,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     sent = "part long, chunk long, prints binary"
-    names_back = stored(_match(chunks.select("chunk", "n_bytes", "lengths", "text").mapInArrow(send_names, sent)), "names-back")
+    names_back = stored(_match(chunks.select("chunk", "n_bytes", "lengths", "text").mapInArrow(lean(send_names), sent)), "names-back")
     with_names = chunks.join(names_back.withColumnRenamed("back", "names_back"), "chunk", "left")
-    rest_back = _match(with_names.mapInArrow(send_rest, sent)).withColumnRenamed("back", "rest_back")
+    rest_back = _match(with_names.mapInArrow(lean(send_rest), sent)).withColumnRenamed("back", "rest_back")
     return with_names.join(rest_back, "chunk", "left").mapInArrow(
-        report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        lean(report), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
