@@ -14,7 +14,8 @@ small bands, and in one segment in ``DELETION_EVERY`` of the others, with the
 one-deletion neighbourhood).  A probe picks the H+1 cheapest units by expected
 list length, which falls with the number of uncommon n-grams in the segment;
 common ones are told by a fixed-size count sketch over all documents.  Empty
-segments are never used.  In smaller bands several independent partitions are
+segments are never used, and the one-deletion unit needs two elements: without its
+only one the other side's segment may be empty.  In smaller bands several independent partitions are
 indexed, and a probe takes the first where its non-empty segments suffice;
 a probe without any (rarer than one in 10^8) is compared with all sets in blocks.
 
@@ -144,9 +145,9 @@ def signatures(s: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndar
             if not served:
                 # units in rising cost: a list shortens with each uncommon n-gram of the segment
                 cost = BY_LOAD[np.minimum(load[used], 20).astype(np.int64)] + BY_SIZE[np.minimum(size[used], 20)]
-                n_near = int(np.searchsorted(used, q))
-                cost = np.concatenate([cost, 4 * size[used[:n_near]] * cost[:n_near]])
-                units = np.concatenate([used, used[:n_near]])[np.argsort(cost, kind="stable")[:need]]
+                near = np.flatnonzero((used < q) & (size[used] > 1))
+                cost = np.concatenate([cost, 4 * size[used[near]] * cost[near]])
+                units = np.concatenate([used, used[near]])[np.argsort(cost, kind="stable")[:need]]
                 if len(units) == need:
                     np.add.at(picked, units, 1)
                     served = True
@@ -156,7 +157,7 @@ def signatures(s: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndar
             flags.append(np.where(picked[use] > 0, PROBE, 0) | (INDEX if index else 0))
             # deletions: of indexed segments that have them, and of segments picked twice
             wide = (np.arange(m) < q) if index else np.zeros(m, bool)
-            el = np.flatnonzero(wide[seg] | (picked[seg] > 1))
+            el = np.flatnonzero((wide[seg] & (size[seg] > 1)) | (picked[seg] > 1))
             if len(el):
                 owner = seg[el]
                 sigs.append(mix((total[owner] - s[el]) ^ seg_salt[owner]))

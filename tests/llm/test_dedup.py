@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from llm.conftest import DOCS, same, sentence
@@ -89,6 +90,33 @@ def test_ngram_join_large_groups(spark):
         same(ngram_join.ngram_join(df, block=block), want, ["doc_id", "n_shingles", "component_id"])
 
 
+def test_ngram_join_small_sets_of_common_ngrams_share_a_signature():
+    # linked pairs, the larger side crowded into few segments of a partition, every n-gram common
+    r = np.random.default_rng(5)
+    bands = ngram_join.Bands(75)
+    pool = r.integers(1, 2**63, 20_000).astype(np.uint64)
+    lost = []
+    for size in range(2, 40):
+        for small in range(-(-size * 75 // 100), size + 1):
+            band = bands.of(small)[-1]
+            m, _, families = bands.segments(band)
+            for trial in range(12):
+                salt, _ = bands.salt(band, trial % families, m)
+                seg = (ngram_join.mix(pool ^ salt) >> np.uint64(24)) % np.uint64(m)
+                alone = min(trial // families, size - 1, m - 1)  # segments that hold one n-gram
+                a = np.concatenate([pool[seg == 0][:size - alone]] + [pool[seg == k + 1][:1] for k in range(alone)])
+                assert len(a) == size
+                b = np.sort(a[:small])  # without the n-grams that are alone
+                a = np.sort(a)
+                assert ngram_join.linked(a, b, 75)
+                sa, fa, broad_a = ngram_join.signatures(a, bands, np.ones(size, bool))
+                sb, fb, broad_b = ngram_join.signatures(b, bands, np.ones(small, bool))
+                met = np.intersect1d(sa[fa & ngram_join.PROBE > 0], sb[fb & ngram_join.INDEX > 0])
+                if not (len(met) or broad_a or broad_b):
+                    lost.append((size, small, trial))
+    assert not lost
+
+
 def test_ngram_join_compares_with_all_where_units_lack(spark, monkeypatch):
     monkeypatch.setattr(ngram_join.Bands, "segments", lambda self, band: (1, 0, 1))
     r = random.Random(4)
