@@ -22,10 +22,16 @@ a probe without any (rarer than one in 10^8) is compared with all sets in blocks
 Exchange.  Signatures travel packed (6 bytes) by signature bucket.  Documents
 that share one meet in a star: every member with the member of lowest priority
 hash, which tends to be the same for all signatures of a group of copies.  The
-members of a centre then meet with their sets, in blocks of ``BLOCK`` when there
-are more, and are verified exactly, but never two documents that are already
-connected: first against the centre, and what does not link with it, against all.
-No pair list of a group is ever made.  Links become components.
+members of a centre then meet with their sets and are verified exactly, but never
+two documents that are already connected: up to ``BLOCK`` members all with all, of
+more, in blocks, each with the centre only.  What does not link with such a centre
+meets the members of its stars again by prefix: a set's n-grams in the order of
+their count in the sketch, of which two linked sets share one among the first
+|s| - ceil(threshold |s|) + 1 of each.  Those signatures make smaller stars, since a
+passage of many documents comes last.  What is open in a star of these that still
+has more than ``BLOCK`` members meets the others by pairs of blocks, so a task holds
+about ``BLOCK`` sets on either side.  No pair list of a group is ever made.  Links
+become components.
 
 Defined cases: null or empty text, or no words: n_shingles 0, its own component;
 fewer words than n: the whole sequence is the one element; equal sets link;
@@ -216,12 +222,29 @@ def _sketch(chunks: DataFrame) -> np.ndarray:
     return np.concatenate([unpack(r["cells"]) for r in rows]).astype(np.int64)
 
 
+def _packed(chunk: int, sig: np.ndarray, flag: np.ndarray, n_buckets: int, broad: list[int]):
+    """The signatures of a chunk as rows (bucket, chunk, sigs, flags), or nothing."""
+    import pyarrow as pa
+    bucket = ((sig >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    low, flag, bucket = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), flag[order], bucket[order]
+    cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    out = [(k, low[cuts[k]:cuts[k + 1]].tobytes(), flag[cuts[k]:cuts[k + 1]].tobytes()) for k in full]
+    if broad:
+        out.append((n_buckets, b"", np.array(broad, np.uint16).tobytes()))
+    if out:
+        ks, a, c = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ks, pa.int64()), pa.array([chunk] * len(ks), pa.int64()), pa.array(a, pa.binary()),
+             pa.array(c, pa.binary())], names=["bucket", "chunk", "sigs", "flags"])
+
+
 def _signature_rows(chunks: DataFrame, n: int, num: int, n_buckets: int, common_cells) -> DataFrame:
     """(bucket, chunk, sigs, flags): the chunk's signatures of one bucket; in the
     last bucket the places of documents to be compared with all."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
         bands, cells = Bands(num), common_cells.value
         for b in batches:
             for row in each_row(b):
@@ -238,24 +261,42 @@ def _signature_rows(chunks: DataFrame, n: int, num: int, n_buckets: int, common_
                     if lacking:
                         broad.append(i)
                 sig, flag = np.concatenate(sigs), np.concatenate(flags).astype(np.uint16)
-                bucket = ((sig >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                low, flag, bucket = (sig[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), flag[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                full = np.flatnonzero(np.diff(cuts)).tolist()
-                out = [(k, low[cuts[k]:cuts[k + 1]].tobytes(), flag[cuts[k]:cuts[k + 1]].tobytes()) for k in full]
-                if broad:
-                    out.append((n_buckets, b"", np.array(broad, np.uint16).tobytes()))
-                if out:
-                    ks, a, c = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ks, pa.int64()), pa.array([row["chunk"]] * len(ks), pa.int64()), pa.array(a, pa.binary()),
-                         pa.array(c, pa.binary())], names=["bucket", "chunk", "sigs", "flags"])
+                yield from _packed(row["chunk"], sig, flag, n_buckets, broad)
 
     return chunks.filter("chunk >= 0").select("chunk", "lengths", "lexicon", "words", "info").mapInArrow(
         lean(run), "bucket long, chunk long, sigs binary, flags binary")
 
 
+def prefix(s: np.ndarray, counts: np.ndarray, num: int) -> np.ndarray:
+    """The rarest n-grams of a set, of which a set that links with it has one among its own rarest."""
+    k = len(s) + -num * len(s) // 100 + 1
+    return s[np.lexsort((s, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:k]]
+
+
+def _prefix_rows(chunks: DataFrame, wanted: DataFrame, n: int, num: int, n_buckets: int, counts) -> DataFrame:
+    """(bucket, chunk, sigs, flags): prefixes of the wanted documents (x, open) by
+    bucket; only open ones are indexed, so every pair has one of them."""
+    by_chunk = wanted.groupBy(F.floor(F.col("x") / CHUNK_DOCS).alias("chunk")).agg(
+        F.collect_list(F.struct("x", "open")).alias("wanted"))  # at most CHUNK_DOCS
+
+    def run(batches: Iterator) -> Iterator:
+        cells = counts.value
+        for b in batches:
+            for row in each_row(b):
+                lengths, lexicon, words = chunk_words(row)
+                ends = np.cumsum(lengths)
+                sigs, flags = [], []
+                for w in row["wanted"]:
+                    i = w["x"] % CHUNK_DOCS
+                    first = mix(prefix(shingle_set(lexicon[words[ends[i] - lengths[i]:ends[i]]], n), cells, num))
+                    sigs.append(first)
+                    flags.append(np.full(len(first), i | PROBE | (INDEX if w["open"] else 0), np.uint16))
+                yield from _packed(row["chunk"], np.concatenate(sigs), np.concatenate(flags), n_buckets, [])
+
+    slim = chunks.filter("chunk >= 0").select("chunk", "lengths", "lexicon", "words")
+    return slim.join(by_chunk, "chunk").mapInArrow(lean(run), "bucket long, chunk long, sigs binary, flags binary")
+
+
 def _stars(signature_rows: DataFrame, n_buckets: int) -> DataFrame:
     """(c, x): centre and member of every signature that a probe and an indexed
     set share; (-1, x) for the documents to be compared with all."""
@@ -356,9 +397,10 @@ def may_link(sets: list[np.ndarray], num: int) -> np.ndarray:
     return 100 * shared >= num * size
 
 
-#: What a document is to a block: its centre, one of its members, or one that
-#: did not link with the centre and is compared with all members.
-CENTRE, MEMBER, REST = 0, 1, 2
+#: What a document is to a block: its centre or one of its members.
+CENTRE, MEMBER = 0, 1
+#: What it is to a pair of blocks: of the first side, open, not linked with the centre.
+SIDE, OPEN, FAR = 1, 2, 4
 
 
 def _verify(members: DataFrame, num: int) -> DataFrame:
@@ -374,7 +416,6 @@ def _verify(members: DataFrame, num: int) -> DataFrame:
         out: list[tuple[int, int, bool]] = []
         groups = _Groups(len(sets))
         centre = int(np.flatnonzero(role == CENTRE)[0])
-        order = np.argsort(-role, kind="stable").tolist()  # those compared with all come first
         active = may_link(sets, num)
 
         def meet(i, j):
@@ -382,27 +423,56 @@ def _verify(members: DataFrame, num: int) -> DataFrame:
                 groups.join(i, j)
                 out.append((node[i], node[j], True))
 
-        for i in order:
+        for i in range(len(sets)):
             if i != centre and active[i] and active[centre]:
                 meet(i, centre)
-        if split and not (role == REST).any():
+        if split:
             near = groups.root(centre)
-            out += [(node[i], node[centre], False) for i in order if i != centre and groups.root(i) != near]
+            out += [(node[i], node[centre], False) for i in range(len(sets)) if groups.root(i) != near]
         else:
-            live = [i for i in order if active[i]]
+            live = np.flatnonzero(active).tolist()
             for k, i in enumerate(live):
-                if split and role[i] != REST:
-                    break
                 for j in live[k + 1:]:
-                    if node[i] != node[j]:
-                        meet(i, j)
+                    meet(i, j)
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "met": pa.array(cols[2], pa.bool_())})
 
     return members.groupBy("c", "block").applyInArrow(lean(run), "a long, b long, met boolean")
 
 
-def _star_links(chunks: DataFrame, stars: DataFrame, n: int, num: int, block: int) -> list[DataFrame]:
+def _cross(pairs: DataFrame, num: int) -> DataFrame:
+    """(a, b): verified links of pairs of blocks: its open documents of the first
+    side with the members of the second."""
+
+    def run(table):
+        import pyarrow as pa
+        role = np.array(table.column("role").to_pylist())
+        node = table.column("x").to_pylist()
+        sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
+        groups = _Groups(len(sets))
+        same: dict[int, int] = {}
+        for i, x in enumerate(node):
+            groups.join(i, same.setdefault(x, i))
+        near = np.flatnonzero(role & FAR == 0).tolist()
+        for i in near[1:]:  # connected through the centre
+            groups.join(i, near[0])
+        out: list[tuple[int, int]] = []
+        others = np.flatnonzero(role & SIDE == 0).tolist()
+        for i in np.flatnonzero(role & SIDE).tolist():
+            for j in others:
+                if role[j] & OPEN and node[j] < node[i]:
+                    continue  # met with the sides exchanged
+                if groups.root(i) != groups.root(j) and linked(sets[i], sets[j], num):
+                    groups.join(i, j)
+                    out.append((node[i], node[j]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return pairs.groupBy("c", "block").applyInArrow(lean(run), "a long, b long")
+
+
+def _star_round(chunks: DataFrame, stars: DataFrame, n: int, num: int, block: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Links of the stars, and (x, c) of the members of stars with several blocks that do not link with the centre."""
     sizes = stars.groupBy("c").agg(F.count("*").alias("k"))
     blocks = sizes.select("c", F.when(F.col("k") <= block, 0).otherwise(F.ceil(F.col("k") / block)).cast("long").alias("n_blocks"))
     own = F.when(F.col("n_blocks") == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("x"), F.greatest("n_blocks", F.lit(1)))).cast("long")
@@ -410,17 +480,40 @@ def _star_links(chunks: DataFrame, stars: DataFrame, n: int, num: int, block: in
         F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
     in_blocks = stars.join(blocks, "c").select("x", "c", own.alias("block"), F.lit(MEMBER).alias("role"))
     centres = blocks.select(F.col("c").alias("x"), "c", F.explode(centre_blocks).alias("block"), F.lit(CENTRE).alias("role"))
-    first = stored(_verify(_sets_of(chunks, in_blocks.unionByName(centres), n), num), "star-links")
-    links = [first.filter("met").select("a", "b")]
-    rest = first.filter("not met").select(F.col("a").alias("x"), F.col("b").alias("c"))
-    if not rest.isEmpty():
-        # what did not link with the centre meets every block of it
-        open_c = rest.select("c").distinct().join(blocks, "c")
-        again = in_blocks.unionByName(centres).join(open_c.select("c"), "c", "left_semi")
-        everywhere = rest.join(open_c, "c").select("x", "c", F.explode(centre_blocks).alias("block"), F.lit(REST).alias("role"))
-        second = stored(_verify(_sets_of(chunks, again.unionByName(everywhere), n), num), "rest-links")
-        links.append(second.filter("met").select("a", "b"))
-    return links
+    met = stored(_verify(_sets_of(chunks, in_blocks.unionByName(centres), n), num), name)
+    return met.filter("met").select("a", "b"), met.filter("not met").select(F.col("a").alias("x"), F.col("b").alias("c"))
+
+
+def _star_links(chunks: DataFrame, stars: DataFrame, n: int, num: int, block: int, n_buckets: int,
+                sketch: np.ndarray) -> list[DataFrame]:
+    first, rest = _star_round(chunks, stars, n, num, block, "star-links")
+    if rest.isEmpty():
+        return [first]
+    # what did not link with the centre meets the members of its stars in smaller ones
+    counts = chunks.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**32 - 1).astype(np.uint32))
+    members = stars.join(rest.select("c").distinct(), "c", "left_semi").select("x").distinct()
+    opened = rest.select("x").distinct().withColumn("open", F.lit(True))
+    wanted = stored(members.join(opened, "x", "left").select("x", F.coalesce("open", F.lit(False)).alias("open")), "rest-members")
+    again = stored(_stars(_prefix_rows(chunks, wanted, n, num, n_buckets, counts), n_buckets).distinct(), "rest-stars")
+    second, far = _star_round(chunks, again, n, num, block, "rest-links")
+    if far.isEmpty():
+        return [first, second]
+    # and what did not link with the centre of these, in pairs of blocks
+    inside = (again.join(far.select("c").distinct(), "c", "left_semi").join(wanted, "x")
+              .join(far.withColumn("far", F.lit(True)), ["x", "c"], "left"))
+    inside = stored(inside.select("x", "c", "open", (F.when(F.col("open"), OPEN).otherwise(0)
+                                                     + F.when(F.col("far"), FAR).otherwise(0)).alias("role")), "far-members")
+    sides = inside.groupBy("c").agg(F.ceil(F.sum(F.col("open").cast("long")) / block).alias("n_first"),
+                                    F.ceil(F.count("*") / block).alias("n_second"))
+    placed = inside.join(sides.filter("n_first > 0"), "c")  # else the centre alone is open, and it met all
+    up_to = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    one = placed.filter("open").withColumn("i", F.pmod(F.xxhash64("x"), "n_first")).withColumn("j", up_to("n_second"))
+    other = placed.withColumn("j", F.pmod(F.xxhash64("x"), "n_second")).withColumn("i", up_to("n_first"))
+    copies = one.withColumn("role", F.col("role") + SIDE).unionByName(other).select(
+        "x", "c", (F.col("i") * F.col("n_second") + F.col("j")).alias("block"), "role")
+    alone = inside.select("x", F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("block"), F.lit(MEMBER).alias("role"))
+    sets = stored(_sets_of(chunks, alone.distinct(), n).select("x", "elements"), "far-sets")
+    return [first, second, stored(_cross(copies.join(sets, "x"), num), "far-links")]
 
 
 def _broad_links(chunks: DataFrame, broad: DataFrame, n: int, num: int, block_bytes: int = 32 << 20) -> list[DataFrame]:
@@ -468,7 +561,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, block: int = BLOC
     common = spark.sparkContext.broadcast(sketch > mean + 8 * np.sqrt(mean) + 32)  # one flag a cell
     n_buckets = max(parallelism(spark), total // BUCKET_ROWS)
     stars = stored(_stars(_signature_rows(chunks, n, percent, n_buckets, common), n_buckets).distinct(), "stars")
-    links = _star_links(chunks, stars.filter("c >= 0"), n, percent, block)
+    links = _star_links(chunks, stars.filter("c >= 0"), n, percent, block, n_buckets, sketch)
     broad = stars.filter("c < 0").select("x")
     if not broad.isEmpty():
         links += _broad_links(chunks, broad, n, percent)

@@ -90,6 +90,26 @@ def test_ngram_join_large_groups(spark):
         same(ngram_join.ngram_join(df, block=block), want, ["doc_id", "n_shingles", "component_id"])
 
 
+def test_ngram_join_bounds_what_meets_in_a_task(spark, monkeypatch):
+    """Unlike documents that share most of their n-grams, some linked, and ones made of few n-grams, most of them unlinked."""
+    r = random.Random(8)
+    passage = sentence(r, 40)
+    rows = [(k, sentence(r, 20) + " " + passage) for k in range(400)]
+    rows += [(500 + k, rows[k][1] + " " + sentence(r, 4)) for k in range(0, 400, 9)]  # a link each
+    pieces = [sentence(r, 12) for _ in range(14)]
+    rows += [(1000 + k, " ".join(r.sample(pieces, 7))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+    for name in ("_verify", "_cross"):
+        def look(members, num, f=getattr(ngram_join, name, None)):
+            top = members.groupBy("c", "block").count().agg({"count": "max"}).first()[0]
+            seen.append(top or 0)
+            return f(members, num)
+        monkeypatch.setattr(ngram_join, name, look, raising=False)
+    same(ngram_join.ngram_join(df, block=16), brute_join(rows), ["doc_id", "n_shingles", "component_id"])
+    assert max(seen) <= 4 * 16, seen
+
+
 def test_ngram_join_small_sets_of_common_ngrams_share_a_signature():
     # linked pairs, the larger side crowded into few segments of a partition, every n-gram common
     r = np.random.default_rng(5)
