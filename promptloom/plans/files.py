@@ -172,13 +172,11 @@ SELECT sink, key, count(*) AS n_rows FROM (
 
 
 def q56(spark, sf_dir):
-    """Customers as one JSON array file and back; part types as the
+    """Customers as JSON array files, one per range of keys, and back; part types as the
     type dictionary beside a corpus, and back."""
     base = scratch(spark, "arrays")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    # a single JSON array is one file by its format
-    cust.select(F.to_json(F.struct("*")).alias("j")).agg(
-        F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list("j")), ",\n"), F.lit("\n]"))).coalesce(1).write.text(f"{base}/array")
+    io.write_json_arrays(cust, "c_custkey", f"{base}/array")
     parts = table(spark, sf_dir, "part").select(F.col("p_type").alias("code")).distinct()
     entry = F.struct("code", F.struct(F.lower("code").alias("verbose"), F.substring("code", 1, 3).alias("short")).alias("v"))
     dictionary = parts.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("entities"))))

@@ -43,10 +43,20 @@ def read_jsonl(spark: SparkSession, path: str, prompt_key: str = "prompt", targe
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S3: a file holding one JSON array; one row per element, with line_no."""
+    """S3: files holding one JSON array each; one row per element, with line_no."""
     return _line_numbers(spark.read.schema(schema).option("multiLine", "true").json(path))
 
 
+def write_json_arrays(df: DataFrame, key: str, path: str, keys_per_array: int = 100_000) -> None:
+    """A folder of files for :func:`read_json_array`, each one JSON array: the rows
+    of a range of ``keys_per_array`` values of an integer key that is unique, so
+    that an array stays the size of a task's work."""
+    lines = df.select(F.floor(F.col(key) / keys_per_array).alias("part"), F.to_json(F.struct(*df.columns)).alias("j"))
+    arrays = lines.groupBy("part").agg(
+        F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list("j")), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)  # a file holds one array by its format
+
+
 def read_type_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """{"entities": {code: {"verbose", "short"}}, ...} -> (code, verbose, short)."""
     d = spark.read.schema("entities map<string, struct<verbose: string, short: string>>") \

@@ -39,6 +39,20 @@ def test_jsonl_missing_key_fails(spark):
     assert io.read_jsonl(spark, p, "q", "a", strict=False).filter("a IS NULL").count() == 1
 
 
+def test_json_arrays_hold_a_bounded_range_of_keys(spark):
+    p = os.path.join(_tmp(), "arrays")
+    rows = [(k, f"名{k}\n\"") for k in range(1, 36)]
+    io.write_json_arrays(spark.createDataFrame(rows, "k long, name string").repartition(4), "k", p, keys_per_array=10)
+    files = [os.path.join(d, f) for d, _, fs in os.walk(p) for f in fs if f.endswith(".txt")]
+    arrays = [json.load(open(f, encoding="utf8")) for f in files]
+    assert sorted(map(len, arrays)) == [6, 9, 10, 10]
+    back = io.read_json_array(spark, p, "k long, name string")
+    assert sorted((r.k, r.name) for r in back.collect()) == rows
+    none = os.path.join(_tmp(), "none")
+    io.write_json_arrays(spark.createDataFrame([], "k long, name string"), "k", none)
+    assert io.read_json_array(spark, none, "k long, name string").count() == 0
+
+
 def test_json_array_type_dictionary_csv(spark):
     d = _tmp()
     arr = os.path.join(d, "corpus.json")
