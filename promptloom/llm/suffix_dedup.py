@@ -1,20 +1,21 @@
 """Suffix-array dedup with a difference cover, to the depth of the repeats wanted.
 
 Every byte covered by a ``width``-byte string that also starts anywhere else is
-removed.  That needs suffixes ordered only by their first ``width`` bytes, which
+removed.  That needs suffixes told apart only by their first ``width`` bytes, which
 bounds the difference-cover method:
 
 1. Sample.  Positions whose residue modulo ``period`` lies in a difference cover.
    For any two positions i, j there is a shift below ``period`` that takes both
    into the sample, so if their ``width``-byte prefixes agree, so do the
    ``width - period + 1`` byte prefixes of two sampled suffixes.  These prefixes
-   are sorted by fingerprint over the whole corpus and named; a name is either
+   are named by fingerprint over the whole corpus; a name is either
    single or repeated.  (The recursion of the unbounded method would extend names
    past ``width``, so one level suffices.)
 2. Merge.  A suffix can only repeat to the full depth if a sampled suffix within
    its next ``period`` positions has a repeated name.  Only those remaining
-   suffixes go into the merge: they are sorted by the 64-bit fingerprint of their
-   whole ``width``-byte prefix, and neighbours in that order are compared.
+   suffixes go into the merge: equal 64-bit fingerprints of their whole
+   ``width``-byte prefixes are counted.  Fingerprints take the place of suffix
+   order: no suffixes are sorted and no bytes compared.
 
 Text is packed once into chunks in the shared folder.  A chunk sends, for each
 range of fingerprints, its distinct ones, sorted and difference-coded, and gets
