@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promptloom.llm import (
     decontaminate,
     exact_dedup,
+    fingerprints,
     katz,
     language_id,
     mixing,
@@ -104,6 +105,11 @@ def op10(spark, sf_dir):
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_query("op11_fingerprints")
+def op11(spark, sf_dir):
+    return fingerprints.with_next(_table(spark, sf_dir, "documents"))
+
+
 @_query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
