@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.llm import (
+    conversation_repair,
     decontaminate,
     exact_dedup,
     fingerprints,
@@ -16,6 +17,7 @@ from promptloom.llm import (
     mixing,
     ngram_join,
     sharding,
+    spelling,
     suffix_dedup,
     token_counts,
     token_files,
@@ -110,6 +112,17 @@ def op11(spark, sf_dir):
     return fingerprints.with_next(_table(spark, sf_dir, "documents"))
 
 
+@_query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling.variants(spelling.corpus_words(_table(spark, sf_dir, "documents")))
+
+
+@_query("op13_repair_conversations")
+def op13(spark, sf_dir):
+    damaged = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(damaged))
+
+
 @_query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
