@@ -27,6 +27,7 @@ def load_all() -> None:
         conversations,
         corpus,
         designs,
+        durable,
         events_eval,
         extras,
         files,

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -52,16 +53,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df):
-    """Cut lineage of an intermediate that several later steps read: a
-    reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives the
-    loss of executors, unlike cached or locally checkpointed blocks)."""
-    from pyspark.sql import functions as F
-    checkpoint_dir(df.sparkSession)
-    ck = df.checkpoint(eager=True)
-    # fresh attribute ids: the checkpoint keeps the ids of the plan it came
-    # from, which confuses the planner when both are joined later
-    return ck.select(*[F.col(f"`{c}`").alias(c) for c in ck.columns])
+_MADE: dict[str, list[str]] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, which :func:`release` will delete."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage of an intermediate that several later steps read: a Parquet table in
+    the shared ``spark.checkpoint.dir``.  It survives the loss of executors (unlike cached
+    blocks), later steps read only the columns they need, and its size is known to the planner."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate folders that this session has made so far, and tell their
+    number.  Frames that were built on them cannot be evaluated any more."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for p in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 << 20,

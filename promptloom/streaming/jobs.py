@@ -9,12 +9,10 @@ row per key, so a re-run micro-batch (same batch id) cannot double count.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.session import checkpoint_dir
+from promptloom.session import scratch_path as scratch
 
 PREDICTION_SCHEMA = "doc_id long, target string, prediction string, error string"
 
@@ -33,10 +31,6 @@ def utc_timestamp(wall_clock: Column) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), wall_clock))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _append_batches(df: DataFrame, out: str):
     def sink(batch: DataFrame, batch_id: int):
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
