@@ -9,7 +9,7 @@ shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GOLD, PRED = "gold", "pred"
@@ -30,6 +30,15 @@ def key_counts(ents: DataFrame, sample_col: str, key_sets: dict[str, list[str]],
     columns.  All variants are computed by one GROUPING SETS aggregation, i.e.
     one shuffle for any number of variants.
     """
+    return _by_key_sets(ents, sample_col, key_sets, F.count_if(F.col(side_col) == GOLD), F.count_if(F.col(side_col) == PRED))
+
+
+def sum_counts(counts: DataFrame, sample_col: str, key_sets: dict[str, list[str]]) -> DataFrame:
+    """:func:`key_counts` of rows that carry multiplicities (n_gold, n_pred) already."""
+    return _by_key_sets(counts, sample_col, key_sets, F.sum("n_gold"), F.sum("n_pred"))
+
+
+def _by_key_sets(rows: DataFrame, sample_col: str, key_sets: dict[str, list[str]], n_gold: Column, n_pred: Column) -> DataFrame:
     names = list(key_sets)
     all_keys: list[str] = []
     for ks in key_sets.values():
@@ -37,10 +46,8 @@ def key_counts(ents: DataFrame, sample_col: str, key_sets: dict[str, list[str]],
             if k not in all_keys:
                 all_keys.append(k)
     sets = [[F.col(sample_col)] + [F.col(k) for k in key_sets[n]] for n in names]
-    agg = (ents.groupingSets(sets, sample_col, *all_keys)
-           .agg(F.count_if(F.col(side_col) == GOLD).alias("n_gold"),
-                F.count_if(F.col(side_col) == PRED).alias("n_pred"),
-                F.grouping_id().alias("_gid")))
+    agg = (rows.groupingSets(sets, sample_col, *all_keys)
+           .agg(n_gold.alias("n_gold"), n_pred.alias("n_pred"), F.grouping_id().alias("_gid")))
     # map grouping id -> variant name (bit set when a key is *not* grouped; the
     # sample column comes first and is always grouped)
     n = len(all_keys)

@@ -73,8 +73,17 @@ def batch_ids(df: DataFrame, order_cols: list[str], batch_size: int,
             .withColumn("slot", (F.col(index_col) % batch_size).cast("int")))
 
 
+#: First rows that one task may keep and sort.
+TOP_ROWS = 100_000
+
+
 def first_n(df: DataFrame, order_cols: list[str], n: int, index_col: str = "idx") -> DataFrame:
-    """The first ``n`` rows in order; ``n < 0`` keeps every row."""
+    """The first ``n`` rows in order; ``n < 0`` keeps every row.
+
+    A small ``n`` is a top-n: every task keeps its own first rows and one merges
+    them.  A larger one counts the rows of the ordered ranges instead."""
     if n < 0:
         return df
+    if n <= TOP_ROWS:
+        return df.orderBy(*order_cols).limit(n)
     return with_global_index(df, order_cols, index_col).filter(F.col(index_col) < n).drop(index_col)

@@ -100,23 +100,28 @@ _JSON_EV = "struct<event_type:string,`trigger word`:string>"
 
 def parse_json(text: Column) -> tuple[Column, Column]:
     """X13 one {"event_type", "trigger word"} object per line; a string trigger
-    is split on ','; [] adds nothing; a line that is not such an object, or has an
-    object as its trigger, is a format error.  A string that only begins like a
+    is split on ',' and a list taken as it is; [] adds nothing.  A line that is not
+    one such object from its first to its last character is a format error, and so is
+    a trigger that is neither string nor list.  A string that only begins like a
     list is split on ',' like any other; items are never null.  Each line is
-    parsed once (first transform)."""
+    parsed once (first transform), as the only item of an array: what follows
+    the object breaks the array."""
     empty = F.array().cast("array<struct<e_type:string,trigger:string>>")
 
     def parse_line(line):
         s = py_strip(line)
-        return F.struct((s.rlike(r"(?s)^\{.*\}$") & ~s.rlike(r"""['"]trigger word['"]\s*:\s*\{""")).alias("flat"),
-                        F.from_json(s, _JSON_EV, {"allowSingleQuotes": "true"}).alias("j"))
+        objects = F.from_json(F.concat(F.lit("["), s, F.lit("]")), f"array<{_JSON_EV}>", {"allowSingleQuotes": "true"})
+        kind = F.regexp_extract(s, r"""['"]trigger word['"]\s*:\s*(.)""", 1)
+        return F.struct((s.startswith("{") & (F.size(objects) == 1)).alias("single"), F.get(objects, 0).alias("j"), kind.alias("kind"))
 
     def one(x):
         j = x["j"]
-        ok = x["flat"] & j["event_type"].isNotNull() & j["trigger word"].isNotNull()
+        listed = x["kind"] == "["
+        ok = F.coalesce(x["single"] & (listed | x["kind"].isin("'", '"')) & j["event_type"].isNotNull()
+                        & j["trigger word"].isNotNull(), F.lit(False))
         raw = j["trigger word"]
-        listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>", {"allowSingleQuotes": "true"}))
-        trig = F.transform(F.coalesce(listed, F.split(py_strip(raw), ",")), lambda g: F.coalesce(g, F.lit("")))
+        items = F.when(listed, F.from_json(raw, "array<string>", {"allowSingleQuotes": "true"})).otherwise(F.split(py_strip(raw), ","))
+        trig = F.transform(items, lambda g: F.coalesce(g, F.lit("")))
         t = _norm(j["event_type"])
         return F.struct(ok.alias("ok"), F.when(ok, F.transform(trig, lambda g: _pair(t, _norm(g))))
                         .otherwise(empty).alias("items"))

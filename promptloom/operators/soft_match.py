@@ -1,126 +1,193 @@
-"""Soft matching of predicted entity names (M4) without comparing all pairs.
+"""Soft matching of predicted entity names (M4) within their samples.
 
 Reference rule: a prediction p is replaced by the gold name g* of highest
 Ratcliff-Obershelp ratio among the sample's gold names (first on ties) when
 ratio > 0.5, g* != p and one contains the other.
 
 Exact plan (no candidate caps):
-1. p equal to a gold name keeps itself (ratio 1 is the maximum).
-2. Containment candidates come from equi-joins of every proper substring of
-   one side against the other side's names (pairs only where containment
-   holds, at most len²/2 per name).  For a containment pair the ratio is
-   2·min(|p|,|g|)/(|p|+|g|) (the shorter string is one matching block).
-3. Only predictions whose best containment ratio r* exceeds 0.5 can change.
-   Any gold name that could tie or beat r* has a character-multiset Dice of at
-   least r* (ratio <= quick ratio), so it shares a token with p's prefix
-   filter (prefix length |x| - ceil(t|x|/(2-t)) + 1, rare tokens first).  Only
-   those pairs are scored with the exact ratio.
+1. Names are taken once per sample.  A prediction that is a gold name keeps itself
+   (ratio 1 is the maximum).
+2. The others meet the sample's gold names in blocks of bounded size, so that a sample
+   of any length spreads over tasks.  Names are rows of character counts (of
+   ``BINS`` classes); a matrix product says for every pair how many characters of one
+   have no counterpart in the other, which bounds the ratio from above.
+3. Containment holds only where nothing is missing; such a pair's ratio is
+   2 min(|p|, |g|) / (|p| + |g|).  A prediction without one above 0.5 stays.
+4. The best containing name is replaced unless a rival of the sample has a higher
+   ratio, or the same at an earlier place.  Only pairs whose bounds allow that are
+   scored, best bound first, until a rival is found; a worker scores a pair of names
+   once, whatever the number of samples that hold both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.functions.similarity import ratio_udf
+from promptloom.functions.similarity import ratio
 from promptloom.operators.joins import join_small
 from promptloom.session import materialize
 
 THRESHOLD = 0.5
-AUTOJUNK_LEN = 200
-EPS = 1e-9  # difflib's popularity heuristic applies from this length on
-
-
-def proper_substrings(s: Column, min_len: Column | None = None) -> Column:
-    """Proper substrings of s with length >= min_len (default 1)."""
-    n = F.length(s)
-    lo = F.lit(1) if min_len is None else F.greatest(min_len, F.lit(1))
-    return F.when(n > lo, F.flatten(F.transform(
-        F.sequence(F.lit(0), n - lo),
-        lambda i: F.transform(F.sequence(i + lo, F.least(i + n - 1, n)),
-                              lambda j: F.substring(s, i + 1, j - i))))).otherwise(F.array().cast("array<string>"))
-
+AUTOJUNK_LEN = 200  # difflib's popularity heuristic applies from this length on
+EPS = 1e-9
+PRED_BLOCK = 1024
+GOLD_BLOCK = 4096
+BINS = 64
+PAIRS = 8192
+
+
+class Names:
+    """Names as rows of character counts."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.length = np.fromiter(map(len, names), np.int64, len(names))
+        points = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.repeat(np.arange(len(names)), self.length) * BINS + points % BINS
+        self.counts = np.bincount(at, minlength=len(names) * BINS).reshape(len(names), BINS).astype(np.float32)
+        self.absent = (self.counts == 0).astype(np.float32)
+
+
+def bounds(p: Names, g: Names) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds of the ratio of every pair, and where one may contain the other."""
+    missing_p = p.counts @ g.absent.T
+    missing_g = p.absent @ g.counts.T
+    matched = np.minimum(p.length[:, None] - missing_p, g.length - missing_g)
+    return 2.0 * matched / (p.length[:, None] + g.length), (missing_p == 0) | (missing_g == 0)
+
+
+@lru_cache(maxsize=1 << 18)
+def _ratio(p: str, g: str) -> float:
+    return ratio(p, g)
+
+
+def best_containing(p: Names, g: Names, gidx: np.ndarray, bound: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prediction rows, gold rows, ratios): for each prediction that has one, the best gold
+    name above the threshold that contains it or is contained."""
+    i, j = np.nonzero(may & (bound > THRESHOLD))
+    r = 2.0 * np.minimum(p.length[i], g.length[j]) / (p.length[i] + g.length[j])
+    long = np.maximum(p.length[i], g.length[j]) >= AUTOJUNK_LEN
+    for k in np.flatnonzero(long):
+        x, y = p.names[i[k]], g.names[j[k]]
+        r[k] = _ratio(x, y) if x in y or y in x else 0.0
+    order = np.lexsort((gidx[j], -r, i))  # the first that holds is the best
+    found, last = [], -1
+    for k in order[r[order] > THRESHOLD].tolist():
+        if i[k] != last:
+            x, y = p.names[i[k]], g.names[j[k]]
+            if x in y or y in x:
+                found.append(k)
+                last = i[k]
+    return i[found], j[found], r[found]
+
+
+def have_rivals(p: Names, g: Names, gidx: np.ndarray, bound: np.ndarray, rows: np.ndarray, r: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a gold name beats the ratio ``r`` at ``place`` of each prediction row."""
+    def hope(most, best, early):  # which upper bounds leave a chance
+        return np.where(early, most >= best - EPS, most > best + EPS)
+
+    a, j = np.nonzero(hope(bound[rows], r[:, None], gidx < place[:, None]))
+    quick = np.empty(len(a))  # the quick ratio, of character counts
+    for k in range(0, len(a), PAIRS):
+        x, y = rows[a[k:k + PAIRS]], j[k:k + PAIRS]
+        quick[k:k + PAIRS] = 2.0 * np.minimum(p.counts[x], g.counts[y]).sum(1) / (p.length[x] + g.length[y])
+    left = hope(quick, r[a], gidx[j] < place[a])
+    a, j, quick = a[left], j[left], quick[left]
+    out = np.zeros(len(rows), bool)
+    for k in np.lexsort((-quick, a)).tolist():
+        at = a[k]
+        if not out[at]:
+            x = _ratio(p.names[rows[at]], g.names[j[k]])
+            out[at] = x > r[at] or (x == r[at] and gidx[j[k]] < place[at])
+    return out
+
+
+def _blocks(names: DataFrame, doc: str) -> DataFrame:
+    """Rows (doc, name, gidx) of both sides dealt to pairs of bounded blocks (_pb, _gb):
+    predictions (gidx null) of one block with gold names of one block."""
+    sizes = names.groupBy(doc).agg(F.count_if(F.col("gidx").isNull()).alias("_np"), F.count("gidx").alias("_ng"))
+    large = sizes.filter((F.col("_np") > PRED_BLOCK) | (F.col("_ng") > GOLD_BLOCK)).select(
+        doc, F.ceil(F.greatest(F.col("_np"), F.lit(1)) / PRED_BLOCK).cast("int").alias("_nb"),
+        F.ceil(F.greatest(F.col("_ng"), F.lit(1)) / GOLD_BLOCK).cast("int").alias("_mb"))
+    rows = join_small(names, large, [doc], "left")
+    n, m = F.coalesce("_nb", F.lit(1)), F.coalesce("_mb", F.lit(1))
+    h, is_pred = F.xxhash64("name"), F.col("gidx").isNull()
+    rows = rows.select(doc, "name", "gidx", m.alias("_mb"), F.when(is_pred, F.pmod(h, n)).otherwise(F.pmod(h, m)).cast("int").alias("_own"),
+                       F.explode(F.sequence(F.lit(0), F.when(is_pred, m).otherwise(n) - 1)).alias("_other"))
+    return rows.select(doc, "name", "gidx", "_mb", F.when(is_pred, F.col("_own")).otherwise(F.col("_other")).alias("_pb"),
+                       F.when(is_pred, F.col("_other")).otherwise(F.col("_own")).alias("_gb"))
+
+
+def _sides(table, doc: str):
+    import pyarrow.compute as pc
+    is_pred = pc.is_null(table.column("gidx"))
+    return table.filter(is_pred), table.filter(pc.invert(is_pred))
 
-def char_tokens(s: Column) -> Column:
-    """Multiset of characters as a set: 'c#k' for the k-th occurrence of c."""
-    chars = F.split(s, "")
-    z = F.arrays_zip(F.sequence(F.lit(1), F.size(chars)).alias("i"), chars.alias("c"))
-    return F.transform(z, lambda x: F.concat(x["c"], F.lit("#"), F.size(F.filter(
-        F.slice(chars, 1, x["i"]), lambda y: y == x["c"])).cast("string")))
 
-
-def _prefix(names: DataFrame, keys: list[str], name: str, toks: str, thr: Column, freqs: DataFrame) -> DataFrame:
-    """Prefix-filter tokens of each name for a Dice threshold ``thr``, rare tokens first."""
-    t = names.select(*keys, name, thr.alias("_t"), F.explode(toks).alias("tok"), F.length(name).alias("_len"))
-    t = join_small(t, freqs, ["tok"])
-    w = Window.partitionBy(*keys, name).orderBy("freq", "tok")
-    # EPS keeps every bound conservative under floating-point rounding (ties matter)
-    keep = F.col("_len") - F.ceil(F.col("_t") * F.col("_len") / (2 - F.col("_t")) - EPS) + 1
-    return t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).select(*keys, name, "tok", "_len", "_r")
+def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
+    """(doc, name, soft_name) for every distinct predicted name of a sample."""
+    return (pred.select(doc, "name").distinct().join(changed_names(gold, pred, doc), [doc, "name"], "left")
+            .withColumn("soft_name", F.coalesce("soft_name", "name")))
 
 
-def soft_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
-    """(doc, name, soft_name) for every distinct predicted name of a sample.
+def changed_names(gold: DataFrame, pred: DataFrame, doc: str) -> DataFrame:
+    """(doc, name, soft_name) for every distinct predicted name of a sample that is replaced.
 
     ``gold``: (doc, gidx, name) with gidx the position in the sample's gold
-    list; ``pred``: (doc, name).  Intermediates read by several later steps
-    are materialized with reliable checkpoints in the shared folder."""
-    pn = pred.select(doc, "name").distinct()
-    gn = materialize(gold.groupBy(doc, "name").agg(F.min("gidx").alias("gidx")).withColumnRenamed("name", "gname")
-                     .withColumn("gtoks", char_tokens(F.col("gname"))))
-    rest = materialize(pn.join(gn.select(doc, "gname").withColumnRenamed("gname", "name"), [doc, "name"], "left_anti"))
-
-    # containment pairs; a contained string shorter than a third of the other
-    # cannot reach ratio 0.5, and a substring shorter than every name of the
-    # other side in the same sample cannot match, so neither is generated
-    third = lambda c: F.floor(F.length(c) / 3) + 1
-    g_keys = gn.select(doc, "gname", "gidx")
-    g_min = gn.groupBy(doc).agg(F.min(F.length("gname")).alias("_gmin"))
-    p_min = rest.groupBy(doc).agg(F.min(F.length("name")).alias("_pmin"))
-    c1 = (rest.join(g_min, doc)
-          .select(doc, "name", F.explode(proper_substrings(F.col("name"), F.greatest(third("name"), F.col("_gmin"))))
-                  .alias("gname"))
-          .distinct().join(g_keys, [doc, "gname"]))
-    c2 = (g_keys.join(p_min, doc)
-          .select(doc, "gname", "gidx", F.explode(proper_substrings(F.col("gname"), F.greatest(third("gname"), F.col("_pmin"))))
-                  .alias("name"))
-          .distinct().join(rest, [doc, "name"]))
-    lp, lg = F.length("name"), F.length("gname")
-    both = materialize(c1.unionByName(c2).distinct())
-    long = F.greatest(lp, lg) >= AUTOJUNK_LEN
-    # a UDF inside a conditional is evaluated for every row, so the long pairs are split off
-    cont = (both.filter(~long).withColumn("rc", 2.0 * F.least(lp, lg) / (lp + lg))
-            .unionByName(both.filter(long).withColumn("rc", ratio_udf(F.col("name"), F.col("gname")))))
-    best = cont.groupBy(doc, "name").agg(F.max("rc").alias("rstar")).filter(F.col("rstar") > THRESHOLD)
-    best = materialize(best.withColumn("ptoks", char_tokens(F.col("name"))))
-
-    # exact verification against every gold name that could tie or beat r*
-    tokens = best.select(F.explode("ptoks").alias("tok")).unionByName(gn.select(F.explode("gtoks").alias("tok")))
-    freqs = materialize(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("freq")))
-    pp = _prefix(best, [doc], "name", "ptoks", F.col("rstar"), freqs).drop("_r").join(
-        best.select(doc, "name", "rstar"), [doc, "name"])
-    # gold names only in samples with a prediction to verify, each with the
-    # longest prefix any of that sample's thresholds needs (the sample minimum)
-    t_doc = best.groupBy(doc).agg(F.min("rstar").alias("_tdoc"))
-    gp = _prefix(gn.join(t_doc, doc), [doc], "gname", "gtoks", F.col("_tdoc"), freqs).withColumnRenamed("_len", "_glen")
-    # per pair: the gold prefix for the pair's own threshold, and the length
-    # filter (Dice >= t needs t/(2-t) <= |g|/|p| <= (2-t)/t)
-    t = F.col("rstar") - EPS
-    g_keep = F.col("_glen") - F.ceil(t * F.col("_glen") / (2 - t) - EPS) + 1
-    cand = (pp.join(gp, [doc, "tok"])
-            .filter((F.col("_r") <= g_keep)
-                    & (F.col("_glen") * (2 - t) >= t * F.col("_len")) & (t * F.col("_glen") <= (2 - t) * F.col("_len")))
-            .select(doc, "name", "gname", "rstar").distinct())
-    # quick-ratio filter on the exact character multisets, then the exact ratio
-    cand = cand.join(best.select(doc, "name", "ptoks"), [doc, "name"]).join(gn, [doc, "gname"])
-    ov = F.size(F.array_intersect("ptoks", "gtoks"))
-    cand = materialize(cand.filter(2.0 * ov / (lp + lg) >= F.col("rstar") - EPS).select(doc, "name", "gname", "gidx"))
-    known = cont.join(best.select(doc, "name"), [doc, "name"]).select(doc, "name", "gname", "gidx", F.col("rc").alias("r"))
-    open_ = cand.join(known.select(doc, "name", "gname"), [doc, "name", "gname"], "left_anti")
-    scored = known.unionByName(open_.select(doc, "name", "gname", "gidx", ratio_udf(F.col("name"), F.col("gname")).alias("r")))
-    top = scored.groupBy(doc, "name").agg(
-        F.max_by(F.struct("gname", "r"), F.struct(F.col("r"), -F.col("gidx"))).alias("b"))
-    g = F.col("b.gname")
-    replace = (F.col("b.r") > THRESHOLD) & (g != F.col("name")) & (g.contains(F.col("name")) | F.col("name").contains(g))
-    changed = top.filter(replace).select(doc, "name", g.alias("soft_name"))
-    return pn.join(changed, [doc, "name"], "left").withColumn("soft_name", F.coalesce("soft_name", "name"))
+    list; ``pred``: (doc, name)."""
+    side = gold.select(doc, "name", F.col("gidx").cast("long").alias("gidx")).unionByName(
+        pred.select(doc, "name", F.lit(None).cast("long").alias("gidx")))
+    names = materialize(side.groupBy(doc, "name").agg(F.min("gidx").alias("gidx")), "soft-names")  # gidx null: predicted only
+    blocks = _blocks(names, doc)
+    kind = names.schema[doc].dataType.simpleString()
+    found = f"`{doc}` {kind}, name string, gname string, gidx long, r double, open boolean"
+
+    def contained(table):
+        import pyarrow as pa
+        mine, other = _sides(table, doc)
+        i = j = r = np.zeros(0, np.int64)
+        gidx = np.zeros(0, np.int64)
+        whole = True
+        if mine.num_rows and other.num_rows:
+            p, g = Names(mine.column("name").to_pylist()), Names(other.column("name").to_pylist())
+            gidx = other.column("gidx").to_numpy()
+            bound, may = bounds(p, g)
+            i, j, r = best_containing(p, g, gidx, bound, may)
+            whole = other.column("_mb")[0].as_py() == 1
+            if whole:
+                stays = ~have_rivals(p, g, gidx, bound, i, r, gidx[j])
+                i, j, r = i[stays], j[stays], r[stays]
+        rows, names_ = mine.take(pa.array(i, pa.int64())), other.take(pa.array(j, pa.int64()))
+        return pa.table({doc: rows.column(doc), "name": rows.column("name"), "gname": names_.column("name"),
+                         "gidx": names_.column("gidx"), "r": pa.array(r, pa.float64()), "open": pa.array(np.full(len(i), not whole))})
+
+    best = materialize(blocks.groupBy(doc, "_pb", "_gb").applyInArrow(contained, found), "soft-best")
+    settled = best.filter(~F.col("open")).select(doc, "name", F.col("gname").alias("soft_name"))
+
+    # samples of several gold blocks: the best of all blocks, then rivals in every block
+    top = materialize(best.filter("open").groupBy(doc, "name").agg(
+        F.max_by(F.struct("gname", "gidx", "r"), F.struct(F.col("r"), -F.col("gidx"))).alias("b")).select(doc, "name", "b.*"), "soft-top")
+
+    def rivals(table):
+        import pyarrow as pa
+        mine, other = _sides(table, doc)
+        at = np.zeros(0, np.int64)
+        if mine.num_rows and other.num_rows:
+            p, g = Names(mine.column("name").to_pylist()), Names(other.column("name").to_pylist())
+            gidx = other.column("gidx").to_numpy()
+            bound, _ = bounds(p, g)
+            some = np.flatnonzero(mine.column("r").is_valid().to_numpy())
+            r, place = (mine.column(c).take(pa.array(some)).to_numpy() for c in ("r", "place"))
+            at = some[have_rivals(p, g, gidx, bound, some, r, place)]
+        rows = mine.take(pa.array(at, pa.int64()))
+        return pa.table({doc: rows.column(doc), "name": rows.column("name")})
+
+    again = blocks.filter(F.col("_mb") > 1).join(
+        top.select(doc, "name", "r", F.col("gidx").alias("place")), [doc, "name"], "left").filter(F.col("gidx").isNotNull() | F.col("r").isNotNull())
+    beaten = again.groupBy(doc, "_pb", "_gb").applyInArrow(rivals, f"`{doc}` {kind}, name string").distinct()
+    left = top.join(beaten, [doc, "name"], "left_anti").select(doc, "name", F.col("gname").alias("soft_name"))
+    return settled.unionByName(left)

@@ -10,9 +10,11 @@ from promptloom.functions.columns import md5_rank_key
 from promptloom.functions.columns import expand_rows
 from promptloom.operators.joins import join_small
 from promptloom.operators.order import first_last_split, with_global_index
+from promptloom.operators.quota import least_of_strata, quotas
 from promptloom.operators.prep import append_instruction, drop_empty_answers, fill_template
 from promptloom.plans.registry import register
 from promptloom.plans.sqlutil import NL, lit, values
+from promptloom.session import materialize
 from promptloom.sources.tables import table
 
 FIRST_FRACTION, LAST_FRACTION = 0.8, 0.3   # overlapping first-N / last-N split
@@ -182,14 +184,43 @@ def q13(spark, sf_dir):
     has at most SHOTS rows per language and is joined by ``join_small``.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source")
+    docs = docs.withColumn("lang", F.coalesce("lang", F.lit("")))  # rows without a language share examples
     j = join_small(docs, few_shot_examples(docs), ["lang"])
     prompt = F.concat(F.col("examples"), F.lit(f"\n\nExample {SHOTS + 1}:\n"), F.col("text"), F.lit("\n输出："))
     return j.select("doc_id", prompt.alias("prompt"))
 
 
 register("q13_few_shot", oracle=f"""
-WITH s AS (SELECT lang, doc_id, text, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, text, source FROM documents),
+s AS (SELECT lang, doc_id, text, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM d),
 e AS (SELECT lang, string_agg('Example ' || rn || ':' || {NL} || text || {NL} || '输出：' || source, {NL} || {NL} ORDER BY rn) AS examples
       FROM s WHERE rn <= {SHOTS} GROUP BY lang)
 SELECT d.doc_id, e.examples || {NL} || {NL} || 'Example {SHOTS + 1}:' || {NL} || d.text || {NL} || '输出：' AS prompt
-FROM documents d JOIN e USING (lang)""")(q13)
+FROM d JOIN e USING (lang)""")(q13)
+
+
+# Weights of the mix by language; any other language, or none, weighs 1.
+MIX_WEIGHTS = {"en": 5.0, "de": 2.5, "fr": 1.5}
+MIX_FRACTION, MIX_SEED = 0.35, 7
+
+
+def q64(spark, sf_dir):
+    """P20 weighted mix: 35 % of the documents, by language in proportion to weights,
+    exact quotas, the rows of least md5 of each language (no sort of the table)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"))
+    rows = docs.withColumn("digest", md5_rank_key(F.col("doc_id"), MIX_SEED))
+    sizes = materialize(rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")))
+    total = int((sizes.agg(F.sum("n")).first()[0] or 0) * MIX_FRACTION)
+    quota = materialize(quotas(sizes, total, MIX_WEIGHTS))
+    picked = least_of_strata(rows, quota.select("stratum", "quota"), "digest", "doc_id")
+    return join_small(picked, quota, ["stratum"]).select("doc_id", F.col("stratum").alias("lang"), "quota")
+
+
+register("q64_weighted_mix", oracle=f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, md5(CAST(doc_id AS VARCHAR) || '-{MIX_SEED}') AS h FROM documents),
+s AS (SELECT lang, count(*) AS n, CASE lang {" ".join(f"WHEN {lit(k)} THEN {w}" for k, w in MIX_WEIGHTS.items())} ELSE 1.0 END::DOUBLE AS w FROM d GROUP BY lang),
+t AS (SELECT CAST(floor(count(*) * {MIX_FRACTION}::DOUBLE) AS BIGINT) AS total FROM d),
+x AS (SELECT lang, n, total, total::DOUBLE * w / sum(w) OVER () AS x FROM s, t),
+q AS (SELECT lang, n, floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, lang) <= total - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS q FROM x),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS rn FROM d)
+SELECT doc_id, lang, CAST(least(q, n) AS BIGINT) AS quota FROM r JOIN q USING (lang) WHERE rn <= least(q, n)""")(q64)

@@ -6,7 +6,8 @@ heuristic list-per-line output.  The prediction follows event_id % 6: 0 exact,
 1 a repeated tuple, 2 a near-miss trigger (+'s'; in the json design it begins
 with '['), 3 empty output, 4 a missing tuple (in the heuristic design the other
 one has a third item), 5 an extra tuple (malformed in the json design, an unknown id in the
-numerical design).  Predictions are rendered in five designs and parsed back.
+numerical design).  In the json design kind 4 has a further line that is a format
+error or a list of triggers.  Predictions are rendered in five designs and parsed back.
 """
 
 from __future__ import annotations
@@ -41,8 +42,13 @@ def _tuples(spark, sf_dir):
     return ev.select("event_id", F.array(t1, t2).alias("gold_t"), pred.alias("pred_t"))
 
 
-def _render(arr, fmt, kind=None):
-    """``kind`` (event_id % 6) adds the faults that only one design shows."""
+#: Further lines of the json design: nothing, triggers that are no text, more after the object, a list.
+ODD_LINES = ["", '5}', 'true}', '"b"} tail}', '["p", "q"]}']
+
+
+def _render(arr, fmt, kind=None, odd=None):
+    """``kind`` (event_id % 6) adds the faults that only one design shows, ``odd`` the
+    json design's further line."""
     kind = F.lit(0) if kind is None else kind
     if fmt == "ou":
         return F.array_join(F.transform(arr, lambda x: F.concat(x["t"], F.lit(":"), x["g"])), ";")
@@ -54,10 +60,13 @@ def _render(arr, fmt, kind=None):
     if fmt == "lines":
         return F.array_join(F.transform(arr, lambda x: F.concat(x["t"], F.lit(": "), x["g"])), "\n")
     if fmt == "json":
-        return F.array_join(F.transform(arr, lambda x: F.concat(
+        line = F.lit("")
+        for i, x in enumerate(ODD_LINES[1:], 1):
+            line = F.when((kind == 4) & (odd == i), F.concat(F.lit('\n{"event_type": "Attack", "trigger word": '), F.lit(x))).otherwise(line)
+        return F.concat(F.array_join(F.transform(arr, lambda x: F.concat(
             F.lit('{"event_type": "'), x["t"], F.lit('", "trigger word": "'),
             F.when((kind == 2) & x["g"].endswith("s"), F.lit("[")).otherwise(F.lit("")), x["g"],
-            F.when(x["broken"], F.lit('"')).otherwise(F.lit('"}')))), "\n")
+            F.when(x["broken"], F.lit('"')).otherwise(F.lit('"}')))), "\n"), line)
     raise ValueError(fmt)
 
 
@@ -69,7 +78,7 @@ def parsed_events(spark, sf_dir):
     for f in FORMATS:
         x = t.select(F.lit(f).alias("format"), "event_id",
                      _render(F.col("gold_t"), "heuristic").alias("output"),
-                     _render(F.col("pred_t"), f, F.col("event_id") % 6).alias("prediction"))
+                     _render(F.col("pred_t"), f, F.col("event_id") % 6, F.floor(F.col("event_id") / 6) % len(ODD_LINES)).alias("prediction"))
         x = x.select("format", "event_id", parse_heuristic(F.col("output"), strip_items=False).alias("gold"),
                      parse_events(F.col("prediction"), f).alias("p"))
         out = x if out is None else out.unionByName(x)
@@ -98,7 +107,7 @@ def q35(spark, sf_dir):
     flags = p.groupBy("format").agg(F.count(F.lit(1)).alias("n_samples"),
                                     F.sum("p.format_error").cast("long").alias("n_format_error"),
                                     F.sum("p.empty").cast("long").alias("n_empty"))
-    j = flags.join(out, "format")
+    j = flags.join(out, "format", "left").fillna(0, ["tp", "fp", "fn"])
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
@@ -120,8 +129,10 @@ fm AS (SELECT * FROM (VALUES {", ".join(f"('{f}')" for f in FORMATS)}) f(format)
 pe AS (
   SELECT fm.format, tt.event_id, [t1, t2] AS gold,
     CASE event_id % 6 WHEN 0 THEN [t1, t2] WHEN 1 THEN [t1, t1, t2] WHEN 2 THEN CASE WHEN format = 'json' THEN [{{'t': nr.t, 'g': '[' || nr.g}}, t2] ELSE [nr, t2] END WHEN 3 THEN []
-         WHEN 4 THEN CASE WHEN format = 'heuristic' THEN [{{'t': t1.t, 'g': chr(31) || t1.g || chr(31) || 'raid'}}] ELSE [t1] END ELSE CASE WHEN format IN ('json', 'numerical') THEN [t1, t2] ELSE [t1, t2, ex] END END AS pred,
-    CASE WHEN event_id % 6 = 3 THEN 1 WHEN event_id % 6 = 5 AND format IN ('json', 'numerical') THEN 1 ELSE 0 END AS format_error,
+         WHEN 4 THEN CASE WHEN format = 'heuristic' THEN [{{'t': t1.t, 'g': chr(31) || t1.g || chr(31) || 'raid'}}]
+              WHEN format = 'json' AND (event_id // 6) % 5 = 4 THEN [t1, {{'t': 'attack', 'g': 'p'}}, {{'t': 'attack', 'g': 'q'}}] ELSE [t1] END ELSE CASE WHEN format IN ('json', 'numerical') THEN [t1, t2] ELSE [t1, t2, ex] END END AS pred,
+    CASE WHEN event_id % 6 = 3 THEN 1 WHEN event_id % 6 = 5 AND format IN ('json', 'numerical') THEN 1
+         WHEN event_id % 6 = 4 AND format = 'json' AND (event_id // 6) % 5 IN (1, 2, 3) THEN 1 ELSE 0 END AS format_error,
     CASE WHEN event_id % 6 = 3 THEN 1 ELSE 0 END AS empty
   FROM tt, fm)"""
 

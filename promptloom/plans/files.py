@@ -14,7 +14,7 @@ from promptloom.plans.derive import gp_entities
 from promptloom.plans.events_eval import q35
 from promptloom.plans.ner_eval import STRICT_BOUNDARIES
 from promptloom.plans.registry import ORACLES, register
-from promptloom.plans.softmatch import soft_ner_entities
+from promptloom.plans.softmatch import SCORE_TABLE_SQL, entity_counts, ner_scores, soft_counts
 from promptloom.sources import io
 from promptloom.sources.tables import table
 from promptloom.streaming.jobs import scratch
@@ -50,15 +50,11 @@ UNION ALL {_long('ac', 'aspects', 'mode', 'aspect', ['correct', 'incorrect', 'ac
 UNION ALL {_long('kp', 'aspects', 'mode', 'aspect', ['kappa'])}""")(q49)
 
 
-def ner_scores(spark, sf_dir):
+def score_table(spark, sf_dir):
     """A2: tp / fp / fn and P/R/F1 for {strict, boundaries} x {hard, soft}."""
-    hard = casefold(gp_entities(spark, sf_dir))
-    out = None
-    for mode, ents in (("hard", hard), ("soft", soft_ner_entities(spark, sf_dir))):
-        part = micro_prf(multiset_outcome(key_counts(ents, "doc_id", STRICT_BOUNDARIES)), ["match"])
-        part = part.select(F.lit(mode).alias("mode"), *part.columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+    counts = entity_counts(spark, sf_dir)
+    parts = [ner_scores(c).withColumn("mode", F.lit(mode)) for mode, c in (("hard", counts), ("soft", soft_counts(counts)))]
+    return parts[0].unionByName(parts[1])
 
 
 def chosen_f1(scores, mode: str, match: str):
@@ -67,11 +63,11 @@ def chosen_f1(scores, mode: str, match: str):
 
 
 def q50(spark, sf_dir):
-    """A2 in one table; its soft half has no SQL form (difflib), see tests."""
-    return ner_scores(spark, sf_dir)
+    """A2 in one table."""
+    return score_table(spark, sf_dir)
 
 
-register("q50_ner_score_table")(q50)
+register("q50_ner_score_table", oracle=SCORE_TABLE_SQL)(q50)
 
 
 def q51(spark, sf_dir):
@@ -92,11 +88,11 @@ def q52(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("text").alias("prompt"), F.col("doc_id").cast("string").alias("target"))
     io.write_jsonl(docs, path)
     back = io.read_jsonl(spark, path)
-    head = io.read_jsonl(spark, path, first_n=FIRST_LINES)
+    head = io.first_lines(back, FIRST_LINES).agg(F.count("*").alias("n_head"))
     lines = back.agg(F.count("*").alias("n_lines"), F.count_distinct("line_no").alias("n_numbers"),
                      F.min("line_no").alias("low"), F.max("line_no").alias("high"))
     return (back.select(F.col("target").cast("long").alias("doc_id"), F.md5("prompt").alias("text_md5"))
-            .crossJoin(F.broadcast(lines)).crossJoin(F.broadcast(head.agg(F.count("*").alias("n_head")))))  # one-row frames
+            .crossJoin(F.broadcast(lines)).crossJoin(F.broadcast(head)))  # one-row frames
 
 
 register("q52_jsonl_lines", oracle=f"""
@@ -139,21 +135,22 @@ FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w FROM documents)""")
 
 
 def q55(spark, sf_dir):
-    """Wrong-format rows as a side file, metric records appended
-    in two runs, rows in folders by source, and a pair table; each is counted
-    from what was read back."""
+    """Wrong-format rows as a side file, metric records of two runs
+    of which one is repeated, rows in folders by source, and a pair table; each is
+    counted from what was read back."""
     base = scratch(spark, "sinks")
     docs = table(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 9 == 0, "split_error").otherwise("")
     io.write_wrong_format(docs.select("doc_id", kind.alias("error_type"), "text"), f"{base}/wrong")
     per = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    for run in ("a", "b"):
-        io.append_metrics(per.select(F.lit(run).alias("run"), "lang", "n"), f"{base}/metrics")
+    for run in ("a", "b", "a"):
+        io.append_metrics(per.select(F.lit(run).alias("run"), "lang", "n"), f"{base}/metrics", ["run", "lang"])
     io.write_partitioned(docs.select("doc_id", "source", "lang"), f"{base}/folders", ["source"])
     docs.select(F.col("text").alias("content"), F.col("lang").alias("msg")).write.parquet(f"{base}/pairs")
     read = spark.read.json
     parts = [read(f"{base}/wrong").select(F.lit("wrong_format").alias("sink"), F.col("error_type").alias("key")),
-             read(f"{base}/metrics").select(F.lit("metrics"), F.concat_ws("|", "run", "lang", "n")),
+             io.read_metrics(spark, f"{base}/metrics", "run string, lang string, n long").select(
+                 F.lit("metrics"), F.concat_ws("|", "run", "lang", "n")),
              read(f"{base}/folders").select(F.lit("folders"), F.concat_ws("|", "source", "lang")),
              io.read_pairs(spark, f"{base}/pairs").select(F.lit("pairs"), F.concat_ws("|", "msg", F.md5("content")))]
     out = parts[0]
@@ -196,8 +193,37 @@ UNION ALL SELECT DISTINCT 'type', p_type, lower(p_type) || '|' || substr(p_type,
 
 
 def q57(spark, sf_dir):
-    """The first FIRST_LINES documents in id order."""
+    """The first FIRST_LINES documents in id order (a top-n, no sort of the table)."""
     return first_n(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], FIRST_LINES)
 
 
 register("q57_first_n", oracle=f"SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT {FIRST_LINES}")(q57)
+
+
+#: Lines that q62 spoils, by doc_id: cut off, or without a target.
+CUT_EVERY, KEYLESS_EVERY = 17, 19
+
+
+def q62(spark, sf_dir):
+    """Documents as JSON lines, some cut off and some without a target; the good
+    ones are read, the bad ones found in the side table with their reason and place."""
+    base = scratch(spark, "quarantine")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    head = F.concat(F.lit('{"prompt": "'), F.col("doc_id").cast("string"))
+    line = (F.when(F.col("doc_id") % CUT_EVERY == 0, head).when(F.col("doc_id") % KEYLESS_EVERY == 0, F.concat(head, F.lit('"}')))
+            .otherwise(F.concat(head, F.lit('", "target": "'), "h", F.lit('"}'))))
+    docs.select(line.alias("value")).write.text(f"{base}/lines")
+    good = io.read_jsonl_quarantined(spark, f"{base}/lines", f"{base}/bad", max_bad_share=0.5)
+    bad = spark.read.parquet(f"{base}/bad")
+    every = good.select("line_no").unionByName(bad.select("line_no")).agg(
+        F.count_distinct("line_no").alias("n_numbers"), (F.max("line_no") + 1).alias("n_lines"))
+    rows = good.select(F.col("prompt").cast("long").alias("doc_id"), F.col("target").alias("h"), F.lit("").alias("reason"))
+    rows = rows.unionByName(bad.select(F.regexp_extract("line", "[0-9]+", 0).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("h"), "reason"))
+    return rows.crossJoin(F.broadcast(every))  # one-row frame
+
+
+register("q62_quarantine", oracle=f"""
+WITH d AS (SELECT doc_id, md5(text) AS h, CASE WHEN doc_id % {CUT_EVERY} = 0 THEN 'malformed' WHEN doc_id % {KEYLESS_EVERY} = 0 THEN 'missing key'
+                  ELSE '' END AS reason FROM documents)
+SELECT doc_id, CASE WHEN reason = '' THEN h END AS h, reason, n AS n_numbers, n AS n_lines
+FROM d, (SELECT count(*) AS n FROM documents)""")(q62)

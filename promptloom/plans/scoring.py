@@ -138,7 +138,7 @@ def q42(spark, sf_dir):
     word) are combined map-side before the join with corpus counts."""
     docs = table(spark, sf_dir, "documents")
     words = docs.select("doc_id", F.explode(F.split("text", r"\s+")).alias("word")).filter(F.col("word") != "")
-    dw = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
+    dw = materialize(words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c")))  # read three times
     cw = dw.groupBy("word").agg(F.sum("c").alias("cw"))
     total = cw.agg(F.sum("cw").alias("N"))
     # a frequent word has a row for nearly every document: the join broadcasts or salts

@@ -1,38 +1,50 @@
 """Soft-match queries (q36 NER, q37 events).  The similarity is Python's
-difflib ratio.  q37's oracle computes it in SQL by recursion on the longest
-common block; the name pairs of q36 are too many for that, so tests compare q36
-with a direct Python evaluation of its rule."""
+difflib ratio.  The oracles compute it in SQL by recursion on the longest
+common block: q37's for all pairs of a sample, q36's for the distinct pairs whose
+lengths and character counts leave a chance to beat a containing name."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from promptloom.functions.similarity import soften_triggers_udf
-from promptloom.operators.match import casefold, key_counts, multiset_outcome
+from promptloom.operators.match import casefold, multiset_outcome, sum_counts
 from promptloom.operators.metrics import micro_prf
-from promptloom.operators.soft_match import soft_names
-from promptloom.plans.derive import gp_entities
+from promptloom.operators.soft_match import changed_names
+from promptloom.plans.derive import gp_entities, gp_sql
 from promptloom.plans.events_eval import EVENTS_SQL, parsed_events
 from promptloom.plans.ner_eval import STRICT_BOUNDARIES, _prf_sql
 from promptloom.plans.registry import register
 from promptloom.session import materialize
 
 
-def soft_ner_entities(spark, sf_dir):
-    ents = materialize(casefold(gp_entities(spark, sf_dir)))
-    gold = ents.filter(F.col("side") == "gold").select("doc_id", F.col("pos").alias("gidx"), F.col("e_name").alias("name"))
-    pred = ents.filter(F.col("side") == "pred").select("doc_id", F.col("e_name").alias("name"))
-    mapping = soft_names(gold, pred, "doc_id")
-    p = (ents.filter(F.col("side") == "pred").join(mapping.withColumnRenamed("name", "e_name"), ["doc_id", "e_name"])
-         .withColumn("e_name", F.col("soft_name")).drop("soft_name"))
-    return ents.filter(F.col("side") == "gold").unionByName(p)
+def entity_counts(spark, sf_dir):
+    """GP as (doc_id, e_type, e_name) with the multiplicities of both sides and the
+    name's first place among the gold entities."""
+    gold = F.col("side") == "gold"
+    return materialize(casefold(gp_entities(spark, sf_dir)).groupBy("doc_id", "e_type", "e_name").agg(
+        F.count_if(gold).alias("n_gold"), F.count_if(~gold).alias("n_pred"), F.min(F.when(gold, F.col("pos"))).alias("gidx")))
+
+
+def soft_counts(counts):
+    """``counts`` with predicted names softened (M4)."""
+    pred, gold = counts.filter("n_pred > 0"), counts.filter("n_gold > 0")
+    changed = changed_names(gold.select("doc_id", "gidx", F.col("e_name").alias("name")),
+                            pred.select("doc_id", F.col("e_name").alias("name")), "doc_id")
+    p = pred.join(changed.withColumnRenamed("name", "e_name"), ["doc_id", "e_name"], "left")
+    return gold.select("doc_id", "e_type", "e_name", "n_gold", F.lit(0).cast("long").alias("n_pred")).unionByName(
+        p.select("doc_id", "e_type", F.coalesce("soft_name", "e_name").alias("e_name"), F.lit(0).cast("long").alias("n_gold"), "n_pred"))
+
+
+def ner_scores(counts):
+    """Strict and boundaries micro P/R/F1 of multiplicities."""
+    return micro_prf(multiset_outcome(sum_counts(counts, "doc_id", STRICT_BOUNDARIES)), ["match"])
 
 
 def q36(spark, sf_dir):
     """M4 + A2 (soft half): strict and boundaries micro P/R/F1 after soft
     replacement of predicted names."""
-    ents = soft_ner_entities(spark, sf_dir)
-    return micro_prf(multiset_outcome(key_counts(ents, "doc_id", STRICT_BOUNDARIES)), ["match"])
+    return ner_scores(soft_counts(entity_counts(spark, sf_dir)))
 
 
 def q37(spark, sf_dir):
@@ -52,7 +64,6 @@ def q37(spark, sf_dir):
     return micro_prf(per, ["format"], scale=7)
 
 
-register("q36_soft_match_ner")(q36)
 # The longest common block of p[alo:ahi] and g[blo:bhi], the first in p and then in g of equals.
 _BLOCK = """list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: struct_pack(
   k := coalesce(list_max(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda k: substr(p, i, k) = substr(g, j, k))), 0),
@@ -73,6 +84,44 @@ blocks AS (
 ratios AS (SELECT pr.p, pr.g, CASE WHEN pr.p = pr.g THEN 1.0 ELSE 2.0 * coalesce(sum(b.m.k), 0) / (length(pr.p) + length(pr.g)) END AS r
            FROM pr LEFT JOIN blocks b ON b.p = pr.p AND b.g = pr.g GROUP BY pr.p, pr.g)"""
 
+_SOFT_SQL = "WITH RECURSIVE " + gp_sql() + f""",
+e AS (SELECT doc_id, side, pos, lower(e_type) AS t, e_name AS n FROM ents),
+g AS (SELECT doc_id, n AS g, min(pos) AS gi FROM e WHERE side = 'gold' GROUP BY ALL),
+rest AS (SELECT DISTINCT doc_id, n AS p FROM e WHERE side = 'pred' AND (doc_id, n) NOT IN (SELECT doc_id, g FROM g)),
+best AS (  -- the best containing name and its ratio
+  SELECT doc_id, p, arg_max(struct_pack(g := g, gi := gi, rc := rc), struct_pack(rc := rc, n := -gi)) AS b
+  FROM (SELECT doc_id, p, g, gi, 2::DOUBLE * least(length(p), length(g)) / (length(p) + length(g)) AS rc FROM rest JOIN g USING (doc_id)
+        WHERE 3 * least(length(p), length(g)) > greatest(length(p), length(g)) AND (contains(p, g) OR contains(g, p))) GROUP BY doc_id, p),
+nm AS (SELECT p AS n FROM rest UNION SELECT g FROM g),
+tk AS (  -- characters numbered by occurrence
+  SELECT n, list_transform(range(1, length(n) + 1), lambda i: substr(n, i, 1) || (i - length(replace(substr(n, 1, i), substr(n, i, 1), '')))::VARCHAR) AS k FROM nm),
+near AS (
+  SELECT best.doc_id, best.p, g.g, g.gi, best.b.rc AS rc, best.b.gi AS bgi FROM best JOIN g USING (doc_id)
+  WHERE 2::DOUBLE * least(length(p), length(g.g)) / (length(p) + length(g.g)) >= best.b.rc AND NOT contains(p, g.g) AND NOT contains(g.g, p)),
+rival AS (
+  SELECT * FROM (SELECT near.*, 2::DOUBLE * len(list_intersect(x.k, y.k)) / (length(p) + length(g)) AS q FROM near JOIN tk x ON x.n = p JOIN tk y ON y.n = g)
+  WHERE q > rc OR (q = rc AND gi < bgi)),
+pr AS (SELECT DISTINCT p, g FROM rival),{RATIO_SQL},
+beaten AS (SELECT DISTINCT doc_id, p FROM rival JOIN ratios USING (p, g) WHERE r > rc OR (r = rc AND gi < bgi)),
+soft AS (SELECT doc_id, p, b.g AS s FROM best WHERE (doc_id, p) NOT IN (SELECT doc_id, p FROM beaten)),
+hard_pairs AS (SELECT doc_id, t, n, side = 'gold' AS is_gold FROM e),
+soft_pairs AS (SELECT e.doc_id, t, CASE WHEN side = 'pred' THEN coalesce(s, n) ELSE n END AS n, side = 'gold' AS is_gold
+               FROM e LEFT JOIN soft ON soft.doc_id = e.doc_id AND soft.p = e.n),"""
+
+
+def _scores_sql(pairs: str) -> str:
+    return f"""SELECT match, {_prf_sql()} FROM (
+  SELECT match, CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(p - least(g, p)) AS BIGINT) AS fp, CAST(sum(g - least(g, p)) AS BIGINT) AS fn
+  FROM (SELECT 'strict' AS match, count(*) FILTER (WHERE is_gold) AS g, count(*) FILTER (WHERE NOT is_gold) AS p FROM {pairs} GROUP BY doc_id, t, n
+        UNION ALL SELECT 'boundaries', count(*) FILTER (WHERE is_gold), count(*) FILTER (WHERE NOT is_gold) FROM {pairs} GROUP BY doc_id, n)
+  GROUP BY match)"""
+
+
+register("q36_soft_match_ner", oracle=_SOFT_SQL + f" q AS ({_scores_sql('soft_pairs')}) SELECT * FROM q")(q36)
+
+SCORE_TABLE_SQL = _SOFT_SQL + f""" q AS (SELECT 'hard' AS mode, * FROM ({_scores_sql('hard_pairs')})
+  UNION ALL SELECT 'soft', * FROM ({_scores_sql('soft_pairs')})) SELECT * FROM q"""
+
 register("q37_soft_match_event", oracle=f"""WITH RECURSIVE {EVENTS_SQL},
 u AS (SELECT format, event_id, gold, unnest(list_distinct(pred)) AS x FROM pe),
 ug AS (SELECT *, generate_subscripts(gold, 1) AS at, unnest(gold) AS t FROM u),

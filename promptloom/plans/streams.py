@@ -42,27 +42,35 @@ SELECT source AS target, count(*) AS n_rows,
 FROM documents GROUP BY source""")(q44)
 
 
+WINDOW_HOURS, SLIDE_HOURS = 24, 6
+
+
 def q45(spark, sf_dir):
-    """Events stream in event-time order through a 1-day tumbling window
-    with a 1-hour watermark: all but the last day, then the last day, then late
-    copies of older rows, which the watermark drops.  The job is stopped and
-    resumed from its checkpoint between the arrivals.  Event times are wall-clock
+    """Events stream in event-time order through 1-day windows that begin every 6
+    hours, with a 1-hour watermark: all but the last day; then the last day, and again
+    the rows of the half hour before it (inside the watermark: told by their key); then
+    copies of older rows, which the watermark drops.  The job is stopped and resumed
+    from its checkpoint between the arrivals.  Event times are wall-clock
     (timestamp_ntz) values read as UTC."""
     ev = table(spark, sf_dir, "events").select(utc_timestamp(F.col("ts")).alias("ts"), "event_id", "event_type", "value", "props")
     last_day = F.timestamp_seconds(F.floor(F.unix_seconds(ev.agg(F.max("ts").alias("m")).select("m").scalar()) / 86400) * 86400)
     src, base, n = scratch(spark, "events"), scratch(spark, "win-stream"), _files(spark)
-    arrivals = [ev.filter(F.col("ts") < last_day), ev.filter(F.col("ts") >= last_day),
+    before = F.col("ts") < last_day
+    again = before & (F.col("ts") >= last_day - F.expr("INTERVAL 30 MINUTES"))
+    arrivals = [ev.filter(before), ev.filter(~before).unionByName(ev.filter(again)),
                 ev.filter((F.col("ts") < last_day - F.expr("INTERVAL 1 DAY")) & (F.col("event_id") % 50 == 0))]
     for rows in arrivals:
-        rows.drop("event_id").repartitionByRange(n, "ts").write.mode("append").parquet(src)
-        res = windowed_monitor(spark, src, "ts timestamp, event_type string, value double, props string",
-                               "ts", "event_type", "value", "props", max_files=n, base=base)
+        rows.repartitionByRange(n, "ts").write.mode("append").parquet(src)
+        res = windowed_monitor(spark, src, "ts timestamp, event_id long, event_type string, value double, props string",
+                               "ts", "event_type", "value", "props", f"{WINDOW_HOURS} hours", max_files=n, base=base,
+                               slide=f"{SLIDE_HOURS} hours", key="event_id")
     return res.select("window_start", "event_type",
-                      F.col("n").cast("long").alias("n"), F.round("mean_value", 6).alias("mean_value"),
-                      F.round("mean_len", 6).alias("mean_len"))
+                      F.col("n").cast("long").alias("n"), F.round("mean_value", 9).alias("mean_value"),
+                      F.round("mean_len", 9).alias("mean_len"))
 
 
-register("q45_stream_window", oracle="""
-SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, event_type, count(*) AS n,
-       round(avg(value), 6) AS mean_value, round(avg(length(props)), 6) AS mean_len
-FROM events GROUP BY ALL""")(q45)
+register("q45_stream_window", oracle=f"""
+WITH w AS (SELECT *, unnest(range({WINDOW_HOURS // SLIDE_HOURS})) AS back FROM events)
+SELECT strftime(time_bucket(INTERVAL {SLIDE_HOURS} HOUR, ts, TIMESTAMP '1970-01-01') - back * INTERVAL {SLIDE_HOURS} HOUR, '%Y-%m-%d %H:%M:%S') AS window_start,
+       event_type, count(*) AS n, round(avg(value), 9) AS mean_value, round(avg(length(props)), 9) AS mean_len
+FROM w GROUP BY ALL""")(q45)

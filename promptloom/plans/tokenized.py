@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from promptloom.operators.order import batch_ids
 from promptloom.operators.tokens import (
     attention_mask, build_vocab, causal_lm_features, encode_fields, ids_md5, last_non_pad, left_pad,
-    plain_labels, prompt_masked_labels, right_pad, words)
+    length_batches, padding, plain_labels, prompt_masked_labels, right_pad, words)
 from promptloom.functions.columns import ints_to_long
 from promptloom.plans.registry import register
 from promptloom.plans.sqlutil import NL
@@ -225,3 +225,30 @@ SELECT conv_id, batch_id, len(ids_j) AS len_j, len(ids_k) AS len_k, len(query) A
        md5(array_to_string(list_concat(ids_k, repeat([0], max_k - len(ids_k))), ',')) AS ids_k_md5,
        len(ids_j) AS mask_j
 FROM m""")(q17)
+
+
+WIDE_BATCH = 32
+
+
+def q63(spark, sf_dir):
+    """T8 T9 over the corpus: padding of every batch of documents (length in words), as the
+    documents come by id and sorted by length, with each order's share of padding."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n"))
+    docs = docs.withColumn("n", F.greatest("n", F.lit(0)))
+    out = None
+    for order in ("given", "length"):
+        per = padding(length_batches(docs, F.col("n"), ["doc_id"], WIDE_BATCH, order), F.col("n"))
+        cells = per.agg((F.sum("padding") / F.sum(F.col("width") * F.col("n_rows"))).alias("x"))
+        per = per.crossJoin(F.broadcast(cells)).select(F.lit(order).alias("order"), "batch_id", "n_rows", "width", "padding",
+                                                       F.round("x", 6).alias("padding_share"))  # one-row frame
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+register("q63_length_batches", oracle=f"""
+WITH d AS (SELECT doc_id, len({_WORDS.format(x="coalesce(text, '')")}) AS n FROM documents),
+o AS (SELECT 'given' AS ord, doc_id, n, (row_number() OVER (ORDER BY doc_id) - 1) // {WIDE_BATCH} AS batch_id FROM d
+      UNION ALL SELECT 'length', doc_id, n, (row_number() OVER (ORDER BY n DESC, doc_id) - 1) // {WIDE_BATCH} FROM d),
+b AS (SELECT ord, batch_id, count(*) AS n_rows, max(n) AS width, CAST(max(n) * count(*) - sum(n) AS BIGINT) AS padding FROM o GROUP BY ord, batch_id),
+t AS (SELECT ord, sum(padding) / sum(width * n_rows) AS x FROM b GROUP BY ord)
+SELECT ord AS "order", batch_id, n_rows, CAST(width AS BIGINT) AS width, padding, round(x, 6) AS padding_share FROM b JOIN t USING (ord)""")(q63)

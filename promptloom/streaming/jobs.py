@@ -62,9 +62,15 @@ def format_error_counts(spark: SparkSession, source_dir: str, max_files: int = 1
 
 def windowed_monitor(spark: SparkSession, source_dir: str, schema: str, ts: str, group: str, value: str,
                      response: str, window: str = "1 day", watermark: str = "1 hour",
-                     max_files: int = 1, base: str | None = None) -> DataFrame:
-    """Per tumbling event-time window and group: count, mean value and mean
-    response length, with an event-time watermark of ``watermark``.
+                     max_files: int = 1, base: str | None = None, slide: str | None = None,
+                     key: str | None = None) -> DataFrame:
+    """Per event-time window and group: count, mean value and mean response
+    length, with an event-time watermark of ``watermark``.  Windows tumble, or
+    begin every ``slide``.
+
+    With ``key`` a row that arrives again counts once: keys are kept in the stream's
+    state until the watermark has passed their time by its own delay, and what comes
+    later than that is behind the watermark itself.
 
     A micro-batch drops rows behind the watermark that the batches before its
     predecessor reached: a row that arrives directly after a jump in event time is
@@ -73,8 +79,10 @@ def windowed_monitor(spark: SparkSession, source_dir: str, schema: str, ts: str,
     same ``base`` resumes from its checkpoint, watermark included."""
     base = base or scratch(spark, "win-stream")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-    agg = (stream.withWatermark(ts, watermark)
-           .groupBy(F.window(ts, window).alias("w"), group)
+    stream = stream.withWatermark(ts, watermark)
+    if key is not None:
+        stream = stream.dropDuplicatesWithinWatermark([key])
+    agg = (stream.groupBy(F.window(ts, window, slide).alias("w"), group)
            .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"),
                 F.avg(F.length(response)).alias("mean_len")))
     agg = agg.select(utc_text(F.col("w.start")).alias("window_start"), group, "n",

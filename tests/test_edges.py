@@ -192,3 +192,17 @@ def test_json_names_escape_control_characters(spark):
     from promptloom.operators.designs import json_string
     text = 'a"b\\c\n\t\x01é'
     assert json.loads(spark.createDataFrame([(text,)], "t string").select(json_string(F.col("t")).alias("j")).first().j) == text
+
+
+def test_json_event_lines(spark):
+    """What is one object with a string or a list as trigger, and what is not."""
+    t = '{"event_type": "A", "trigger word": %s}'
+    cases = {
+        t % '"b, C "': ([("a", "b"), ("a", "c")], 0), t % '["b", "c"]': ([("a", "b"), ("a", "c")], 0), t % "[]": ([], 0),
+        t % "5": ([], 1), t % "true": ([], 1), t % '{"x": 1}': ([], 1), t % '"b"} tail}'[:-1]: ([], 1),
+        t % '"b"' + " tail": ([], 1), t % '"b"' + ", " + t % '"c"': ([], 1), '{"event_type": "A"}': ([], 1),
+        "{'event_type': 'A', 'trigger word': 'b'}": ([("a", "b")], 0), t % '"[b"': ([("a", "[b")], 0),
+        "  " + t % '"b"' + " ": ([("a", "b")], 0), t % '"b"' + "\n" + t % "7" + "\n" + t % '"c"': ([("a", "b"), ("a", "c")], 1)}
+    rows = spark.createDataFrame([(k,) for k in cases], "text string").select("text", parse_events.parse_events(F.col("text"), "json").alias("p"))
+    got = {r.text: ([(x.e_type, x.trigger) for x in r.p["items"]], r.p.format_error) for r in rows.collect()}
+    assert got == cases

@@ -5,6 +5,7 @@ import random
 import brute
 from conftest import SF001
 from promptloom.functions.similarity import soften
+from promptloom.operators import soft_match
 from promptloom.plans.events_eval import parsed_events
 from promptloom.plans.softmatch import q36, q37
 
@@ -15,6 +16,20 @@ def test_soft_ner_equals_bruteforce(spark):
     assert got == exp
 
 
+def test_one_sample_spreads_over_blocks(spark, monkeypatch):
+    """Blocks of a long sample give what the rule gives, ties and long names included."""
+    monkeypatch.setattr(soft_match, "PRED_BLOCK", 16)
+    monkeypatch.setattr(soft_match, "GOLD_BLOCK", 12)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.randint(1, 7)))
+    samples = {1: ([word() for _ in range(90)], [word() for _ in range(120)]), 2: ([word()], [word() for _ in range(3)]),
+               3: ([], ["abc"]), 4: (["abc"], []), 5: (["x" * 150 + "yz" * 60, "x" * 150 + "yz" * 59], ["x" * 150 + "yz" * 55, "yz" * 60, "zy"])}
+    gold = spark.createDataFrame([(d, k, n) for d, (g, _) in samples.items() for k, n in enumerate(g)], "doc long, gidx int, name string")
+    pred = spark.createDataFrame([(d, n) for d, (_, p) in samples.items() for n in p], "doc long, name string")
+    got = {(x.doc, x.name): x.soft_name for x in soft_match.soft_names(gold, pred, "doc").collect()}
+    assert got == {(d, n): brute.soft_choice(n, g) for d, (g, p) in samples.items() for n in p}
+
+
 def test_soften_equals_its_rule():
     r = random.Random(5)
     for _ in range(300):
