@@ -39,6 +39,9 @@ from promptloom.llm.common import PerWorker, WordIndex, pack, parallelism, ragge
 CACHE_WORDS, CACHE_PIECES = 300_000, 600_000
 BATCH_BYTES = 4 << 20
 JOINED = 256
+#: Bytes of words that are one pre-token, as they come and in lower case: letters of ASCII
+#: and precomposed Latin ones (C3 and what may follow it but for the two signs between).
+LETTERS = bytes([*range(65, 91), *range(97, 123), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))])
 #: Closing punctuation; none of these begins a contraction.
 CLOSING = b".,;:!?"
 FILE_IDS = 1 << 19
@@ -134,6 +137,10 @@ class WordEncoder:
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
         self.special = [s.encode() for s in special]
         self.divider = next(iter(special.items()), None)
+        end = getattr(self.library.model, "end_of_word_suffix", None)
+        # ids that end a pre-token; none where the vocabulary does not mark them
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if end and t.endswith(end)]] = True
         self.words = WordIndex(CACHE_WORDS, self.learn, self.reset)
         self.forget()
         self.reset()
@@ -150,6 +157,26 @@ class WordEncoder:
 
     def library_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and their numbers."""
+        plain = np.fromiter((not w.translate(None, LETTERS) for w in words), bool, len(words))
+        if not self.ends.any() or not plain.any():
+            return self.other_ids(words)
+        # many words in one call: each is one pre-token, whose last id is marked
+        these = [w for w, p in zip(words, plain) if p]
+        calls = [b" ".join(these[i:i + JOINED]).decode() for i in range(0, len(these), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(calls, add_special_tokens=False)])
+        size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(size) != len(these):
+            return self.other_ids(words)
+        if plain.all():
+            return ids, size
+        more_ids, more_size = self.other_ids([w for w, p in zip(words, plain) if not p])
+        both, first, sizes = np.concatenate([ids, more_ids]), np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        sizes[plain], sizes[~plain] = size, more_size
+        first[plain], first[~plain] = np.cumsum(size) - size, len(ids) + np.cumsum(more_size) - more_size
+        return both[ragged(first, sizes)], sizes
+
+    def other_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """:func:`library_ids` of any words."""
         joined = b" ".join(words)
         if self.divider and not any(s in joined for s in self.special):
             # many words in one call, told apart by a special token that none of them holds
@@ -166,10 +193,13 @@ class WordEncoder:
     def learn(self, words: list[bytes]) -> None:
         """A word is one piece, or two: closing punctuation behind a letter or digit
         is a pre-token of its own.  The vocabulary lower-cases, so ASCII pieces are
-        met in lower case (others would compose differently, and ``<|`` may begin a
-        special string)."""
+        met in lower case, and so are those of precomposed Latin letters (others would
+        compose differently, and ``<|`` may begin a special string)."""
         pieces, parts = [], np.ones(len(words), np.int64)
         for i, w in enumerate(words):
+            if not w.translate(None, LETTERS):
+                pieces.append(w.lower())
+                continue
             core = w.rstrip(CLOSING)
             if b"<|" in w:
                 pieces.append(w)
@@ -178,7 +208,7 @@ class WordEncoder:
                 parts[i] = 2
             else:
                 core = w
-            pieces.append(core.lower() if core.isascii() else core)
+            pieces.append(core.lower() if core.isascii() or not core.translate(None, LETTERS) else core)
             if parts[i] == 2:
                 pieces.append(w[len(core):])
         new = list(dict.fromkeys(x for x in pieces if x not in self.known))
