@@ -594,12 +594,18 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, block: int = BLOC
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """One row of every component of ``docs``, with all its columns.  Rows are told
-    apart by the hash of their doc_id and text, so repeated ids do no harm."""
+    """One row of every component of ``docs``, with all its columns.
+
+    The join knows rows by a hash of doc_id and text, so repeated ids do no harm.  Of
+    rows with equal id and text the one of least hash over all columns stays; rows are
+    taken for equal by id and SHA-256 of the text, so two unlike rows whose 64-bit
+    hashes collide both stay rather than one of them being lost."""
     key = F.xxhash64("doc_id", "text")
     found = ngram_join(docs.select(key.alias("doc_id"), "text"), n, percent)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("row_key")).distinct()
     names = docs.columns
-    rows = docs.select(key.alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    return (rows.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"])
-            .select(*[F.col(f"row.`{c}`").alias(c) for c in names]))
+    every = [F.col(f"`{c}`") for c in names]
+    rows = docs.select(key.alias("row_key"), F.col("doc_id").alias("row_id"), F.sha2("text", 256).alias("row_text"),
+                       F.xxhash64(*every).alias("row_rank"), F.struct(*every).alias("row"))
+    one = rows.join(kept, "row_key", "left_semi").groupBy("row_key", "row_id", "row_text").agg(F.min_by("row", "row_rank").alias("row"))
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
