@@ -9,6 +9,12 @@ next one's docs.  All but the last return the columns of documents.
 3. decontaminate: rows with a benchmark passage go.
 4. mix: rows are taken, once or twice or not, towards the target words of their source.
 5. token_files: the mix is encoded, written as token files and read back.
+
+Defined cases: rows with a null or empty text, or one without a letter, go in stage 1; a
+null lang is no label, a null source a source of its own; null, repeated and tied ids are
+ordinary (rows equal in id and text count as copies, of which one stays); very long texts
+are whole in every stage; an empty table gives an empty result; all columns, also those
+whose names the stages use inside, are kept up to the last stage.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.session import checkpoint_dir
+from promptloom.session import scratch_path
 
 #: ``[\x20\x09-\x0D]``: the white space that separates words in all operators.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -1,4 +1,9 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, by alternating large and small stars.
+
+Defined cases: repeated and reversed links, and links of a node with itself, change
+nothing; nodes are not null; an empty table gives an empty result.  Nodes name rows, so
+the length of texts plays no part.
+"""
 
 from __future__ import annotations
 

@@ -22,7 +22,8 @@ over the documents, and the hit ranges of the blocks meet per document.
 Defined cases: null text has no words (0, 0, 0 items, not contaminated); null
 item ids are not reported but their windows hit; items without words match
 nothing; repeated items count once per distinct item_id; ties in rarity go by
-place; empty tables give no items or no rows; extra columns are ignored.
+place; empty tables give no items or no rows; extra columns are ignored.  A very long
+text is whole, and so is held by its task.
 """
 
 from __future__ import annotations

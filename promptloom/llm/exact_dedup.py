@@ -11,7 +11,8 @@ one task: a node gets at most ``fan_in`` rows per digest.
 
 Defined cases: null text is empty; equal texts tie by code points (more wins),
 then doc_id (a null doc_id last), then input position; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored; a very long text is hashed whole where it
+lies, only its digest moves.
 """
 
 from __future__ import annotations

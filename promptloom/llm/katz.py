@@ -26,7 +26,7 @@ count asks for, and the chunk adds up their terms.
 Defined cases: null or empty text is its end alone; null ids may score but not
 train; without training documents every token is unknown (probability 1); ties
 and repeated rows are ordinary; an empty table gives an empty result; extra
-columns are ignored.
+columns are ignored; a very long text is a chunk of its own and scored whole.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 characters outside the vocabulary are one unknown piece each; with no labelled
 row everything is ``und``; ties go to the first language by code point; ids may
 be null or repeated; an empty table gives an empty result; all other columns are
-carried along (``lang_pred`` and ``score`` of the input are replaced).
+carried along (``lang_pred`` and ``score`` of the input are replaced); very long texts
+are whole, very long words are scored position by position.
 """
 
 from __future__ import annotations

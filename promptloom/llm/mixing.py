@@ -24,7 +24,9 @@ root of a source's rows.
 Defined cases: null text has no words and is taken as an empty document; a null
 source is a source of its own; repeated rows are separate documents (which of
 two identical rows is taken is not told apart); an empty table gives an empty
-result; extra columns are ignored by ``plan_mix`` and kept by ``mix``.
+result; extra columns are ignored by ``plan_mix`` and kept by ``mix``; a very long text
+is one row of a large size, taken whole.  All sources meet in one row of totals, so
+their number must fit a row.
 """
 
 from __future__ import annotations

@@ -37,7 +37,8 @@ Defined cases: null or empty text, or no words: n_shingles 0, its own component;
 fewer words than n: the whole sequence is the one element; equal sets link;
 repeated rows and doc_ids are separate documents (component_id is the smallest
 doc_id; null ids count as larger than all others, and an all-null component has
-null); an empty table gives an empty result; extra columns are ignored.
+null); an empty table gives an empty result; extra columns are ignored; a very long
+text is a chunk of its own, held whole by its task.
 """
 
 from __future__ import annotations

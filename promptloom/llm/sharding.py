@@ -13,7 +13,8 @@ Built-in functions only.  Shard positions come from buckets inside the shard
 
 Defined cases: null text has crc32 0 and no bytes; null ids, ties and repeated
 rows are ordinary rows; fewer rows than shards leave shards empty; an empty
-table gives an empty result; all columns of the input are carried along.
+table gives an empty result; all columns of the input are carried along; a very long
+text is one row like any other (the law is ``rows``).
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ merged suffixes hold about n^2 / 2^65 false matches in all.
 Defined cases: null or empty text has 0 bytes and the digest of nothing; texts
 below ``width`` bytes are kept whole; matches never cross documents; repeated
 rows remove each other's bytes, the first one's too; ids may be null; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns are ignored.  A text is never split: its task holds some 40
+bytes for each byte of a very long one.
 """
 
 from __future__ import annotations
