@@ -47,3 +47,25 @@ def test_window_drops_late_rows(spark):
            windowed_monitor(spark, src, schema, "ts", "event_type", "value", "props").collect()}
     assert res["2024-01-01 00:00:00"] == (2, 2.0)
     assert res["2024-01-05 00:00:00"] == (2, 6.0)
+
+
+def test_repeated_rows_count_once_in_sliding_windows(spark):
+    import time
+    from promptloom.streaming.jobs import windowed_monitor
+    src = tempfile.mkdtemp(prefix="pl-ev-")
+    schema = "ts timestamp, k long, event_type string, value double, props string"
+
+    def put(rows):
+        df = spark.createDataFrame([(t, k, "a", v, "x") for t, k, v in rows], "ts string, k long, event_type string, value double, props string")
+        df.withColumn("ts", df.ts.cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+
+    put([("2024-01-01 10:00:00", 1, 1.0), ("2024-01-01 10:50:00", 2, 3.0), ("2024-01-01 10:50:00", 2, 3.0)])
+    put([("2024-01-01 11:10:00", 3, 5.0), ("2024-01-01 10:50:00", 2, 3.0)])  # again, inside the watermark
+    put([("2024-01-03 10:00:00", 4, 7.0)])
+    put([("2024-01-03 10:10:00", 5, 9.0)])
+    put([("2024-01-01 10:00:00", 1, 1.0), ("2024-01-01 10:05:00", 6, 50.0)])  # behind it: the copy and a new row
+    res = windowed_monitor(spark, src, schema, "ts", "event_type", "value", "props", "2 hours", slide="1 hour", key="k")
+    got = {r.window_start: (r.n, r.mean_value) for r in res.collect()}
+    assert got == {"2024-01-01 09:00:00": (2, 2.0), "2024-01-01 10:00:00": (3, 3.0), "2024-01-01 11:00:00": (1, 5.0),
+                   "2024-01-03 09:00:00": (2, 8.0), "2024-01-03 10:00:00": (2, 8.0)}
