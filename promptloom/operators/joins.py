@@ -26,7 +26,9 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     task).  Above the bound it is not broadcast: the small side is replicated
     ``salts`` times and the big side is spread over the salts by a hash of the
     whole row, so a key that holds a large share of ``big`` is split across
-    ``salts`` tasks instead of one.
+    ``salts`` tasks instead of one.  That join is a sort-merge join by hint: the
+    planner knows the small side by its compressed file, not by its replicated rows,
+    and would else send those through the driver.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
@@ -36,4 +38,4 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     salted_small = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("_salt"))
     # deterministic salt (a re-run task after an executor loss salts identically)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)))
-    return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
+    return salted_big.join(salted_small.hint("merge"), on + ["_salt"], how).drop("_salt")

@@ -42,3 +42,12 @@ def test_join_small_salted_path(spark):
     a = sorted(tuple(r) for r in join_small(big, small, ["k"], max_bytes=1).collect())
     b = sorted(tuple(r) for r in big.join(small, ["k"]).collect())
     assert a == b
+
+
+def test_join_small_never_broadcasts_the_replicated_side(spark):
+    big = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, s string")
+    df = join_small(big, small, ["k"], max_bytes=1)  # its file is far below the planner's own broadcast bound
+    assert len(df.collect()) == 1000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
