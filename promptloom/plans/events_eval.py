@@ -22,8 +22,11 @@ from promptloom.sources.tables import table
 
 
 def _tuples(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type",
-                                               F.get_json_object("props", "$.k").cast("int").alias("k"))
+    # parsing costs far more than reading, and the files of a narrow table are read by few
+    # tasks: events are dealt over the session's
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    ev = ev.select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     types = F.array(*[F.lit(t) for t in EVENT_TYPES])
     at = lambda i: F.element_at(types, (i % 10 + 1).cast("int"))
 

@@ -37,3 +37,8 @@ def test_nested_outcome_equals_grouping_sets(spark):
 
 def test_nested_outcome_without_rows(spark):
     assert nested_outcome(_entities(spark).limit(0), "doc", KEYS).collect() == []
+
+
+def test_events_are_dealt_before_they_are_parsed(spark):
+    from promptloom.plans.events_eval import _tuples
+    assert _tuples(spark, SF001).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
