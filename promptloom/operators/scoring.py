@@ -20,6 +20,10 @@ from promptloom.operators.order import with_global_index
 from promptloom.session import materialize
 
 
+#: Calls whose outputs a task holds before it hands them on.
+CALLS_OUT = 16
+
+
 def batch_predict(df: DataFrame, prompt_col: str, make_predict: Callable[[], Callable],
                   batch_size: int = 16, out_col: str = "prediction", error_col: str = "error") -> DataFrame:
     """Predictions for every row; ``make_predict()`` returns a
@@ -35,27 +39,29 @@ def batch_predict(df: DataFrame, prompt_col: str, make_predict: Callable[[], Cal
             return [out] if isinstance(out, str) else list(out)
 
         for pdf in batches:
-            preds, errs = [], []
-            prompts = pdf[prompt_col].tolist()
-            for s in range(0, len(prompts), batch_size):
-                chunk = prompts[s:s + batch_size]
-                try:
-                    res = call(chunk)
-                    if len(res) != len(chunk):
-                        raise ValueError("prediction count differs from prompt count")
-                    preds += res
-                    errs += [""] * len(chunk)
-                except Exception:  # noqa: BLE001 - isolate the failing rows
-                    for p in chunk:
-                        try:
-                            preds.append(call(p)[0])
-                            errs.append("")
-                        except Exception as e:  # noqa: BLE001
-                            preds.append("")
-                            errs.append(type(e).__name__)
-            pdf[out_col] = preds
-            pdf[error_col] = errs
-            yield pdf
+            for start in range(0, len(pdf), batch_size * CALLS_OUT):  # outputs leave a few calls at a time
+                some = pdf.iloc[start:start + batch_size * CALLS_OUT].copy()
+                preds, errs = [], []
+                prompts = some[prompt_col].tolist()
+                for s in range(0, len(prompts), batch_size):
+                    chunk = prompts[s:s + batch_size]
+                    try:
+                        res = call(chunk)
+                        if len(res) != len(chunk):
+                            raise ValueError("prediction count differs from prompt count")
+                        preds += res
+                        errs += [""] * len(chunk)
+                    except Exception:  # noqa: BLE001 - isolate the failing rows
+                        for p in chunk:
+                            try:
+                                preds.append(call(p)[0])
+                                errs.append("")
+                            except Exception as e:  # noqa: BLE001
+                                preds.append("")
+                                errs.append(type(e).__name__)
+                some[out_col] = preds
+                some[error_col] = errs
+                yield some
 
     return df.mapInPandas(run, schema)
 

@@ -42,3 +42,22 @@ def test_nested_outcome_without_rows(spark):
 def test_events_are_dealt_before_they_are_parsed(spark):
     from promptloom.plans.events_eval import _tuples
     assert _tuples(spark, SF001).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_batch_predict_hands_on_a_few_calls_at_a_time(spark):
+    from promptloom.operators.scoring import CALLS_OUT, batch_predict
+    n = 2 * CALLS_OUT * 2 + 1
+    df = spark.range(n, numPartitions=1).select("id", F.col("id").cast("string").alias("prompt"))
+    from promptloom.operators import scoring
+    sizes = []
+
+    class Frame:  # the function that runs on Arrow batches, taken as it is
+        schema = df.schema
+        sparkSession = spark
+
+        def mapInPandas(self, run, schema):
+            sizes.extend(len(x) for x in run([df.toPandas()]))
+
+    scoring.batch_predict(Frame(), "prompt", lambda: lambda p: p if isinstance(p, str) else list(p), batch_size=2)
+    assert sizes == [2 * CALLS_OUT, 2 * CALLS_OUT, 1]
+    assert batch_predict(df, "prompt", lambda: lambda p: p if isinstance(p, str) else list(p), batch_size=2).filter("prediction = prompt").count() == n
