@@ -65,18 +65,34 @@ def nested_spans(ents: DataFrame, doc: str, start: str = "start", end: str = "en
     return s.select(doc, start, end, (inside | around | (F.col("_c") >= 2)).alias("nested"))
 
 
+def flag_nested(ents: DataFrame, doc: str, start: str = "start", end: str = "end") -> DataFrame:
+    """N4 on the entity rows themselves: each row of a sentence with ``nested``, as
+    :func:`nested_spans` tells it of the row's span.
+
+    Rows that are dealt by sentence stay where they are, and nothing is joined.  A
+    sentence's rows are sorted in one task, which spills what it cannot hold."""
+    at = Window.partitionBy(doc).orderBy(F.asc(start), F.desc(end))
+    before = Window.unboundedPreceding, -1
+    up = at.rowsBetween(*before)
+    dn = Window.partitionBy(doc).orderBy(F.desc(start), F.asc(end)).rowsBetween(*before)
+    e = F.col(end)
+    # of equal spans, each but the last sees the next one here, and the last sees the others' end
+    twin = (F.lead(start).over(at) == F.col(start)) & (F.lead(end).over(at) == e)
+    tests = [twin, F.max(end).over(up) >= e, F.min(end).over(dn) <= e]
+    flags = [F.coalesce(t, F.lit(False)) for t in tests]
+    return ents.filter(F.col(doc).isNotNull()).withColumn("nested", flags[0] | flags[1] | flags[2])
+
+
 def sentence_summary(ents: DataFrame, sentences: DataFrame, doc: str) -> DataFrame:
     """N5 + per-sentence counts: (doc, n_tokens, n_entities, n_nested_entities, mode).
 
     ``ents`` needs (doc, e_type, start, end, nested); nested entities are
     counted once per distinct value, as the reference's list-membership test
-    does.  ``sentences`` needs (doc, n_tokens).
+    does.  ``sentences`` needs (doc, n_tokens).  Rows that are dealt by sentence do not move.
     """
-    nested_vals = (ents.filter("nested").select(doc, "e_type", "start", "end").distinct()
-                   .groupBy(doc).agg(F.count(F.lit(1)).alias("n_nested_entities")))
-    n_ent = ents.groupBy(doc).agg(F.count(F.lit(1)).alias("n_entities"))
-    s = (sentences.join(n_ent, doc, "left").join(nested_vals, doc, "left")
-         .fillna(0, ["n_entities", "n_nested_entities"]))
+    values = ents.groupBy(doc, "e_type", "start", "end", "nested").agg(F.count(F.lit(1)).alias("_c"))
+    per = values.groupBy(doc).agg(F.sum("_c").alias("n_entities"), F.count_if("nested").alias("n_nested_entities"))
+    s = sentences.join(per, doc, "left").fillna(0, ["n_entities", "n_nested_entities"])
     return s.withColumn("mode", F.when(F.col("n_nested_entities") > 0, "nested").otherwise("flat"))
 
 

@@ -61,3 +61,23 @@ def test_batch_predict_hands_on_a_few_calls_at_a_time(spark):
     scoring.batch_predict(Frame(), "prompt", lambda: lambda p: p if isinstance(p, str) else list(p), batch_size=2)
     assert sizes == [2 * CALLS_OUT, 2 * CALLS_OUT, 1]
     assert batch_predict(df, "prompt", lambda: lambda p: p if isinstance(p, str) else list(p), batch_size=2).filter("prediction = prompt").count() == n
+
+
+@pytest.mark.parametrize("name", ["q18_span_text_stats", "q20_mrc_regroup"])
+def test_spans_move_once_by_sentence(spark, name, monkeypatch):
+    from promptloom.plans import ner_corpus
+    stored = []
+    monkeypatch.setattr(ner_corpus, "materialize", lambda df, *a: stored.append(df) or df)
+    out = E.queries()[name](spark, SF001)
+    plan = (stored[0] if stored else out)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert moved and all("REPARTITION_BY_NUM" in x for x in moved)
+
+
+def test_flagged_rows_equal_nested_spans(spark):
+    from promptloom.operators.ner import flag_nested, nested_spans
+    rows = [(d, (d * 7 + i * i * 5) % 23, (d * 7 + i * i * 5) % 23 + 1 + (d + i * 3) % 4) for d in range(60) for i in range(d % 12)]
+    rows += [(99, 1, 2), (99, 1, 2), (98, 1, 2), (None, 1, 2), (None, 1, 2)]
+    e = spark.createDataFrame(rows, "doc long, start int, end int")
+    want = e.join(nested_spans(e, "doc", width=4), ["doc", "start", "end"])
+    assert sorted(map(tuple, flag_nested(e, "doc").select("doc", "start", "end", "nested").collect())) == sorted(map(tuple, want.collect()))
