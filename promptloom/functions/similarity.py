@@ -14,7 +14,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SHORT = 64  # up to this length blocks are looked for as substrings
+
+
+def _matched(a: str, b: str) -> int:
+    """Characters in the matching blocks: the longest common block, the first in ``a`` and
+    then in ``b`` of equals, and the same to its left and its right."""
+    n = len(a)
+    for k in range(min(n, len(b)), 0, -1):
+        for i in range(n - k + 1):
+            j = b.find(a[i:i + k])
+            if j >= 0:
+                return k + _matched(a[:i], b[:j]) + _matched(a[i + k:], b[j + k:])
+    return 0
+
+
 def ratio(a: str, b: str) -> float:
+    """``SequenceMatcher(a=a, b=b).ratio()``; names of usual length need no matcher."""
+    if 0 < len(a) <= SHORT and 0 < len(b) <= SHORT:
+        return 2.0 * _matched(a, b) / (len(a) + len(b))
     return SequenceMatcher(a=a, b=b).ratio()
 
 

@@ -7,8 +7,9 @@ ratio > 0.5, g* != p and one contains the other.
 Exact plan (no candidate caps):
 1. Names are taken once per sample.  A prediction that is a gold name keeps itself
    (ratio 1 is the maximum).
-2. The others meet the sample's gold names in blocks of bounded size, so that a sample
-   of any length spreads over tasks.  Names are rows of character counts (of
+2. The others meet the sample's gold names in blocks of bounded size.  Samples of usual
+   length are matched where their rows are (:func:`soften_rows`); the blocks of a long
+   one spread over tasks (:func:`changed_names`).  Names are rows of character counts (of
    ``BINS`` classes); a matrix product says for every pair how many characters of one
    have no counterpart in the other, which bounds the ratio from above.
 3. Containment holds only where nothing is missing; such a pair's ratio is
@@ -26,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptloom.functions.similarity import ratio
 from promptloom.operators.joins import join_small
@@ -106,6 +108,85 @@ def have_rivals(p: Names, g: Names, gidx: np.ndarray, bound: np.ndarray, rows: n
     return out
 
 
+def choose(pred: list[str], gold: list[str], gidx: np.ndarray) -> dict[str, str]:
+    """The gold name of each prediction of one sample that is replaced; none of ``pred`` is
+    a gold name.  Matrices hold one block of predictions by one of gold names."""
+    out: dict[str, str] = {}
+    golds = [(Names(gold[k:k + GOLD_BLOCK]), gidx[k:k + GOLD_BLOCK]) for k in range(0, len(gold), GOLD_BLOCK)]
+    for k in range(0, len(pred), PRED_BLOCK):
+        p, top, bound = Names(pred[k:k + PRED_BLOCK]), {}, None
+        for g, at in golds:
+            bound, may = bounds(p, g)
+            i, j, r = best_containing(p, g, at, bound, may)
+            for x, y, z in zip(i.tolist(), j.tolist(), r.tolist()):
+                if x not in top or (z, -at[y]) > top[x][:2]:
+                    top[x] = z, -at[y], g.names[y]
+        rows = np.fromiter(top, np.int64, len(top))
+        r = np.array([top[x][0] for x in rows.tolist()], np.float64)
+        place = np.array([-top[x][1] for x in rows.tolist()], np.int64)
+        for g, at in golds:
+            if len(rows):
+                stays = ~have_rivals(p, g, at, bound if len(golds) == 1 else bounds(p, g)[0], rows, r, place)
+                rows, r, place = rows[stays], r[stays], place[stays]
+        out.update((p.names[x], top[x][2]) for x in rows.tolist())
+    return out
+
+
+def soften_rows(counts: DataFrame, doc: str, name: str = "e_name") -> DataFrame:
+    """``counts`` (doc, name, n_gold, n_pred, gidx and others; gidx the name's first place among
+    the gold names) with ``soft_name``, null where the name stays.
+
+    Rows are sorted where they are, so those that are dealt by sample do not move; a task
+    holds the rows of an Arrow batch and of one sample.  A row whose sample is null stays."""
+    rows = counts.sortWithinPartitions(doc)
+
+    def soft(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        docs = table.column(doc).combine_chunks()
+        names = table.column(name).to_pylist()
+        n_gold, n_pred = (table.column(c).to_numpy() for c in ("n_gold", "n_pred"))
+        gidx = pc.fill_null(table.column("gidx"), -1).to_numpy()
+        new = [None] * len(names)
+        ends = _runs(docs)
+        for a, z in zip(ends, ends[1:]):
+            if not docs[a].is_valid:
+                continue
+            first: dict[str, int] = {}
+            for k in (np.flatnonzero(n_gold[a:z] > 0) + a).tolist():
+                first[names[k]] = min(first.get(names[k], gidx[k]), gidx[k])
+            mine = [k for k in (np.flatnonzero(n_pred[a:z] > 0) + a).tolist() if names[k] not in first]
+            if first and mine:
+                gold = sorted(first, key=lambda x: (first[x], x))
+                found = choose(sorted({names[k] for k in mine}), gold, np.array([first[x] for x in gold], np.int64))
+                for k in mine:
+                    new[k] = found.get(names[k])
+        return table.append_column("soft_name", pa.array(new, pa.string()))
+
+    def run(batches):
+        import pyarrow as pa
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = pa.Table.from_batches([b])
+            held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
+            last = _runs(held.column(doc).combine_chunks())[-2]  # the last sample may go on
+            if last:
+                yield from soft(held.slice(0, last)).to_batches()
+                held = held.slice(last)
+        if held is not None:
+            yield from soft(held).to_batches()
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("soft_name", T.StringType())]))
+
+
+def _runs(column) -> list[int]:
+    """Where runs of equal values begin, and the end."""
+    codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+
+
 def _blocks(names: DataFrame, doc: str) -> DataFrame:
     """Rows (doc, name, gidx) of both sides dealt to pairs of bounded blocks (_pb, _gb):
     predictions (gidx null) of one block with gold names of one block."""

@@ -53,3 +53,55 @@ def test_soft_events_equals_bruteforce(spark):
         a[2] += len(gold) - len(res)
     got = {r.format: [r.tp, r.fp, r.fn] for r in q37(spark, SF001).collect()}
     assert got == tot
+
+
+def test_short_and_long_samples_give_the_same(spark, monkeypatch):
+    """Samples that stay in their task and those that spread, with nothing stored for the first."""
+    from promptloom.plans import softmatch
+    stored = []
+    monkeypatch.setattr(softmatch, "materialize", lambda df, *a: stored.append(a) or real(df, *a))
+    real = soft_match.materialize
+    exp = None  # of the first; test_soft_ner_equals_bruteforce compares it
+    for most, n in ((softmatch.LONG_TEXT, 1), (4000, 2)):
+        monkeypatch.setattr(softmatch, "LONG_TEXT", most)
+        stored.clear()
+        df = q36(spark, SF001)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, df.collect()))
+        exp = exp or got
+        assert len(got) == 2 and got == exp
+        assert len(stored) == n
+        if n == 1:
+            moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(doc_id" in x]
+            assert len(moved) == 2 and all("REPARTITION_BY_NUM" in x for x in moved)  # texts, then softened names
+
+
+def test_softened_rows_equal_the_rule(spark, monkeypatch):
+    monkeypatch.setattr(soft_match, "PRED_BLOCK", 16)
+    monkeypatch.setattr(soft_match, "GOLD_BLOCK", 12)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.randint(1, 7)))
+    for n in (0, 1, 40, 90):
+        gold = list(dict.fromkeys(word() for _ in range(n)))
+        pred = sorted({word() for _ in range(90)} - set(gold))
+        got = soft_match.choose(pred, gold, soft_match.np.arange(len(gold)))
+        assert {p: got.get(p, p) for p in pred} == {p: brute.soft_choice(p, gold) for p in pred}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(1, "a", "walk", 1, 0, 4), (1, "a", "walks", 0, 2, None), (1, "b", "walks", 0, 1, None), (1, "b", "walked", 2, 0, 1),
+                (1, "b", "x", 0, 1, None), (2, "a", "walks", 0, 1, None), (None, "a", "walk", 1, 0, 0), (None, "a", "walks", 0, 1, None)]
+        df = spark.createDataFrame(rows, "doc_id long, e_type string, e_name string, n_gold long, n_pred long, gidx int").coalesce(1)
+        got = [(x.doc_id, x.e_type, x.e_name, x.n_gold, x.n_pred, x.gidx, x.soft_name) for x in soft_match.soften_rows(df, "doc_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = lambda x: str(x)
+    assert sorted(got, key=key) == sorted([(*x, "walk" if x[0] == 1 and x[2] == "walks" else None) for x in rows], key=key)
+
+
+def test_ratio_equals_difflib():
+    from difflib import SequenceMatcher
+    from promptloom.functions.similarity import ratio
+    r = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abcé") for _ in range(r.randint(0, r.choice((4, 9, 70))))) for _ in "ab")
+        assert ratio(a, b) == SequenceMatcher(a=a, b=b).ratio()
