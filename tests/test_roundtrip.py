@@ -37,3 +37,10 @@ def test_one_pass_reads_what_each_parser_reads(spark):
 def test_json_names_with_commas_and_nulls(spark):
     df = spark.createDataFrame([(["a", ",", 'b","c'],), (["x", None],), ([],)], "n array<string>")
     assert [r[0] for r in df.select(designs.json_strings(F.col("n"))).collect()] == ['["a", ",", "b\\",\\"c"]', '["x", null]', "[]"]
+
+
+def test_no_entity_list_renders_as_before(spark):
+    df = spark.createDataFrame([(None,), ([("DNA", None)],), ([],)], "e array<struct<e_type:string,e_name:string>>")
+    empty = "\n".join(f"'{t}': ''" for t in designs.TYPE_ORDER)
+    assert [r[0] for r in df.select(designs.render_output("good1", F.col("e"))).collect()] == ["", empty.replace("''", "", 1), empty]
+    assert [r[0] for r in df.select(designs.render_output("weak1", F.col("e"))).collect()] == ["", "'DNA': ", ""]
