@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions.columns import expand_rows
+from promptloom.session import materialize
 
 # Sentiment classes (matrix order), numerical codes, aspect lists of the two
 # restaurant-review domains with their relaxed aliases, sentiment synonyms (checked in this
@@ -132,7 +133,8 @@ def parse_table(df: DataFrame, keys: list[str], text_col: str, mode_col: str, mo
     entries: keys + (pos, key, value) with dict semantics (a repeated key keeps
     its last value at its first position) -- an aggregation on (keys, key) with
     map-side combining; errors: keys + error_type, computed on the row.  Each
-    mode is parsed in its own branch, so a row meets one parser only.
+    mode is parsed in its own branch, so a row meets one parser only, and what was
+    read is stored: entries and errors come from one parse of a text.
 
     X2: with a ``domain``, the omit-unmentioned designs are completed: every
     aspect of the domain that a non-empty text leaves out is 未提及, after the
@@ -142,7 +144,6 @@ def parse_table(df: DataFrame, keys: list[str], text_col: str, mode_col: str, mo
         part = df.filter(F.col(mode_col) == m).select(*keys, F.col(text_col).alias("_text"),
                                                       parse_units(F.col(text_col), m, punc_replace).alias("_u"))
         u = part if u is None else u.unionByName(part)
-    errors = u.select(*keys, error_type(F.col("_text"), F.col("_u")).alias("error_type"))
     ok = F.transform(F.filter("_u", lambda x: x["ok"]), lambda x: F.struct(
         x["key"].alias("key"), x["value"].alias("value"), x["i"].alias("pos"), x["i"].alias("order")))
     if domain is not None and any(m in OMIT_MODES for m in modes):
@@ -151,7 +152,9 @@ def parse_table(df: DataFrame, keys: list[str], text_col: str, mode_col: str, mo
         rest = F.transform(aspects, lambda a, i: F.struct(a.alias("key"), F.lit("未提及").alias("value"),
                                                           (n + i).alias("pos"), F.lit(-1).alias("order")))
         ok = F.when(F.col(mode_col).isin(*OMIT_MODES) & (F.col("_text") != ""), F.concat(ok, rest)).otherwise(ok)
-    ex = u.select(*keys, F.explode(ok).alias("x"))
+    read = materialize(u.select(*keys, error_type(F.col("_text"), F.col("_u")).alias("error_type"), ok.alias("_ok")))
+    errors = read.select(*keys, "error_type")
+    ex = read.select(*keys, F.explode("_ok").alias("x"))
     entries = (ex.groupBy(*keys, F.col("x.key").alias("key"))
                .agg(F.min("x.pos").alias("pos"), F.max_by("x.value", "x.order").alias("value")))
     return entries, errors
