@@ -105,3 +105,66 @@ def test_ratio_equals_difflib():
     for _ in range(3000):
         a, b = ("".join(r.choice("abcé") for _ in range(r.randint(0, r.choice((4, 9, 70))))) for _ in "ab")
         assert ratio(a, b) == SequenceMatcher(a=a, b=b).ratio()
+
+
+def test_pairs_at_once_equal_difflib():
+    """Blocks, subsequences and bounds of many pairs at once, names of 64 characters and odd letters included."""
+    from difflib import SequenceMatcher
+    np, r = soft_match.np, random.Random(4)
+    word = lambda: "".join(r.choice("abcé\U0001f600") for _ in range(r.choice((1, 2, 5, 9, 12, 63, 64))))
+    words = [word() for _ in range(300)] + ["a" * 64, "ab" * 32]
+    names = soft_match.Names(words)
+    p, g = np.array([r.randrange(len(words)) for _ in range(2000)]), np.array([r.randrange(len(words)) for _ in range(2000)])
+    where = soft_match._positions(names, p, g)
+    want = [sum(b.size for b in SequenceMatcher(a=words[x], b=words[y]).get_matching_blocks()) for x, y in zip(p, g)]
+    assert soft_match._matched(where).tolist() == want
+    assert (soft_match._subsequence(where) >= want).all()
+    a, b = names.take(p[:100]), names.take(g[:100])
+    shared, rows = soft_match.shared_marks(a, b), np.arange(100)
+    for ratio in (0.4, 0.7):  # a pair that is no better than the bound allows is looked at
+        at, j, most, _ = soft_match.rivals(a, b, np.zeros(100, np.int64), shared, rows, np.full(100, ratio), np.ones(100, np.int64))
+        seen = dict(zip(zip(at.tolist(), j.tolist()), most.tolist()))
+        for x in range(100):
+            for y in range(100):
+                true = SequenceMatcher(a=words[p[x]], b=words[g[y]]).ratio()
+                assert true < ratio or seen[x, y] >= true - 1e-9
+
+
+def test_samples_softened_at_once_equal_each_alone(monkeypatch):
+    """Samples that share names, and pairs that are settled in several rounds."""
+    np, r = soft_match.np, random.Random(6)
+    pool = ["".join(r.choice("abc") for _ in range(r.choice((1, 3, 4, 6, 7, 70)))) for _ in range(250)]
+    pool = list(dict.fromkeys(pool))
+    samples = []
+    for _ in range(30):
+        gold = r.sample(range(len(pool)), r.randint(0, 60))
+        pred = [x for x in r.sample(range(len(pool)), 60) if x not in gold]
+        samples.append((np.array(pred), np.array(gold, np.int64), np.arange(len(gold))))
+    monkeypatch.setattr(soft_match, "OPEN_PAIRS", 50)
+    monkeypatch.setattr(soft_match, "PAIRS", 16)
+    got = soft_match.choose_all(soft_match.Names(pool), samples)
+    for (pred, gold, at), chosen in zip(samples, got):
+        for x, y in zip(pred.tolist(), chosen.tolist()):
+            assert (pool[y] if y >= 0 else pool[x]) == brute.soft_choice(pool[x], [pool[k] for k in gold])
+
+
+def test_only_numbers_move_after_softening(spark):
+    """A query that asks for one mode counts no other, and softened names are dealt again as numbers."""
+    from promptloom.plans.softmatch import outcomes
+    plan = outcomes(spark, SF001, ("soft",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
+    moved = plan[:plan.index("MapInArrow")]  # above the softening
+    assert "RepartitionByExpression" in moved and "e_name" not in moved.split("RepartitionByExpression")[1]
+    rows = outcomes(spark, SF001).collect()
+    assert {(r.mode, r.match) for r in rows} == {(m, x) for m in ("hard", "soft") for x in ("strict", "boundaries")}
+    assert sorted(map(tuple, (r for r in rows if r.mode == "soft"))) == sorted(map(tuple, outcomes(spark, SF001, ("soft",)).collect()))
+
+
+def test_softened_numbers_stand_for_names(spark):
+    rows = [(1, "a", "walk", 1, 0, 4), (1, "a", "walks", 0, 2, None), (1, "b", "walks", 0, 1, None), (2, "a", "walks", 0, 1, None), (None, "a", "walk", 1, 0, 0), (None, "a", "walks", 0, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, e_type string, e_name string, n_gold long, n_pred long, gidx int").coalesce(1)
+    got = sorted(soft_match.soften_codes(df, "doc_id").collect(), key=lambda x: (-x.n_gold, -x.n_pred))
+    assert [(x.doc_id, x.n_gold, x.n_pred) for x in got if x.doc_id == 1] == [(1, 1, 0), (1, 0, 2), (1, 0, 1)]
+    one = [x for x in got if x.doc_id == 1]
+    assert len({x.soft for x in one}) == 1 and len({x.hard for x in one}) == 2 and [x.e_type == one[0].e_type for x in one] == [True, True, False]
+    assert len({x.soft for x in got if x.doc_id is None}) == 2
