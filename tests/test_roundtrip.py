@@ -44,3 +44,34 @@ def test_no_entity_list_renders_as_before(spark):
     empty = "\n".join(f"'{t}': ''" for t in designs.TYPE_ORDER)
     assert [r[0] for r in df.select(designs.render_output("good1", F.col("e"))).collect()] == ["", empty.replace("''", "", 1), empty]
     assert [r[0] for r in df.select(designs.render_output("weak1", F.col("e"))).collect()] == ["", "'DNA': ", ""]
+
+
+def test_designs_counted_together_equal_grouping_sets(spark):
+    from promptloom.operators.match import design_counts, key_counts
+    rows = [(k % 3 if k % 7 else None, "ab"[k % 2], "gold" if k % 5 < 2 else "pred", "tu"[k % 4 // 2], f"n{k * k % 11}") for k in range(300)]
+    rows += [(1, "c", "pred", "t", "x"), (1, "c", "pred", "t", "x")]
+    e = spark.createDataFrame(rows, "doc_id long, design string, side string, e_type string, e_name string")
+    want = key_counts(e, "doc_id", {"strict": ["design", "e_type", "e_name"]})
+    got = design_counts(e, "doc_id", ["e_type", "e_name"], ["a", "b", "c", "d"])
+    assert sorted(map(str, got.select(*want.drop("match").columns).collect())) == sorted(map(str, want.drop("match").collect()))
+    assert got.select("design").distinct().count() == 3
+
+
+def test_a_text_is_read_once(spark, tmp_path):
+    """Spark asked whether anything is found before it gave the rows, and so cleaned and parsed each text twice."""
+    from promptloom.plans.derive import document_words
+    spark.createDataFrame([(1, "Alpha beta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for df in (q25(spark, str(tmp_path)), document_words(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "size(" in x]
+
+
+def test_words_are_cleaned_as_one_by_one(spark):
+    from promptloom.plans.derive import document_words
+    texts = ["", None, " lead and\ttrail \n", "a\r\nb\x0bc\x0cd", "ΟΔΟΣ ΣΑΣ-Σ Σ", "12 34", "İstanbul İx  nb sp ét", "x\u0085y", "\U0001d400b C"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    w = docs.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "raw"))
+    want = w.select("doc_id", "pos", F.lower(F.regexp_replace("raw", r"[^\p{L}]", "")).alias("name")).filter(F.length("name") >= 1)
+    got = document_words(docs).select("doc_id", "pos", "name", "n_letters")
+    assert sorted(map(tuple, got.collect())) == sorted((r.doc_id, r.pos, r.name, len(r.name)) for r in want.collect())
